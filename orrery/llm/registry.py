@@ -6,12 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.llm import decontaminate, neardup
+from orrery.llm import decontaminate, linededup, neardup, packing, quality, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_decontaminate": decontaminate.op3, "op10_near_duplicates": neardup.op10}
+    return {
+        "op2_line_dedup": linededup.op2,
+        "op3_decontaminate": decontaminate.op3,
+        "op4_pack": packing.op4,
+        "op5_quality_rules": quality.op5,
+        "op6_shard": sharding.op6,
+        "op10_near_duplicates": neardup.op10,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontaminate": decontaminate.SQL, "op10_near_duplicates": neardup.SQL}
+    return {"op2_line_dedup": linededup.SQL, "op3_decontaminate": decontaminate.SQL, "op10_near_duplicates": neardup.SQL}
