@@ -9,10 +9,10 @@ number of documents; Spark then gives each piece a rank within its length and th
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +24,8 @@ from orrery.llm.common import salted_rank, written
 CAPACITY, SEPARATOR = 2048, 0
 #: Rounds of the multiplicative weights; each prices one configuration for every length.
 ROUNDS, ETA = 40, 0.05
-#: Pieces of text whose ids a worker remembers.
-CACHE = 400_000
-_SIMPLE = re.compile("[\\x00-\\x1b\\x20-\\x7fÀ-ÖØ-öø-ÿ]*")
-#: How the tokenizer splits texts of the characters above.
-_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?[^\s\w]+(?:_[^\s\w]*)*| ?_[^\s\w]*(?:_[^\s\w]*)*|\s+(?!\S)|\s+")
+#: Units of text whose ids a worker remembers, and rows that it encodes at once.
+CACHE, ROWS_AT_ONCE = 500_000, 256
 
 
 class Encoder:
@@ -39,21 +36,31 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(tokenizer)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes | None] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        """Ids of a text are those of its parts, which the splitting of a byte-level tokenizer keeps apart: each
-        part is encoded once. Texts with special tokens or rare characters are encoded whole."""
+        """Ids of each text.
+
+        A byte-level tokenizer starts a new part at a space between two other characters, so a text's ids are those
+        of its units, each with the space before it; a unit is encoded once. Texts with other white space next to a
+        space, or with special tokens, are encoded whole.
+        """
         if len(self.known) > CACHE:
             self.known.clear()
-        parts = [_SPLIT.findall(t) if _SIMPLE.fullmatch(t) and not any(s in t for s in self.special) else None for t in texts]
-        new = list({p for ps in parts if ps is not None for p in ps if p not in self.known})
-        self.known.update(zip(new, self._encode(new), strict=True))
-        for t, ps in zip(texts, parts, strict=True):
-            yield self._encode([t])[0] if ps is None else b"".join(map(self.known.__getitem__, ps))
+        split = [t.split(" ") if t[:1].strip() else None for t in texts]
+        new = list(set().union(*(u[1:] for u in split if u)).difference(self.known))
+        plain = [u for u in new if u and u == u.strip() and not any(s in u for s in self.special)]
+        self.known.update(dict.fromkeys(new))
+        self.known.update(zip(plain, self._encode([" " + u for u in plain]), strict=True))
+        for t, u in zip(texts, split, strict=True):
+            parts = [self.known[x] for x in u[1:]] if u else [None]
+            if None in parts or u[0] != u[0].strip() or any(s in u[0] for s in self.special):
+                yield self._encode([t])[0]
+            else:
+                yield self._encode([u[0]])[0] + b"".join(parts)
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -63,9 +70,10 @@ def _pieces(batches: Iterator[pa.RecordBatch], tokenizer: str, capacity: int, id
     encoder = _ENCODERS.get(tokenizer) or _ENCODERS.setdefault(tokenizer, Encoder(tokenizer))
     end = np.array([SEPARATOR], "<u4").tobytes()
     for batch in batches:
-        texts = [t or "" for t in batch.column(1).to_pylist()]
+        texts = batch.column(1)
         rows, piece, start, length, crc, tokens = [], [], [], [], [], []
-        for i, encoded in enumerate(encoder(texts)):
+        parts = (encoder([t or "" for t in texts.slice(a, ROWS_AT_ONCE).to_pylist()]) for a in range(0, len(texts), ROWS_AT_ONCE))
+        for i, encoded in enumerate(chain.from_iterable(parts)):
             whole = encoded + end
             n = len(whole) // 4
             first = n if n <= capacity else n % capacity or capacity
