@@ -6,9 +6,10 @@ take a filled one's value, by a minwise choice, so small sets band as large ones
 candidates; a pair's registers then estimate its Jaccard similarity, corrected for equal values of different
 minima; what may reach the threshold is confirmed on the full sets.
 
-Texts with equal sets are one node from the start. In a bucket every node is paired with one pivot, three times
-with another pivot; only nodes of a bucket that still lie in different components are then paired one with another.
-So a group of thousands of copies costs as many pairs as copies, and no link between components is lost.
+Texts with equal sets are one node from the start. In a bucket every node is paired with one pivot, then, where
+it has several components, with another; only nodes of a bucket that still lie in different components are then
+compared one with another, in blocks where they are many. So the copies of a large group cost as many pairs as there
+are copies, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ REGISTERS = BANDS * ROWS
 MANTISSA = 10
 #: An estimate this far below the threshold (six standard deviations of REGISTERS draws) ends a pair.
 MARGIN = 0.15
+#: Nodes of a bucket up to which its open pairs are rows; beyond, blocks of these sizes meet. Cells of a block's matrix.
+FEW, X_BLOCK, Y_BLOCK, CELLS = 24, 256, 1024, 8 << 20
 _NEXT = np.uint64(0xC2B2AE3D27D4EB4F)
 _ALONE = np.uint64(0xA0761D6478BD642F)
 _RNG = np.random.default_rng(977)
@@ -195,19 +198,71 @@ def _links(docs: DataFrame, crowd: DataFrame, size: int, percent: int) -> DataFr
 
     tested = confirm(_pairs(crowd.select(F.col("doc_id").alias("x"), F.col("pivot").alias("y"))))
     left = written(unlinked(tested), "open")
-    degree = left.groupBy("doc_id").agg(F.count("*").alias("d"))
-    for choice in (F.struct("d", (-F.col("doc_id")).alias("i")), F.struct(F.xxhash64("doc_id").alias("d"), F.col("doc_id").alias("i"))):
-        ranked = left.join(degree, "doc_id").withColumn("rank", choice)
-        best = ranked.groupBy("bucket", shared(F.col("bucket")).alias("__s")).agg(F.max_by(F.struct("doc_id", "part"), "rank").alias("best"))
-        pairs = left.join(best.select("bucket", "best"), "bucket").where("part != best.part")
-        fresh = _pairs(pairs.select(F.col("doc_id").alias("x"), F.col("best.doc_id").alias("y"))).join(tested, ["a", "b"], "left_anti")
-        tested = written(tested.unionByName(confirm(fresh)), "confirmed")
-        left = written(unlinked(tested), "open")
-    x = left.select("bucket", F.col("doc_id").alias("x"), F.col("part").alias("px"))
-    y = left.select("bucket", F.col("doc_id").alias("y"), F.col("part").alias("py"))
-    rest = x.join(y, "bucket").where("x > y AND px != py")
-    tested = tested.unionByName(confirm(_pairs(rest).join(tested, ["a", "b"], "left_anti")))
-    return tested.where("linked").select("a", "b")
+    if left.isEmpty():
+        return tested.where("linked").select("a", "b")
+    chance = F.xxhash64("doc_id", "bucket")
+    best = left.groupBy("bucket", shared(F.col("bucket")).alias("__s")).agg(F.max_by(F.struct("doc_id", "part"), chance).alias("best"))
+    pairs = left.join(best.select("bucket", "best"), "bucket").where("part != best.part")
+    fresh = _pairs(pairs.select(F.col("doc_id").alias("x"), F.col("best.doc_id").alias("y"))).join(tested, ["a", "b"], "left_anti")
+    tested = written(tested.unionByName(confirm(fresh)), "confirmed")
+    left = written(unlinked(tested), "open")
+    counts = left.groupBy("bucket", "part").agg(F.count("*").alias("c")).groupBy("bucket", shared(F.col("bucket")).alias("__s"))
+    counts = counts.agg(F.sum("c").alias("n"), F.max_by("part", "c").alias("main"), F.max("c").alias("c")).drop("__s")
+    left = left.join(counts, "bucket")
+    few = left.where(F.col("n") <= FEW)
+    x = few.select("bucket", F.col("doc_id").alias("x"), F.col("part").alias("px"))
+    y = few.select("bucket", F.col("doc_id").alias("y"), F.col("part").alias("py"))
+    rest = _pairs(x.join(y, "bucket").where("x > y AND px != py"))
+    found = confirm(rest.join(tested, ["a", "b"], "left_anti")).where("linked").select("a", "b")
+    return tested.where("linked").select("a", "b").unionByName(found).unionByName(_blocks(left.where(F.col("n") > FEW), sets, percent))
+
+
+def _blocks(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Confirmed pairs of buckets with many nodes: those outside a bucket's main part against all of it.
+
+    Blocks of one side meet blocks of the other, and only links leave a task: rows grow with a bucket's nodes times
+    the blocks that meet them, not with its pairs.
+    """
+    x_blocks = F.ceil((F.col("n") - F.col("c")) / X_BLOCK).cast("int")
+    y_blocks = F.ceil(F.col("n") / Y_BLOCK).cast("int")
+    place = F.abs(F.xxhash64("doc_id"))
+    whole = left.join(sets.select("doc_id", "shingles"), "doc_id")
+    x = whole.where("part != main").select("bucket", "doc_id", "part", "shingles", (place % x_blocks).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), y_blocks - 1)).alias("j"))
+    y = whole.select("bucket", "doc_id", "part", "shingles", F.explode(F.sequence(F.lit(0), x_blocks - 1)).alias("i"), (place % y_blocks).cast("int").alias("j"))
+    x, y = (side.toDF(*side.columns) for side in (x, y))
+    keys = ["bucket", "i", "j"]
+    return x.groupBy(*keys).cogroup(y.groupBy(*keys)).applyInArrow(lambda p, q: _block(p, q, percent), "a long, b long").distinct()
+
+
+def _block(left: pa.Table, right: pa.Table, percent: int) -> pa.Table:
+    xs, ys = ([np.frombuffer(s, np.uint64) for s in t.column("shingles").to_pylist()] for t in (left, right))
+    (xi, xp), (yi, yp) = ((t.column("doc_id").to_numpy(), t.column("part").to_numpy()) for t in (left, right))
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    step = 0
+    while step < len(xs) and len(ys):
+        to, known = step + 1, np.unique(xs[step])
+        while to < len(xs) and (to - step) < 256 and len(known) * (to - step) < CELLS:
+            known, to = np.union1d(known, xs[to]), to + 1
+        rows = _incidence(xs[step:to], known)
+        width = max(1, CELLS // len(known))
+        for c in range(0, len(ys), width):
+            part = ys[c : c + width]
+            both = rows @ _incidence(part, known).T
+            total = np.array([len(x) for x in xs[step:to]])[:, None] + np.array([len(y) for y in part])[None, :]
+            i, j = np.nonzero((100 * both >= percent * (total - both)) & (xp[step:to, None] != yp[None, c : c + width]))
+            a.append(xi[step + i]), b.append(yi[c + j])
+        step = to
+    a, b = np.concatenate(a), np.concatenate(b)
+    return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b)})
+
+
+def _incidence(sets: list[np.ndarray], known: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(sets), len(known)), np.float32)
+    for row, s in enumerate(sets):
+        at = np.searchsorted(known, s)
+        at[at == len(known)] = 0
+        out[row, at[known[at] == s]] = 1
+    return out
 
 
 def _pairs(xy: DataFrame) -> DataFrame:
