@@ -6,19 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.llm import decontaminate, linededup, neardup, packing, quality, sharding
+import corpus_pipeline
+from orrery.llm import chat, decontaminate, htmltext, linededup, lmscore, neardup, packing, quality, sharding, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_warc": warc.op1,
         "op2_line_dedup": linededup.op2,
         "op3_decontaminate": decontaminate.op3,
         "op4_pack": packing.op4,
         "op5_quality_rules": quality.op5,
         "op6_shard": sharding.op6,
+        "op7_lm_score": lmscore.op7,
+        "op8_chat_format": chat.op8,
+        "op9_main_text": htmltext.op9,
         "op10_near_duplicates": neardup.op10,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": linededup.SQL, "op3_decontaminate": decontaminate.SQL, "op10_near_duplicates": neardup.SQL}
+    sql = {"op1_warc": warc.SQL, "op2_line_dedup": linededup.SQL, "op3_decontaminate": decontaminate.SQL, "op10_near_duplicates": neardup.SQL}
+    return sql | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
