@@ -6,23 +6,20 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from orrery.functions import text
 
 #: Everything that a raw record may have; what a source lacks is null.
-RAW = T.StructType.fromDDL(
-    "scene_id string, scene_name string, image array<string>, video string, conversations array<struct<from: string, value: string>>, "
-    "question string, raw_question string, prompt string, answers array<string>, ground_truth string, answer string, answer_labels array<string>, solution string, "
-    "options array<string>, data_path string, data_source string, dataset string, question_type string, question_id string"
-)
+RAW = dict.fromkeys("scene_id scene_name video question raw_question prompt ground_truth answer solution data_path data_source dataset question_type question_id".split(), "string")
+RAW |= dict.fromkeys("image answers answer_labels options".split(), "array<string>")
+RAW["conversations"] = "array<struct<from: string, value: string>>"
 #: First words that name a question type.
 FIRST_WORDS = ["What", "Is", "How", "Can", "Which"]
 
 
 def completed(rows: DataFrame) -> DataFrame:
     """``rows`` with every column of RAW, absent ones null."""
-    return rows.select(*rows.columns, *[F.lit(None).cast(f.dataType).alias(f.name) for f in RAW.fields if f.name not in rows.columns])
+    return rows.select(*rows.columns, *[F.lit(None).cast(kind).alias(name) for name, kind in RAW.items() if name not in rows.columns])
 
 
 def _path(c: Column) -> Column:
