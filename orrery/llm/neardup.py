@@ -55,10 +55,10 @@ def shingle_sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
             if n >= size:
                 yield np.unique(rolled[first : first + n - size + 1])
             elif n:
-                whole = h[first]
+                whole = h[first : first + 1]
                 for k in range(1, n):
-                    whole = mixed(whole * _NEXT + h[first + k])
-                yield mixed(np.array([whole], np.uint64) ^ _ALONE * np.uint64(n))
+                    whole = mixed(whole * _NEXT + h[first + k : first + k + 1])
+                yield mixed(whole ^ np.full(1, n, np.uint64) * _ALONE)
             else:
                 yield h[:0]
 
