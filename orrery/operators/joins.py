@@ -82,23 +82,37 @@ def allowed(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return rows.join(ids.select(key).distinct(), key, "left_semi")
 
 
-def nearest(left: DataFrame, right: DataFrame, by: Sequence[str], time: str, value: str, tolerance: float | None = None, later: bool = False) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, by: Sequence[str], time: str, value: str, tolerance: float | None = None, later: bool = False, width: float = 3600.0) -> DataFrame:
     """``value`` and its time of the row of ``right`` nearest in time within ``by``.
 
     Equal distances take the earlier one, or the later if ``later``; beyond ``tolerance`` there is none. Both sides
-    are merged and the last value before and the first after come from one sorted window: no pairs are made.
-    Columns __value and __time are added.
+    are merged and the last value before and the first after come from sorted windows over spans of ``width`` (in the
+    unit of ``time``), so a key with most of the rows is many tasks' work; spans pass on their last and first value
+    through a table with a row a span. No pairs are made. Columns __value and __time are added; a null key or time
+    has none.
     """
     by = list(by)
-    own = left.select(*by, F.col(time).alias("__t"), F.struct(*left.columns).alias("__left"), F.lit(None).cast(right.schema[value].dataType).alias("__v"), F.lit(1).alias("__side"))
+    cell = F.floor(F.col("__t") / width)
+    none = F.lit(None).cast(right.schema[value].dataType)
+    own = left.select(*by, F.col(time).alias("__t"), F.struct(*left.columns).alias("__left"), none.alias("__v"), F.lit(1).alias("__side"))
     other = right.where(F.col(time).isNotNull()).select(*by, F.col(time).alias("__t"), F.lit(None).cast(own.schema["__left"].dataType).alias("__left"), F.col(value).alias("__v"), F.lit(0).alias("__side"))
-    merged = own.unionByName(other)
+    merged = own.unionByName(other).withColumn("__cell", cell)
     mark = F.when(F.col("__side") == 0, F.struct("__t", "__v"))
-    up = Window.partitionBy(*by).orderBy("__t", "__side", F.col("__v"))
+    up = Window.partitionBy(*by, "__cell").orderBy("__t", "__side", F.col("__v"))
     before = F.last(mark, True).over(up.rowsBetween(Window.unboundedPreceding, 0))
-    down = Window.partitionBy(*by).orderBy(F.col("__t").desc(), "__side", F.col("__v").desc())
+    down = Window.partitionBy(*by, "__cell").orderBy(F.col("__t").desc(), "__side", F.col("__v").desc())
     after = F.last(mark, True).over(down.rowsBetween(Window.unboundedPreceding, 0))
     seen = merged.withColumns({"__b": before, "__a": after}).where("__side = 1")
+    # what earlier and later spans of a key pass on
+    ends = merged.groupBy(*by, "__cell").agg(F.max(mark).alias("__last"), F.min(mark).alias("__first"))
+    spans = Window.partitionBy(*by).orderBy("__cell")
+    carried = ends.select(
+        *[F.col(k).alias(f"__k_{k}") for k in by], F.col("__cell").alias("__k_cell"),
+        F.last("__last", True).over(spans.rowsBetween(Window.unboundedPreceding, -1)).alias("__cb"),
+        F.first("__first", True).over(spans.rowsBetween(1, Window.unboundedFollowing)).alias("__ca"),
+    )
+    on = [F.col(k) == F.col(f"__k_{k}") for k in by] + [F.col("__cell") == F.col("__k_cell")]
+    seen = seen.join(carried, on, "left").withColumns({"__b": F.coalesce("__b", "__cb"), "__a": F.coalesce("__a", "__ca")})
     past, ahead = F.col("__t") - F.col("__b.__t"), F.col("__a.__t") - F.col("__t")
     take_after = F.col("__b").isNull() | (F.col("__a").isNotNull() & ((ahead <= past) if later else (ahead < past)))
     best = F.when(take_after, F.col("__a")).otherwise(F.col("__b"))

@@ -23,6 +23,19 @@ def uniform(*key: Column, seed: int = 0) -> Column:
     return draw(*key, seed=seed) / float(16**15)
 
 
+def hash_rank(rows: DataFrame, order: Column, key: str, out: str) -> DataFrame:
+    """Adds ``out``: the place (from 1) of each row by ``order``, a ``draw``, and key.
+
+    Rows are ranked within 4096 ranges of the draw; counts of the ranges (as many rows at most) give the rest.
+    """
+    cell = F.shiftright(order, 48)
+    counts = rows.groupBy(cell.alias("__c")).agg(F.count("*").alias("__n"))
+    below = F.sum("__n").over(Window.partitionBy(F.lit(0)).orderBy("__c").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select("__c", F.coalesce(below, F.lit(0)).alias("__below"))
+    ranked = rows.withColumn("__c", cell).withColumn("__row", F.row_number().over(Window.partitionBy("__c").orderBy(order, key)))
+    return ranked.join(counts, "__c").select(*rows.columns, (F.col("__below") + F.col("__row")).alias(out))
+
+
 def stratified(rows: DataFrame, kind: str, key: str, n: int, seed: int = 0) -> DataFrame:
     """``n`` rows with equal shares of each kind; what a share lacks is filled from all other rows.
 
@@ -48,16 +61,10 @@ def stratified(rows: DataFrame, kind: str, key: str, n: int, seed: int = 0) -> D
 def fraction(rows: DataFrame, key: str, rate: float, seed: int = 0) -> DataFrame:
     """The greatest of 1 and the whole part of ``rate`` of the rows, in hash order; none of an empty table.
 
-    The cut is a hash value found from counts over 4096 ranges of the hash; only one range is ranked row by row.
     """
-    order = draw(F.col(key), seed=seed)
-    cell = F.shiftright(order, 48)
-    counts = rows.groupBy(cell.alias("__cell")).agg(F.count("*").alias("__n"))
-    below = F.sum("__n").over(Window.partitionBy(F.lit(0)).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1))
-    total = F.sum("__n").over(Window.partitionBy(F.lit(0)))
-    counts = counts.select("__cell", F.coalesce(below, F.lit(0)).alias("__below"), F.greatest(F.lit(1), F.floor(total * rate)).alias("__want"))
-    ranked = rows.withColumn("__cell", cell).withColumn("__row", F.row_number().over(Window.partitionBy("__cell").orderBy(order, key)))
-    return ranked.join(counts, "__cell").where(F.col("__below") + F.col("__row") <= F.col("__want")).select(*rows.columns)
+    want = rows.agg(F.greatest(F.lit(1), F.floor(F.count("*") * rate)).alias("__want"))  # one row
+    ranked = hash_rank(rows, draw(F.col(key), seed=seed), key, "__rank")
+    return ranked.crossJoin(want).where("__rank <= __want").select(*rows.columns)
 
 
 def mixture_weights(rows: DataFrame, dataset: str, weights: Mapping[str, float]) -> DataFrame:
@@ -94,8 +101,7 @@ def fixed_composition(probes: DataFrame, others: DataFrame, key: str, slots: int
     """Blocks of ``block`` rows with exactly ``slots`` probes; the other rows follow without replacement: (key, block, place)."""
 
     def dealt(rows: DataFrame, per: int, first: int) -> DataFrame:
-        order = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(draw(F.col(key), seed=seed), key)) - 1
-        ranked = rows.select(key).withColumn("__i", order)
+        ranked = hash_rank(rows.select(key), draw(F.col(key), seed=seed), key, "__r").withColumn("__i", F.col("__r") - 1)
         return ranked.select(key, F.floor(F.col("__i") / per).alias("block"), (F.col("__i") % per + first).alias("place"))
 
     return dealt(probes, slots, 0).unionByName(dealt(others, block - slots, slots))
@@ -144,12 +150,20 @@ def remapped_time(rows: DataFrame, by: Sequence[str], frame: str, last: int) ->
     return rows.withColumn("t", F.least(F.greatest(F.bround(scaled).cast("int"), F.lit(0)), F.lit(last)))
 
 
-def contiguous_shards(rows: DataFrame, order: Sequence[str], world: int) -> DataFrame:
-    """Shard of each row in order; the last one takes the remainder. For reports: it ranks all rows."""
-    w = Window.partitionBy(F.lit(0))
-    n = F.count("*").over(w)
-    i = F.row_number().over(w.orderBy(*order)) - 1
-    return rows.withColumn("shard", F.least(F.floor(i / F.greatest(F.floor(n / world), F.lit(1))), F.lit(world - 1)).cast("int"))
+def contiguous_shards(rows: DataFrame, order: Sequence[str], world: int, cells: int = 256) -> DataFrame:
+    """Shard of each row in order of ``order`` (the first column a number); the last one takes the remainder.
+
+    Approximate quantiles of the first column cut the order into cells; cells are counted, and rows ranked inside.
+    """
+    cuts = rows.agg(F.array_distinct(F.percentile_approx(order[0], [k / cells for k in range(1, cells)])).alias("__cuts"), F.count("*").alias("__n"))
+    placed = rows.crossJoin(cuts)  # one row
+    placed = placed.withColumn("__cell", F.size(F.filter("__cuts", lambda c: c < F.col(order[0]))))
+    counts = placed.groupBy("__cell").agg(F.count("*").alias("__c"))
+    below = F.sum("__c").over(Window.partitionBy(F.lit(0)).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select("__cell", F.coalesce(below, F.lit(0)).alias("__below"))
+    ranked = placed.withColumn("__row", F.row_number().over(Window.partitionBy("__cell").orderBy(*order)) - 1).join(counts, "__cell")
+    size = F.greatest(F.floor(F.col("__n") / world), F.lit(1))
+    return ranked.select(*rows.columns, F.least(F.floor((F.col("__below") + F.col("__row")) / size), F.lit(world - 1)).cast("int").alias("shard"))
 
 
 def farthest_points(points: DataFrame, by: Sequence[str], n: int) -> DataFrame:
