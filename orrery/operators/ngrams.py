@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -41,15 +42,71 @@ def _longest(a: list[str], b: list[str]) -> int:
     return row[-1]
 
 
-def stem(word: str) -> str:
-    """A light suffix stemmer for matching: plural, past and progressive endings of words of over three letters."""
-    if len(word) > 3:
-        for end, to in (("sses", "ss"), ("ies", "i"), ("ing", ""), ("ed", ""), ("s", "")):
-            if word.endswith(end) and len(word) - len(end) > 2 and not word.endswith("ss"):
-                return word[: len(word) - len(end)] + to
+#: The suffixes of the published algorithm, by step; those of a step are tried longest first.
+SUFFIXES_2 = {"ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "abli": "able", "alli": "al", "entli": "ent", "eli": "e", "ousli": "ous", "ization": "ize", "ation": "ate", "ator": "ate", "alism": "al", "iveness": "ive", "fulness": "ful", "ousness": "ous", "aliti": "al", "iviti": "ive", "biliti": "ble"}
+SUFFIXES_3 = {"icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic", "ful": "", "ness": ""}
+SUFFIXES_4 = ["al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize"]
+
+
+def _form(word: str) -> str:
+    """v for vowels, c for consonants; y is a vowel after a consonant."""
+    out = ""
+    for ch in word:
+        out += "v" if ch in "aeiou" or (ch == "y" and out.endswith("c")) else "c"
+    return out
+
+
+def _measure(word: str) -> int:
+    return len(re.findall("v+c+", _form(word)))
+
+
+def _short_end(word: str) -> bool:
+    return _form(word).endswith("cvc") and word[-1] not in "wxy"
+
+
+def _replaced(word: str, table: dict[str, str], least: int) -> str:
+    for end in sorted(table, key=len, reverse=True):
+        if word.endswith(end):
+            base = word[: -len(end)]
+            return base + table[end] if _measure(base) > least else word
     return word
 
 
+def stem(word: str) -> str:
+    """Porter's stem (1980) of a lower-case word of more than three letters; shorter ones stay."""
+    if len(word) <= 3:
+        return word
+    if word.endswith("sses") or word.endswith("ies"):
+        word = word[:-2]
+    elif word.endswith("s") and not word.endswith("ss"):
+        word = word[:-1]
+    if word.endswith("eed"):
+        word = word[:-1] if _measure(word[:-3]) > 0 else word
+    else:
+        for end in ("ed", "ing"):
+            base = word[: -len(end)]
+            if word.endswith(end):
+                if "v" in _form(base):
+                    word = base
+                    if word.endswith(("at", "bl", "iz")) or (_measure(word) == 1 and _short_end(word)):
+                        word += "e"
+                    elif word[-2:-1] == word[-1:] and _form(word).endswith("c") and word[-1] not in "lsz":
+                        word = word[:-1]
+                break
+    if word.endswith("y") and "v" in _form(word[:-1]):
+        word = word[:-1] + "i"
+    word = _replaced(_replaced(word, SUFFIXES_2, 0), SUFFIXES_3, 0)
+    for end in sorted(SUFFIXES_4, key=len, reverse=True):
+        if word.endswith(end):
+            base = word[: -len(end)]
+            if _measure(base) > 1 and (end != "ion" or base.endswith(("s", "t"))):
+                word = base
+            break
+    if word.endswith("e") and (_measure(word[:-1]) > 1 or (_measure(word[:-1]) == 1 and not _short_end(word[:-1]))):
+        word = word[:-1]
+    return word[:-1] if word.endswith("ll") and _measure(word) > 1 else word
+
+
 def rouge_l():
     """Arrow function of (prediction, truths): the best F-measure of the longest common subsequence of stems."""
 
