@@ -35,14 +35,15 @@ def records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """One WARC record a row of ``pages`` (page_id, url, html), as text without the closing line ends.
 
     Of pages with equal payloads of at least ``least_bytes`` bytes that with the smallest page_id is the response
-    and the others revisit it; every smaller payload is a response.
+    and the others revisit it; every smaller payload is a response. Pages without an id and repeated rows of the
+    smallest page_id are responses; pages of one id with different payloads are judged each.
     """
     payload = F.coalesce("html", F.lit(""))
     page = pages.select("page_id", F.regexp_replace(F.coalesce("url", F.lit("")), "[\\r\\n]", " ").alias("url"), payload.alias("html"))
     page = page.withColumns({"n": F.octet_length("html").cast("long"), "digest": base32_sha1(F.encode("html", "UTF-8"))})
     least = page.where((F.col("n") >= least_bytes) & F.col("page_id").isNotNull()).groupBy(F.col("digest").alias("d"), shared(F.col("digest")).alias("__s")).agg(F.min("page_id").alias("original"))
-    chosen = written(page.select("page_id", "digest").join(least.select("d", "original"), F.col("digest") == F.col("d")).where("page_id != original").select(F.col("page_id").alias("again"), "original").distinct(), "revisits")
-    page = page.join(chosen, F.col("page_id") == F.col("again"), "left").withColumn("original", F.when(F.col("n") >= least_bytes, F.col("original")))
+    chosen = written(page.select("page_id", "digest").join(least.select("d", "original"), F.col("digest") == F.col("d")).where("page_id != original").select(F.col("page_id").alias("again"), "d", "original").distinct(), "revisits")
+    page = page.join(chosen, (F.col("page_id") == F.col("again")) & (F.col("digest") == F.col("d")), "left").withColumn("original", F.when(F.col("n") >= least_bytes, F.col("original")))
     revisit = F.col("original").isNotNull()
     body = F.when(revisit, "").otherwise(F.col("html"))
     header = [

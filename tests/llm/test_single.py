@@ -46,6 +46,14 @@ def test_warc_of_nothing(spark):
     assert warc.read_warc(spark, path).count() == 0
 
 
+def test_warc_repeated_ids(spark):
+    rows = [(1, "u", "a"), (1, "u", "a"), (2, "u", "a"), (2, "u", "b"), (None, "u", "a")]
+    path = warc.scratch_path(spark, "test")
+    warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string"), path)
+    got = [(r.page_id, r.record_type, r.refers_to) for r in warc.read_warc(spark, path).collect()]
+    assert Counter(got) == Counter({(1, "response", None): 2, (2, "revisit", 1): 1, (2, "response", None): 1, (None, "response", None): 1})
+
+
 TOKENIZER = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
 TEXTS = ["x  y", " lead x", "tail ", "a \n b", "a\n b", "q <|endoftext|> r", "a  b", "a   b", "it's 10½ ²³ _x __ a_b", "日本語 テスト", None, "", " ", "word " * 5000, "x" * 3000, "same text", "same text"]
 
