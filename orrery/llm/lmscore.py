@@ -1,11 +1,14 @@
 """Language-model scores by cross-entropy difference.
 
 A target model, from documents labelled good, and a background model, from all documents, are bigram models of one
-kind over one vocabulary: words and word pairs, hashed into tables whose sizes are parameters. A token's loss under a
-model mixes its pair probability with its word probability; a document's score is the mean difference of its tokens'
-losses, target less background, so the lowest scores read most like the target.
-
-Both tables are gathered from every token of every document; a worker adds up its batches before rows are shuffled.
+kind over one vocabulary, the words of all documents. A token's loss under a model mixes its pair probability with its
+word probability; a document's score is the mean difference of its tokens' losses, target less background, so the
+lowest scores read most like the target.
+
+Counts are exact: words and pairs are told apart by 64 and 128 bits of hash and counted in tables that grow with the
+input. A pair's losses follow from its own counts and those of its two words; tokens, added up per document and pair,
+are joined to them. The most frequent words and pairs are broadcast instead, so no join has a hot key; how many only
+decides which way a token goes, not its loss.
 """
 
 from __future__ import annotations
@@ -14,100 +17,195 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orrery.llm.common import written
 from orrery.llm.words import ALNUM, Words, buffers, chunks, mixed
 
-#: Cells of the vocabulary's tables of words and of pairs: powers of two, the bound of what is broadcast.
-WORD_CELLS, PAIR_CELLS = 1 << 18, 1 << 20
-#: Share of the pair probability in a token's probability, and what each cell of a word table is raised by.
+#: Words and pairs that are broadcast at most; all others are joined.
+HOT_WORDS, HOT_PAIRS = 1 << 18, 1 << 19
+#: Share of the pair probability in a token's probability, and what the count of each word is raised by.
 PAIR_SHARE, SMOOTH = 0.6, 0.5
+#: What stands before the first token of a text.
+START = 0
+#: Pairs that a worker adds up before it passes them on.
+HELD = 2_000_000
 _NEXT = np.uint64(0x9FB21C651E98DF25)
 
 
-def _cells(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For runs of rows: tokens a row, word cells, pair cells, and whether a token has one before it in its text."""
+def _keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mixed(before.view(np.uint64) * _NEXT + word.view(np.uint64))
+
+
+def _tokens(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For runs of rows: the first row, tokens a row, and of each token its row, the word before it and its word."""
     data, offsets = buffers(texts)
     for a, b in chunks(offsets):
         w = Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], ALNUM)
-        h = w.hashes()
-        after = np.zeros(len(h), bool)
-        after[1:] = w.doc[1:] == w.doc[:-1]
-        before = np.zeros_like(h)
-        before[1:] = h[:-1]
-        pair = mixed(before * _NEXT + h)
-        yield w.n, (h & np.uint64(WORD_CELLS - 1)).astype(np.int64), (pair & np.uint64(PAIR_CELLS - 1)).astype(np.int64), after
+        h = w.hashes().view(np.int64)
+        before = np.full(len(h), START, np.int64)
+        after = w.doc[1:] == w.doc[:-1]
+        before[1:][after] = h[:-1][after]
+        yield a, w.n, w.doc, before, h
+
+
+def _added(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Equal pairs of (before, word, good, n) as one."""
+    before, word, good, n = (np.concatenate(c) for c in zip(*parts, strict=True))
+    order = np.lexsort((word, before))
+    before, word, good, n = before[order], word[order], good[order], n[order]
+    at = np.flatnonzero(np.concatenate([[True], (before[1:] != before[:-1]) | (word[1:] != word[:-1])]))
+    return before[at], word[at], np.add.reduceat(good, at), np.add.reduceat(n, at)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words, pairs = np.zeros(WORD_CELLS, np.int64), np.zeros(PAIR_CELLS, np.int64)
+    names, parts, held = ["before", "word", "good", "n"], [], 0
     for batch in batches:
-        for _, w, p, after in _cells(batch.column(0)):
-            words += np.bincount(w, minlength=WORD_CELLS)
-            pairs += np.bincount(p[after], minlength=PAIR_CELLS)
-    for kind, table in enumerate((words, pairs)):
-        at = np.flatnonzero(table)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int8)), pa.array(at), pa.array(table[at])], names=["kind", "cell", "n"])
+        good = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+        for a, _, row, before, word in _tokens(batch.column(0)):
+            if not len(word):
+                continue
+            parts.append(_added([(before, word, good[a + row], np.ones(len(word), np.int64))]))
+            held += len(parts[-1][0])
+            if held > HELD:
+                parts = [_added(parts)]
+                held = len(parts[0][0])
+                if held > HELD // 2:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in parts[0]], names=names)
+                    parts, held = [], 0
+    if parts:
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in _added(parts)], names=names)
+
+
+class Counts:
+    """A table of counts: ``n`` over all documents, ``good`` over those of the target."""
+
+    def __init__(self, rows: DataFrame):
+        self.rows = rows
+
+    def sum(self) -> int:
+        return self.rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+    def frequent(self, most: int) -> int:
+        """The least count from which on at most ``most`` rows have it."""
+        step = F.ceil(F.log2("n") * 8)
+        bins = self.rows.groupBy(step.alias("b")).agg(F.count("*").alias("c"), F.min("n").alias("n"), F.max("n").alias("top")).orderBy(F.desc("b")).collect()
+        least, rows = bins[0].top + 1 if bins else 1, 0
+        for r in bins:
+            rows += r.c
+            if rows > most:
+                break
+            least = r.n
+        return least
 
 
 class Model:
-    """Counts of words and pairs of one set of documents."""
+    """Counts of words and pairs of one set of documents; ``firsts`` are the tokens that begin a text."""
 
-    def __init__(self, words: np.ndarray, pairs: np.ndarray):
-        self.words, self.pairs = words, pairs
-
-    def loss(self, word: np.ndarray, pair: np.ndarray, after: np.ndarray) -> np.ndarray:
-        one = (self.words[word] + SMOOTH) / (self.words.sum() + SMOOTH * WORD_CELLS)
-        context = np.ones(len(word))
-        context[1:] = self.words[word[:-1]]
-        two = np.minimum(self.pairs[pair] / np.maximum(context, 1), 1)
-        share = np.where(after & (context > 0), PAIR_SHARE, 0.0)
-        return -np.log(share * two + (1 - share) * one)
+    def __init__(self, counted: DataFrame):
+        self.counted = counted
+        self.words = Counts(written(counted.groupBy("word").agg(F.sum("good").alias("good"), F.sum("n").alias("n")), "words"))
+        self.pairs = Counts(counted.where(F.col("before") != START))
 
 
 def fitted(docs: DataFrame) -> Model:
-    """The model of all rows of ``docs`` (text)."""
-    counts = docs.select("text").mapInArrow(_count, "kind byte, cell long, n long").groupBy("kind", "cell").agg(F.sum("n").alias("n"))
-    tables = np.zeros(WORD_CELLS, np.int64), np.zeros(PAIR_CELLS, np.int64)
-    got = counts.toArrow()  # at most WORD_CELLS + PAIR_CELLS rows
-    kind, cell, n = (got.column(c).to_numpy() for c in ("kind", "cell", "n"))
-    for k in (0, 1):
-        tables[k][cell[kind == k]] = n[kind == k]
-    return Model(*tables)
-
-
-def score(docs: DataFrame, target: Model, background: Model) -> DataFrame:
+    """The model of all rows of ``docs`` (text); the target are those with ``good``, if there is such a column."""
+    good = F.coalesce("good", F.lit(False)) if "good" in docs.columns else F.lit(False)
+    pairs = docs.select("text", good.alias("good")).mapInArrow(_count, "before long, word long, good long, n long")
+    return Model(written(pairs.groupBy("before", "word").agg(F.sum("good").alias("good"), F.sum("n").alias("n")), "pairs"))
+
+
+def _losses(model: Model, pairs: DataFrame) -> DataFrame:
+    """before, word, target, background: the losses of a token in each of ``pairs`` (rows of ``model.counted``)."""
+    words = model.words.rows
+    size = words.agg(F.count("*").alias("v"), F.coalesce(F.sum("good"), F.lit(0)).alias("good"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    hot = words.where(F.col("n") >= model.words.frequent(HOT_WORDS))
+
+    def of(rows: DataFrame, key: str, p: str) -> DataFrame:
+        return rows.select(F.col("word").alias(key), F.col("good").alias(f"{p}_good"), F.col("n").alias(f"{p}_n"))
+
+    known = pairs.join(F.broadcast(of(hot, "word", "w")), "word", "left").join(F.broadcast(of(hot, "before", "b")), "before", "left")
+    no_word, no_before = F.col("w_n").isNull(), F.col("b_n").isNull() & (F.col("before") != START)
+    # the others have a rare word: each is joined by its rare words alone, those of frequent ones are known
+    rest = known.where(no_word | no_before)
+    rest = rest.withColumn("r", F.when(no_word, F.col("word")).otherwise(F.col("before"))).withColumn("s", F.when(no_before, F.col("before")).otherwise(F.col("word")))
+    rest = rest.join(of(words, "r", "r"), "r").join(of(words, "s", "s"), "s")
+    rest = rest.select(
+        *pairs.columns,
+        *[F.when(no_word, F.col(f"r_{c}")).otherwise(F.col(f"w_{c}")).alias(f"w_{c}") for c in ("good", "n")],
+        *[F.when(no_before, F.col(f"s_{c}")).otherwise(F.col(f"b_{c}")).alias(f"b_{c}") for c in ("good", "n")],
+    )
+    whole = known.where(~(no_word | no_before)).select(*rest.columns).unionByName(rest)
+
+    def loss(c: str) -> Column:
+        one = (F.col(f"w_{c}") + SMOOTH) / F.lit(size[c] + SMOOTH * size.v)
+        two = F.col(c) / F.greatest(F.col(f"b_{c}"), F.lit(1))
+        share = F.when((F.col("before") != START) & (F.col(f"b_{c}") > 0), F.lit(PAIR_SHARE)).otherwise(0.0)
+        return -F.log(F.when(share > 0, share * two).otherwise(0.0) + (1 - share) * one)
+
+    return whole.select("before", "word", loss("good").alias("target"), loss("n").alias("background"))
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, n_tokens, target_loss, background_loss, score) for each row of ``docs`` (doc_id, text).
 
-    Losses are natural logarithms, means over the tokens; score is their difference. Null texts and texts without
-    words have no tokens and null losses and score. Repeated rows and null ids come back as they are; extra columns
-    are ignored; an empty table gives none.
+    ``docs`` are rows that ``model`` was counted over. Losses are natural logarithms, means over the tokens; score is
+    their difference. Null texts and texts without words have no tokens and null losses and score. Repeated rows and
+    null ids come back as they are; extra columns are ignored; an empty table gives none.
     """
-    sent = docs.sparkSession.sparkContext.broadcast((target, background))
+    from_count = Counts(model.counted).frequent(HOT_PAIRS)
+    hot = _losses(model, model.counted.where(F.col("n") >= from_count)).toArrow()  # at most HOT_PAIRS rows
+    before, word, target, background = (hot.column(c).to_numpy() for c in ("before", "word", "target", "background"))
+    keys = _keys(before, word)
+    order = np.argsort(keys)
+    sent = docs.sparkSession.sparkContext.broadcast((keys[order], target[order], background[order]))
+
+    def met(texts: pa.Array):
+        keys, *losses = sent.value
+        for a, n, row, before, word in _tokens(texts):
+            if len(keys):
+                key = _keys(before, word)
+                at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                found = keys[at] == key
+            else:
+                at, found = np.zeros(len(word), np.int64), np.zeros(len(word), bool)
+            yield a, n, row, before, word, at, found, losses
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [(n, *(np.bincount(row[found], x[at[found]], len(n)) for x in losses)) for _, n, row, _, _, at, found, losses in met(batch.column(2))]
+            n, *sums = (np.concatenate(c) for c in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), *(pa.array(s, pa.float64()) for s in sums)], names=["doc_id", "k", "n_tokens", "t", "b"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, sums = [], [[], []]
-            for count, word, pair, after in _cells(batch.column(1)):
-                ends = np.cumsum(count)
-                n.append(count)
-                for k, model in enumerate(sent.value):
-                    upto = np.concatenate([[0.0], np.cumsum(model.loss(word, pair, after))])
-                    sums[k].append(upto[ends] - upto[ends - count])
-            n = np.concatenate(n) if n else np.zeros(0, np.int64)
-            means = [np.divide(np.concatenate(s) if s else np.zeros(0), np.maximum(n, 1)) for s in sums]
-            none = n == 0
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), *(pa.array(m, pa.float64(), mask=none) for m in (*means, means[0] - means[1]))],
-                names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"],
-            )
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+            k = batch.column(0).to_numpy()
+            for a, _, row, before, word, _, found, _ in met(batch.column(1)):
+                row, before, word = row[~found], before[~found], word[~found]
+                if not len(row):
+                    continue
+                order = np.lexsort((word, before, row))
+                row, before, word = row[order], before[order], word[order]
+                at = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (before[1:] != before[:-1]) | (word[1:] != word[:-1])]))
+                n = np.diff(np.append(at, len(row)))
+                yield pa.RecordBatch.from_arrays([pa.array(k[a + row[at]]), pa.array(before[at]), pa.array(word[at]), pa.array(n)], names=["k", "before", "word", "n"])
+
+    # rows that are equal in id and text share a key; sums and tokens are then those of all of them, the means the same
+    keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("k"), "text")
+    rows = written(keyed.mapInArrow(known, "doc_id long, k long, n_tokens long, t double, b double"), "known")
+    pair = F.xxhash64("before", "word").alias("pair")
+    tokens = keyed.select("k", "text").mapInArrow(rare, "k long, before long, word long, n long").select("k", pair, F.col("n").cast("int").alias("n"))
+    losses = _losses(model, model.counted.where(F.col("n") < from_count)).select(pair, "target", "background")
+    joined = tokens.join(losses, "pair").select("k", F.lit(0).cast("long").alias("n_tokens"), (F.col("n") * F.col("target")).alias("t"), (F.col("n") * F.col("background")).alias("b"))
+    sums = rows.select("k", "n_tokens", "t", "b").unionByName(joined).groupBy("k").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "t", "b")])
+    means = sums.where("n_tokens > 0").select("k", (F.col("t") / F.col("n_tokens")).alias("target_loss"), (F.col("b") / F.col("n_tokens")).alias("background_loss"))
+    out = rows.select("doc_id", "k", "n_tokens").join(means, "k", "left")
+    return out.select("doc_id", "n_tokens", "target_loss", "background_loss", (F.col("target_loss") - F.col("background_loss")).alias("score"))
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
     """Every document of ``documents``; the target are all documents that ``labels`` calls good."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    good = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select("doc_id").distinct()
-    return score(docs, fitted(docs.join(good, "doc_id", "left_semi")), fitted(docs))
+    good = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select("doc_id", F.lit(True).alias("good")).distinct()
+    return score(docs, fitted(docs.join(good, "doc_id", "left")))

@@ -271,3 +271,34 @@ def test_pipeline(spark, documents):
     assert kept[0] == {*range(90), 100, 101, 102} and kept[1] == kept[0]
     assert kept[3] == kept[2] - {102} and set(range(90)) <= kept[3]
     assert corpus_pipeline.run(spark, sf).where("doc_id < 90").selectExpr("count(DISTINCT doc_id)").first()[0] == 90
+
+
+@pytest.mark.parametrize(("words", "pairs"), [(1 << 18, 1 << 19), (5, 5), (0, 0)])
+def test_scores_are_those_of_exact_counts(spark, documents, monkeypatch, words, pairs):
+    """More distinct pairs than 2^20 hashed cells tell apart, whatever share of words and pairs is broadcast."""
+    monkeypatch.setattr(lmscore, "HOT_WORDS", words)
+    monkeypatch.setattr(lmscore, "HOT_PAIRS", pairs)
+    rng = random.Random(21)
+    many = 1_500_000 if pairs > 5 else 3_000
+    rows = [(i, " ".join(f"w{rng.randrange(20000)}" if rng.random() < 0.9 else "the" for _ in range(many // 40))) for i in range(40)]
+    rows += [(100, "the w1 The w1"), (100, "the w1 The w1"), (100, "w2"), (None, "w3 the w3"), (101, None), (102, "?!")]
+    sf = documents(rows)
+    spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int").write.mode("overwrite").parquet(f"{sf}/labels.parquet")
+    tokens = [(d, re.findall("[a-z0-9]+", (t or "").lower())) for d, t in rows]
+    counts = []
+    for chosen in ([w for d, w in tokens if d is not None and d < 40 and d % 2], [w for _, w in tokens]):
+        counts.append((Counter(x for w in chosen for x in w), Counter(p for w in chosen for p in zip(w, w[1:]))))
+    vocabulary = len(counts[1][0])
+
+    def mean(w, one, two):
+        total, out = sum(one.values()), 0.0
+        for a, b in zip([None, *w], w):
+            share = 0.6 if one.get(a) else 0.0
+            out -= np.log((share * two[a, b] / one[a] if share else 0.0) + (1 - share) * (one[b] + 0.5) / (total + 0.5 * vocabulary))
+        return out / len(w)
+
+    want = sorted((str(d), len(w), *((round(mean(w, *c), 7) for c in counts) if w else (None, None))) for d, w in tokens)
+    got = sorted((str(r.doc_id), r.n_tokens, *(None if x is None else round(x, 7) for x in (r.target_loss, r.background_loss))) for r in lmscore.op7(spark, sf).collect())
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    for g, w in zip(got, want):
+        assert g[2:] == (pytest.approx(w[2:], abs=1e-6) if w[2] is not None else (None, None))
