@@ -132,6 +132,28 @@ def test_quality_rejects_outliers_only(spark, documents):
     assert kept == {*range(200), 2000}
 
 
+def test_quality_judges_small_groups(spark, documents):
+    """Outliers in a small source fall by their language's estimate, those in a small language by that of all rows."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(2, 9)))
+    clean = lambda: " ".join(word() for _ in range(rng.randint(40, 400)))
+    junk = lambda: " ".join(word() + "%%%" for _ in range(100))
+    rows = [(i, clean(), "en", "big") for i in range(200)] + [(300 + i, clean(), "en", f"small{i % 3}") for i in range(30)] + [(400 + i, clean(), "xx", "big") for i in range(10)]
+    bad = [(1000, junk(), "en", "small0"), (1001, junk(), "en", "alone"), (1002, junk(), "xx", "big"), (1003, junk(), None, None)]
+    got = {r.doc_id: r.kept for r in quality.op5(spark, documents(rows + bad)).collect()}
+    assert got == {r[0]: True for r in rows} | {r[0]: False for r in bad}
+    assert quality.judged(spark.read.parquet(documents(rows + bad) + "/documents.parquet")).where("NOT base_failed AND distance IS NULL").count() == 0
+
+
+def test_quality_whose_groups_are_all_small(spark, documents):
+    """The estimate of all rows judges even where no language has rows enough."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(2, 9)))
+    rows = [(i, " ".join(word() for _ in range(rng.randint(40, 400))), "abcdefgh"[i % 8], "s") for i in range(160)]
+    kept = {r.doc_id for r in quality.op5(spark, documents([*rows, (900, " ".join(word() + "%%%" for _ in range(100)), "z", "s")])).where("kept").collect()}
+    assert kept == set(range(160))
+
+
 def test_covariance_determinant_against_numpy(spark, documents):
     """The distances of the last step are those of numpy with the same rows nearest."""
     rng = np.random.default_rng(2)
