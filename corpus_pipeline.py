@@ -29,8 +29,20 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return (cut.withColumn("n_chars", chars) if "n_chars" in docs.columns else cut).select(*docs.columns)
 
 
+def _emptied(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id of documents that had lines of four or more tokens and have none left: others keep all they said."""
+    lines = lambda t: t.where("doc_id IS NOT NULL").select("doc_id", linededup.has_lines(F.col("text")).alias("__lines"))
+    bare = lines(docs).groupBy("doc_id").agg(F.bool_or("__lines").alias("__any")).where("NOT __any")
+    had = lines(spark.read.parquet(f"{sf_dir}/documents.parquet")).where("__lines")
+    return bare.join(had, "doc_id", "left_semi")
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, similarity 0.8) stays."""
+    """One document of each group of near-duplicates (five-word shingles, similarity 0.8) stays.
+
+    Later copies whose lines the stage before has cut go too: without their words nothing would link them.
+    """
+    docs = written(_without(docs, _emptied(spark, docs, sf_dir)), "not-emptied")
     return _without(docs, neardup.near_duplicates(docs, size=5, percent=80).where("NOT kept"))
 
 

@@ -26,6 +26,11 @@ def _tokens(line: Column) -> Column:
     return F.array_remove(F.split(F.regexp_replace(line, "[0-9]+", "0"), "[\\x20\\x09-\\x0D]+"), "")
 
 
+def has_lines(text: Column) -> Column:
+    """Whether a text has a line of tokens enough for a template."""
+    return F.coalesce(F.exists(F.split(text, "\n"), lambda x: F.size(_tokens(x)) >= LEAST_TOKENS), F.lit(False))
+
+
 def lines_of(docs: DataFrame) -> DataFrame:
     """doc_id, line (from 0), tokens of each \\n-split line that has tokens enough for a template."""
     lines = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "l"))

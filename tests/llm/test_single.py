@@ -295,6 +295,22 @@ def test_pipeline(spark, documents):
     assert corpus_pipeline.run(spark, sf).where("doc_id < 90").selectExpr("count(DISTINCT doc_id)").first()[0] == 90
 
 
+def test_pipeline_keeps_one_of_each_group_of_copies(spark, documents):
+    import corpus_pipeline
+
+    rng = random.Random(13)
+    prose = lambda n: " ".join("".join(rng.choices("abcdefghijklm", k=rng.randint(3, 9))) for _ in range(n))
+    base = [f"{prose(2)}\n{prose(60)}\n{prose(50)}\n{prose(1)}" if i % 2 else prose(120) for i in range(80)]
+    short = "\n".join(prose(3) for _ in range(30))
+    copies = [(100 + 10 * g + k, base[g] if k < 3 else base[g] + " more") for g in range(6) for k in range(4)]
+    sf = documents([*enumerate(base), *copies, (200, short)])
+    spark.createDataFrame([(0, "no such item " + prose(12))], "item_id long, text string").write.mode("overwrite").parquet(f"{sf}/benchmark.parquet")
+    got = {r.doc_id for r in corpus_pipeline.run(spark, sf).select("doc_id").distinct().collect()}
+    for g in range(6):
+        assert len(got & {g, *(i for i, _ in copies if (i - 100) // 10 == g)}) == 1
+    assert set(range(6, 80)) <= got and 200 in got
+
+
 @pytest.mark.parametrize(("words", "pairs"), [(1 << 18, 1 << 19), (5, 5), (0, 0)])
 def test_scores_are_those_of_exact_counts(spark, documents, monkeypatch, words, pairs):
     """More distinct pairs than 2^20 hashed cells tell apart, whatever share of words and pairs is broadcast."""
