@@ -27,5 +27,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    sql = {"op1_warc": warc.SQL, "op2_line_dedup": linededup.SQL, "op3_decontaminate": decontaminate.SQL, "op10_near_duplicates": neardup.SQL}
+    sql = {"op1_warc": warc.SQL, "op2_line_dedup": linededup.SQL, "op3_decontaminate": decontaminate.SQL, "op7_lm_score": lmscore.SQL, "op10_near_duplicates": neardup.SQL}
     return sql | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

@@ -8,6 +8,8 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from oracle import rows as plain_rows
+from oracle import sql_rows
 
 from orrery.llm import chat, htmltext, linededup, lmscore, packing, quality, sharding, warc
 
@@ -335,6 +337,7 @@ def test_scores_are_those_of_exact_counts(spark, documents, monkeypatch, words,
             out -= np.log((share * two[a, b] / one[a] if share else 0.0) + (1 - share) * (one[b] + 0.5) / (total + 0.5 * vocabulary))
         return out / len(w)
 
+    assert plain_rows(lmscore.op7(spark, sf)) == sql_rows(lmscore.SQL, sf)[1]
     want = sorted((str(d), len(w), *((round(mean(w, *c), 7) for c in counts) if w else (None, None))) for d, w in tokens)
     got = sorted((str(r.doc_id), r.n_tokens, *(None if x is None else round(x, 7) for x in (r.target_loss, r.background_loss))) for r in lmscore.op7(spark, sf).collect())
     assert [g[:2] for g in got] == [w[:2] for w in want]
