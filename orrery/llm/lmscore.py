@@ -37,7 +37,7 @@ UNIT = 1 << 20
 START = 0
 #: Tokens and rows that a worker packs at once, and how often a pair must be among them to be looked at as frequent: a
 #: pair that is so frequent on average is so in one of the packs.
-HELD, HELD_ROWS, OFTEN = 1_000_000, 50_000, 3
+HELD, HELD_ROWS, OFTEN = 400_000, 50_000, 2
 #: Tokens that meet in a bucket on average, and the bits of the least number of buckets.
 MET, LEAST_BITS = 2_000_000, 8
 #: Places of words and bits of a pair of them.

@@ -1,10 +1,13 @@
 """Packing of tokenised documents into sequences, by a configuration linear program over the length histogram.
 
 A configuration is a multiset of piece lengths that fits a sequence. The program covers the histogram with as few
-configurations as it can; multiplicative weights on the lengths play against a knapsack dynamic program that prices
-configurations. The fractional solution is rounded to whole configurations, and what it leaves over is placed by
-best fit. Everything up to here works on the histogram (one number for each length up to the capacity), whatever the
-number of documents; Spark then gives each piece a rank within its length and the plan maps ranks to places.
+configurations as it can. Multiplicative weights on the lengths play against a knapsack dynamic program that prices
+configurations: each turn covers the demand with configurations of nearly the best price, and lengths that stay
+uncovered or sit in wasteful configurations gain weight for the next turn. Any weights also give a lower bound by
+duality. The solutions are rounded to whole configurations, what a rounding leaves over is placed by best fit, and the
+best rounding is taken. Everything up to here works on the histogram (one number for each length up to the capacity),
+whatever the number of documents; Spark then gives each piece a rank within its length and the plan maps ranks to
+places.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ import zlib
 from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
@@ -25,8 +29,13 @@ from pyspark.sql import functions as F
 from orrery.llm.common import salted_rank, written
 
 CAPACITY, SEPARATOR = 2048, 0
-#: Rounds of the multiplicative weights; each prices one configuration for every length.
-ROUNDS, ETA = 40, 0.05
+#: Turns of the multiplicative weights from each start (prices are lengths to the power 1 + start), prices of a turn at
+#: most, and the step of the weights' logarithms.
+STARTS, TURNS, PRICINGS, ETA = (0.0, 0.2), 4, 120, 0.1
+#: How far below the best price, relatively, a configuration may be: from the first, doubled when little is covered.
+NEAR, LAST = 0.001, 0.5
+#: Share of the pieces that a rounding may leave to best fit for the turns to end at the bound.
+LEFT = 0.02
 #: Units of text whose ids a worker remembers, and rows that it encodes at once.
 CACHE, ROWS_AT_ONCE = 500_000, 256
 #: Fixed value: how byte-level tokenizers split texts.
@@ -132,61 +141,89 @@ Plan = list[tuple[tuple[tuple[int, int], ...], int]]
 
 
 def _priced(price: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """The knapsack: for each room the best value and the last length chosen (0: none)."""
+    """The knapsack: for each room the best value and a length chosen for it (0: a token of the room stays empty).
+
+    Of lengths that are as good the longest is chosen, so that the short ones stay for what is hard to fill.
+    """
     value, choice = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
-    sizes = np.flatnonzero(price > 0)
+    sizes = np.flatnonzero(price > 0)[::-1]
     worth = price[sizes]
-    for room in range(1, capacity + 1):
-        k = np.searchsorted(sizes, room, "right")
-        if k:
-            gain = value[room - sizes[:k]] + worth[:k]
-            best = int(gain.argmax())
-            value[room], choice[room] = gain[best], sizes[best]
+    for room in range(int(sizes[-1]) if len(sizes) else capacity + 1, capacity + 1):
+        k = np.searchsorted(-sizes, -room)
+        gain = value[room - sizes[k:]] + worth[k:]
+        best = int(gain.argmax())
+        if gain[best] >= value[room - 1]:
+            value[room], choice[room] = gain[best], sizes[k + best]
+        else:
+            value[room] = value[room - 1]
     return value, choice
 
 
-def fractional(demand: np.ndarray, capacity: int) -> dict[tuple[tuple[int, int], ...], float]:
-    """Amounts of configurations that together cover most of the demand and none of it twice, near the fewest.
+def _best_with(size: int, choice: np.ndarray, capacity: int) -> Counter:
+    """The best configuration that has this length."""
+    config, room = Counter({size: 1}), capacity - size
+    while room > 0:
+        config[int(choice[room])] += choice[room] > 0
+        room -= int(choice[room]) or 1
+    return +config
+
+
+Amounts = dict[tuple[tuple[int, int], ...], float]
+
 
-    Every round takes a step towards the demand; the lengths that lag behind gain weight, those ahead lose it.
+def fractional(sizes: np.ndarray, need: np.ndarray, weight: np.ndarray, capacity: int) -> tuple[Amounts, np.ndarray, float]:
+    """Amounts of configurations that cover ``need`` by ``sizes``, none of it twice; what they leave; a lower bound.
+
+    The bound is that of the dual program: the demand at these prices over the dearest configuration's price.
     """
-    sizes = np.flatnonzero(demand)
-    need = demand[sizes].astype(float)
-    covered = np.zeros(len(sizes))
-    amounts: dict[tuple[tuple[int, int], ...], float] = defaultdict(float)
+    left, amounts, bound, top, near = need.astype(float), defaultdict(float), 0.0, 0.0, NEAR
     place = np.full(capacity + 1, -1)
     place[sizes] = np.arange(len(sizes))
-    base = sizes.astype(float)  # by length alone every full sequence is worth the same
-    for turn in range(ROUNDS):
-        short = np.clip(1 - covered / need, 0, None)
-        if not (short > 1e-9).any():
+    for _ in range(PRICINGS):
+        there = left > 1e-9
+        if not there.any() or near > LAST:
             break
         price = np.zeros(capacity + 1)
-        price[sizes] = base * np.exp(ETA * (short - short.max())) * (short > 1e-9)
-        _, choice = _priced(price, capacity)
-        share = 1 / (ROUNDS - turn)
-        for i in np.argsort(-sizes):  # the best configuration that has this length
-            left = need[i] - covered[i]
-            if left <= 1e-9:
-                continue
-            config = Counter({int(sizes[i]): 1})
-            room = capacity - int(sizes[i])
-            while room and choice[room]:
-                config[int(choice[room])] += 1
-                room -= int(choice[room])
-            at = place[list(config)]
-            counts = np.array(list(config.values()), float)
-            amount = min(left * share / config[int(sizes[i])], float(((need[at] - covered[at]) / counts).min()))
-            if amount <= 1e-9:
+        price[sizes] = np.where(there, sizes * np.exp(weight), 0)
+        value, choice = _priced(price, capacity)
+        if not top:
+            top = value[capacity]
+            bound = float(need @ price[sizes]) / top
+        covered = 0.0
+        for i in np.flatnonzero(there)[::-1]:
+            size = int(sizes[i])
+            if left[i] <= 1e-9 or price[size] + value[capacity - size] < (1 - near) * top:
                 continue
-            amounts[tuple(sorted(config.items(), reverse=True))] += amount
-            covered[at] += counts * amount
-    return amounts
+            config = _best_with(size, choice, capacity)
+            at, counts = place[list(config)], np.array(list(config.values()), float)
+            amount = float((left[at] / counts).min())
+            amount = np.floor(amount) if amount > 1 else amount
+            if amount > 1e-9:
+                amounts[tuple(sorted(config.items(), reverse=True))] += amount
+                left[at] -= counts * amount
+                covered += amount * counts.sum()
+        if covered < 0.02 * left.sum():
+            near *= 2
+    return amounts, left, bound
+
+
+def _rounded(amounts: Amounts, demand: np.ndarray) -> tuple[Plan, np.ndarray]:
+    """Whole configurations, as many as the amounts say and at least one where its pieces are left; the demand left."""
+    left, plan = demand.copy(), []
+    for config, amount in sorted(amounts.items(), key=lambda x: (-x[1], -sum(s * n for s, n in x[0]), x[0])):
+        use = min(max(int(amount + 1e-9), 1), *(int(left[s]) // n for s, n in config))
+        if use > 0:
+            plan.append((config, use))
+            for s, n in config:
+                left[s] -= n * use
+    return plan, left
 
 
-def _filled(demand: np.ndarray, capacity: int) -> Plan:
-    """Best fit by decreasing length, whole groups of equal sequences at a time."""
+def _filled(demand: np.ndarray, capacity: int, opened: Plan = ()) -> Plan:
+    """Best fit by decreasing length into sequences of ``opened`` and new ones, equal sequences at a time."""
     groups: dict[int, Counter] = defaultdict(Counter)  # by room left: configurations and how many
+    for config, n in opened:
+        groups[capacity - sum(s * k for s, k in config)][config] += n
     for size in np.flatnonzero(demand)[::-1].tolist():
         count = int(demand[size])
         room = size
@@ -200,8 +237,8 @@ def _filled(demand: np.ndarray, capacity: int) -> Plan:
                     del groups[room][config]
                 groups[room - each * size][(*config, (size, each))] += use
                 count -= use * each
-                if room - each * size >= size and room - each * size < room:
-                    room = min(room, max(size, room - each * size))
+                if room - each * size >= size:
+                    room -= each * size
             else:
                 room += 1
         if count:
@@ -214,25 +251,55 @@ def _filled(demand: np.ndarray, capacity: int) -> Plan:
     return [(c, n) for by in groups.values() for c, n in by.items()]
 
 
-def planned(demand: np.ndarray, capacity: int) -> Plan:
-    """Whole configurations for the histogram ``demand`` (by length, 0 to ``capacity``)."""
+@dataclass
+class Solution:
+    """A plan; the dual program's lower bound on its sequences; pieces that rounding left to best fit."""
+
+    plan: Plan
+    bound: float
+    left: int
+
+    @property
+    def sequences(self) -> int:
+        return sum(n for _, n in self.plan)
+
+
+def solved(demand: np.ndarray, capacity: int) -> Solution:
+    """The plan of the fewest sequences over all turns for the histogram ``demand`` (by length, 0 to ``capacity``)."""
     rest = demand.astype(np.int64).copy()
-    plan: Plan = []
-    if rest[capacity]:
-        plan.append((((capacity, 1),), int(rest[capacity])))
-        rest[capacity] = 0
-    alone = _filled(rest, capacity)
-    rounded: Plan = []
-    left = rest.copy()
-    for config, amount in sorted(fractional(rest, capacity).items(), key=lambda x: (-x[1], x[0])):
-        use = min(int(amount), *(int(left[s]) // n for s, n in config))
-        if use > 0:
-            rounded.append((config, use))
-            for s, n in config:
-                left[s] -= n * use
-    rounded += _filled(left, capacity)
-    fewest = min(rounded, alone, key=lambda p: sum(n for _, n in p))
-    return plan + fewest
+    whole, rest[capacity] = int(rest[capacity]), 0  # these have a sequence each in any plan
+    full: Plan = [(((capacity, 1),), whole)] if whole else []
+    sizes = np.flatnonzero(rest)
+    need, bound, best = rest[sizes], 0.0, None
+    for start in STARTS if len(sizes) else ():
+        weight = start * np.log(sizes / capacity)
+        for _ in range(TURNS):
+            amounts, left, low = fractional(sizes, need, weight, capacity)
+            bound = max(bound, low)
+            plan, over = _rounded(amounts, rest)
+            plan = _filled(over, capacity, plan)
+            found = Solution(plan, 0.0, int(over.sum()))
+            if best is None or (found.sequences, found.left) < (best.sequences, best.left):
+                best = found
+            if best.sequences <= np.ceil(bound - 1e-6) and best.left <= LEFT * rest.sum():
+                break
+            # lengths that stay uncovered, and those of configurations with room left, gain weight
+            pain = np.zeros(capacity + 1)
+            for config, amount in amounts.items():
+                room = 1 - sum(s * n for s, n in config) / capacity
+                for s, n in config:
+                    pain[s] += amount * n * room
+            pain = (pain[sizes] + left) / need
+            weight = weight + ETA * (pain - pain.mean())
+        else:
+            continue
+        break
+    return Solution(full + (best.plan if best else []), whole + bound, best.left if best else 0)
+
+
+def planned(demand: np.ndarray, capacity: int) -> Plan:
+    """Whole configurations for the histogram ``demand``."""
+    return solved(demand, capacity).plan
 
 
 def placed(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:

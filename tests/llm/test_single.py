@@ -97,6 +97,43 @@ def test_plan_covers_and_is_no_worse_than_best_fit(low, high, n):
         assert sum(t for _, t in plan) < 1.02 * n / 3  # three to a sequence
 
 
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_configurations_hold_most_pieces_at_the_bound(sf):
+    """Of the tables' lengths most pieces are placed by configurations, in at most one sequence more than the bound."""
+    import os
+
+    import pyarrow.parquet as pq
+
+    path = f"/root/testdata/{sf}/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no tables")
+    demand = np.zeros(2049, np.int64)
+    for batch in packing._pieces(iter(pq.read_table(path, columns=["doc_id", "text"]).to_batches(max_chunksize=2000)), TOKENIZER, 2048, False):
+        demand += np.bincount(batch.column("length").to_numpy(), minlength=2049)
+    got = packing.solved(demand, 2048)
+    assert got.bound <= got.sequences <= np.ceil(got.bound - 1e-6) + 1
+    assert got.left < 0.1 * (demand.sum() - demand[2048])
+
+
+def test_dual_bound_on_small_demands():
+    """The bound never passes the fewest sequences, found by trying all."""
+    from functools import lru_cache
+
+    rng = random.Random(3)
+    for _ in range(30):
+        sizes = sorted((rng.randint(2, 12) for _ in range(7)), reverse=True)
+
+        @lru_cache(None)
+        def fewest(at, rooms, sizes=tuple(sizes)):
+            if at == len(sizes):
+                return len(rooms)
+            used = [fewest(at + 1, tuple(sorted((*rooms[:i], r - sizes[at], *rooms[i + 1 :])))) for i, r in enumerate(rooms) if r >= sizes[at]]
+            return min([*used, fewest(at + 1, tuple(sorted((*rooms, 12 - sizes[at]))))])
+
+        got = packing.solved(np.bincount(sizes, minlength=13), 12)
+        assert got.bound <= fewest(0, ()) + 1e-9 and got.sequences <= fewest(0, ()) + 1
+
+
 def statistics(text):
     text = text or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", text)
