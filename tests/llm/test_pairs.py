@@ -37,6 +37,29 @@ def test_search_odd_rows(spark, documents):
     assert decontaminate.search(docs.limit(0), bench).count() == 0
 
 
+def test_tables_of_a_block_are_bounded():
+    """Whatever the words: a block's tables keep to the stated bytes for each byte of its text."""
+    rng = random.Random(8)
+    for item in (lambda: " ".join(rng.choices("abcdefgh", k=40)), lambda: "a", lambda: " ".join(str(rng.randrange(10**6)) for _ in range(300)), lambda: " ".join(f"v{rng.randrange(50)}" for _ in range(rng.randrange(1, 12)))):
+        items, size = [], 0
+        while size < 1 << 19:
+            items.append((str(len(items)), item()))
+            size += len(items[-1][1])
+        tables, ids = decontaminate.patterns(items, 10)
+        shared = sum(x.nbytes for x in (tables[0].text, tables[0].starts, tables[0].ends, tables[0].word))
+        assert shared + sum(t.nbytes() - shared for t in tables) <= decontaminate.TABLE_BYTES * size
+    assert decontaminate.TABLE_BYTES * decontaminate.BLOCK_BYTES <= 256 << 20
+
+
+def test_search_keeps_other_columns(spark, documents):
+    sf = documents([(1, "one two"), (2, None)])
+    docs = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("*", "7 AS __k2", "8 AS __spans", "9 AS item")
+    bench = spark.createDataFrame([(i, f"one two {i}") for i in range(9)] + [(99, "two")], "item_id long, text string")
+    for block in (1 << 20, 20):
+        got = decontaminate.search(docs, bench, block_bytes=block).orderBy("doc_id").collect()
+        assert [(r["__k2"], r.item, r["__spans"], r["__items"]) for r in got] == [(7, 9, [1, 2], ["99"]), (7, 9, [], [])]
+
+
 def brute(texts, size, percent):
     sets = []
     for t in texts:
