@@ -1,11 +1,14 @@
 """Line deduplication by a log-template tree of fixed depth.
 
-A line descends by its token count and then its leading tokens, runs of digits masked. In the leaf it ends in, a
-token is constant at its place if lines of two documents have it there, else variable; a line with its variable
-tokens masked is its template. Templates that recur across documents are boilerplate: their lines are dropped, but
-for the first one, so that a group of copies keeps one whole text.
-
-Only leaves with lines that differ are looked at token by token, and equal lines of a leaf count as one there.
+A line descends by its token count and then its leading tokens, runs of digits masked. In the leaf it ends in, a token
+is as frequent as the leaf's distinct lines that have it at its place. Most of a line's tokens are its constants: how
+frequent the least frequent of CONSTANT of its tokens is, is the line's measure, and a token at most half as frequent is
+a variable field. So a field with many values is generalised however often each value recurs. A line with its variable
+fields masked is its template. Templates that recur across documents are boilerplate: their lines are dropped, but for
+the first one, so that a group of copies keeps one whole text.
+
+Only leaves with lines that differ are looked at token by token, and equal lines of a leaf count as one there. A
+document is a doc_id; lines are told apart by doc_id, text and number.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from orrery.llm.common import shared, written
 
 #: Leading tokens that the tree branches on; fewer tokens make no template: such lines recur by chance in prose.
 DEPTH, LEAST_TOKENS = 4, 4
-#: Share of a line's tokens that must be constant for a template other than the line itself.
+#: Share of a line's tokens that are its constants at least.
 CONSTANT = 0.7
 VARIABLE = "<*>"
 
@@ -32,73 +35,79 @@ def has_lines(text: Column) -> Column:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, line (from 0), tokens of each \\n-split line that has tokens enough for a template."""
-    lines = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "l"))
-    return lines.select("doc_id", "line", _tokens(F.col("l")).alias("t")).where(F.size("t") >= LEAST_TOKENS)
+    """doc_id, text hash, line (from 0), tokens of each \\n-split line that has tokens enough for a template."""
+    lines = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\n")).alias("line", "l"))
+    return lines.select("doc_id", "h", "line", _tokens(F.col("l")).alias("t")).where(F.size("t") >= LEAST_TOKENS)
 
 
 def _recurring(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Hashes of all lines; the distinct lines of each leaf; by document, the lines to look at token by token."""
+    """Hashes of all lines; the distinct lines of each leaf; by row, the lines to look at token by token."""
     leaf = F.xxhash64(F.size("t"), F.slice("t", 1, DEPTH))
-    light = written(lines.select("doc_id", "line", leaf.alias("leaf"), F.xxhash64(F.col("t"), F.lit(1)).alias("same")), "lines")
-    first = F.struct("doc_id", "line")
-    variants = light.groupBy("leaf", "same").agg(F.min(first).alias("first"), F.max("doc_id").alias("last_doc"))
+    light = written(lines.select("doc_id", "h", "line", leaf.alias("leaf"), F.xxhash64(F.col("t"), F.lit(1)).alias("same")), "lines")
+    variants = light.groupBy("leaf", "same").agg(F.min(F.struct("doc_id", "h", "line")).alias("first"), F.max("doc_id").alias("last_doc"))
     variants = written(variants, "variants")
     mixed = variants.groupBy("leaf", shared(F.col("leaf")).alias("__s")).agg(F.count("*").alias("n"), F.min("first.doc_id").alias("a"), F.max("last_doc").alias("b"))
-    mixed = mixed.where("n > 1 AND a < b").select("leaf")
+    mixed = mixed.where("n > 1 AND a < b").select("leaf", "n")
     # one line of each variant in a mixed leaf, token by token
-    wanted = variants.join(mixed, "leaf", "left_semi").select(F.col("first.doc_id").alias("doc_id"), F.col("first.line").alias("line"), "leaf", "same", "last_doc")
-    by_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("line", "leaf", "same", "last_doc")).alias("w"))
-    return light, variants, by_doc
-
-
-def _templates(docs: DataFrame, by_doc: DataFrame) -> DataFrame:
-    """same, leaf, template of the variants that ``by_doc`` asks for."""
-    texts = docs.select("doc_id", "text").join(by_doc, "doc_id")
-    split = F.split("text", "\n")
-    asked = texts.select("doc_id", F.transform("w", lambda x: F.struct(x["leaf"].alias("leaf"), x["same"].alias("same"), x["last_doc"].alias("last_doc"), x["line"].alias("line"))).alias("w"), split.alias("lines"))
-    asked = asked.select("doc_id", F.inline("w"), "lines").select("doc_id", "leaf", "same", "last_doc", F.get("lines", F.col("line")).alias("l"))
-    asked = written(asked.select("doc_id", "leaf", "same", "last_doc", _tokens(F.col("l")).alias("t")).dropDuplicates(["leaf", "same"]), "asked")
-    tokens = asked.select("doc_id", "leaf", "same", "last_doc", F.posexplode("t").alias("place", "token"))
-    key = F.xxhash64("leaf", "place", "token")
-    tokens = tokens.where(F.col("place") >= DEPTH).select("doc_id", "same", "last_doc", "place", key.alias("key"))
-    constant = tokens.groupBy("key", shared(F.col("key")).alias("__s")).agg(F.min("doc_id").alias("a"), F.max("last_doc").alias("b")).where("a < b")
-    found = tokens.select("same", "place", "key").join(constant.select("key"), "key")
-    places = found.groupBy("same").agg(F.array_sort(F.collect_list("place")).alias("places"))
-    masked = asked.select("leaf", "same", "t").join(places, "same", "left")
-    kept = F.transform("t", lambda x, i: F.when((i < DEPTH) | F.array_contains(F.col("places"), i), x).otherwise(VARIABLE))
-    constants = F.size(F.coalesce("places", F.array().cast("array<int>"))) + DEPTH
-    template = F.when(constants >= CONSTANT * F.size("t"), F.xxhash64("leaf", kept)).otherwise(F.col("same"))
-    return masked.select("leaf", "same", template.alias("template"))
+    wanted = variants.join(mixed, "leaf").select(F.col("first.doc_id").alias("doc_id"), F.col("first.h").alias("h"), F.col("first.line").alias("line"), "leaf", "same", "n")
+    by_row = wanted.groupBy("doc_id", "h").agg(F.collect_list(F.struct("line", "leaf", "same", "n")).alias("w"))
+    return light, variants, by_row
+
+
+def _templates(docs: DataFrame, by_row: DataFrame) -> DataFrame:
+    """same, leaf, template of the variants that ``by_row`` asks for."""
+    texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("h"), "text").join(by_row, ["doc_id", "h"])
+    asked = texts.select(F.inline("w"), F.split("text", "\n").alias("lines")).select("leaf", "same", "n", F.get("lines", F.col("line")).alias("l"))
+    asked = written(asked.select("leaf", "same", "n", _tokens(F.col("l")).alias("t")).dropDuplicates(["leaf", "same"]), "asked")
+    tokens = asked.select("leaf", "same", F.posexplode("t").alias("place", "token")).where(F.col("place") >= DEPTH)
+    tokens = tokens.select("same", "place", F.xxhash64("leaf", "place", "token").alias("key"))
+    frequent = tokens.groupBy("key", shared(F.col("key")).alias("__s")).agg(F.count("*").alias("f")).where("f > 1").select("key", "f")
+    found = tokens.join(frequent, "key").groupBy("same").agg(F.collect_list(F.struct("place", "f")).alias("fs"))
+    masked = asked.join(found, "same", "left")
+    # how frequent each token is, in the order of places: 1 where nothing else is found, the leaf's lines for leading ones
+    size = F.size("t")
+    ones = F.transform(F.sequence(F.lit(0), size), lambda i: F.struct(i.alias("place"), F.lit(1).cast("bigint").alias("f")))
+    ones = F.slice(ones, DEPTH + 1, size - DEPTH)
+    pairs = F.array_sort(F.concat(F.coalesce("fs", F.slice(ones, 1, 0)), ones))
+    masked = masked.select("leaf", "same", "n", "t", pairs.alias("p"))
+    most = F.zip_with("p", F.slice("p", 2, F.size("p")), lambda a, b: F.when(b["place"].isNull() | (b["place"] != a["place"]), a["f"]))
+    masked = masked.select("leaf", "same", "t", F.concat(F.array_repeat(F.col("n"), DEPTH), F.array_compact(most)).alias("f"))
+    measure = F.get(F.sort_array("f", asc=False), F.ceil(F.size("t") * CONSTANT).cast("int") - 1)
+    # bound as a variable, the measure is taken once a line, not once a token
+    kept = F.get(F.transform(F.array(measure), lambda r: F.zip_with("t", "f", lambda x, f: F.when(2 * f > r, x).otherwise(VARIABLE))), F.lit(0))
+    return masked.select("leaf", "same", F.xxhash64("leaf", kept).alias("template"))
 
 
 def drops(docs: DataFrame) -> DataFrame:
-    """doc_id and the sorted numbers of its lines to drop."""
-    light, variants, by_doc = _recurring(lines_of(docs))
-    named = _templates(docs, by_doc)
+    """doc_id, text hash (h) and the sorted numbers of the lines to drop."""
+    light, variants, by_row = _recurring(lines_of(docs))
+    named = _templates(docs, by_row)
     whole = written(variants.join(named, ["leaf", "same"], "left").select("leaf", "same", "first", "last_doc", F.coalesce("template", "same").alias("template")), "templates")
     recurs = whole.groupBy("template", shared(F.col("template")).alias("__s")).agg(F.min("first").alias("keep"), F.max("last_doc").alias("b")).where("keep.doc_id < b").select("template", "keep")
-    dropped = whole.join(recurs, "template").select("leaf", "same", "keep")
-    lines = light.join(dropped.select("same", "leaf", "keep").withColumnRenamed("leaf", "leaf_"), "same").where("leaf = leaf_ AND (doc_id != keep.doc_id OR line != keep.line)")
-    return lines.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("dropped"))
+    dropped = whole.join(recurs, "template").select("same", F.col("leaf").alias("leaf_"), "keep")
+    lines = light.join(dropped, "same").where("leaf = leaf_ AND struct(doc_id, h, line) != keep")
+    return lines.groupBy("doc_id", "h").agg(F.array_sort(F.collect_set("line")).alias("dropped"))
 
 
 def without_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with recurring lines cut from ``text``; adds __lines (before) and __dropped (numbers from 0).
 
     A line's place is its number among the \\n-split lines; the lines that stay are joined by \\n as they were. Null
-    and empty texts and rows with a null doc_id come back as they are. Rows with the same doc_id count as one
-    document: lines that recur only within a document stay. Other columns pass through; an empty table gives none.
+    and empty texts and rows with a null doc_id come back as they are. Rows with the same doc_id count as one document:
+    lines that recur only within them stay; each keeps its own lines, and equal rows are cut alike. Columns named
+    __lines or __dropped are replaced, all others pass through; an empty table gives none.
     """
-    columns = [c for c in docs.columns if not c.startswith("__")]
-    base = docs.select(*columns)
-    cut = drops(base).select(F.col("doc_id").alias("__doc"), F.col("dropped").alias("__dropped"))
-    both = base.join(cut, F.col("doc_id") == F.col("__doc"), "left").drop("__doc")
-    split = F.split("text", "\n")
-    left = F.array_join(F.filter(split, lambda x, i: ~F.array_contains(F.col("__dropped"), i)), "\n")
-    text = F.when(F.col("__dropped").isNull(), F.col("text")).otherwise(left)
-    lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(split)).cast("long").alias("__lines")
-    return both.select(*[text.alias("text") if c == "text" else F.col(c) for c in columns], lines, F.coalesce("__dropped", F.array().cast("array<int>")).alias("__dropped"))
+    base = docs.drop("__lines", "__dropped")
+    columns = base.columns
+    cut = drops(base.select("doc_id", "text")).select(F.col("doc_id").alias("__doc"), F.col("h").alias("__hash"), F.col("dropped").alias("__cut"))
+    named = base.toDF(*[f"c{i}" for i in range(len(columns))])
+    doc, body = (F.col(f"c{columns.index(c)}") for c in ("doc_id", "text"))
+    both = named.join(cut, (doc == F.col("__doc")) & (F.xxhash64(body) == F.col("__hash")), "left")
+    split = F.split(body, "\n")
+    left = F.array_join(F.filter(split, lambda x, i: ~F.array_contains(F.col("__cut"), i)), "\n")
+    text = F.when(F.col("__cut").isNull(), body).otherwise(left)
+    lines = F.when(body.isNull(), 0).otherwise(F.size(split)).cast("long").alias("__lines")
+    return both.select(*[text.alias(c) if c == "text" else F.col(f"c{i}").alias(c) for i, c in enumerate(columns)], lines, F.coalesce("__cut", F.array().cast("array<int>")).alias("__dropped"))
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
@@ -116,13 +125,16 @@ t AS (
 ), k AS (SELECT doc_id, line, t, len(t) AS n, list_slice(t, 1, 4) AS head FROM t WHERE len(t) >= 4),
 mixed AS (SELECT n, head FROM k GROUP BY n, head HAVING count(DISTINCT t) > 1 AND min(doc_id) < max(doc_id)),
 v AS (SELECT n, head, t, min(doc_id) AS a, max(doc_id) AS b FROM k JOIN mixed USING (n, head) GROUP BY n, head, t),
-tok AS (SELECT n, head, t, a, b, i, t[i] AS tok FROM (SELECT *, unnest(range(5, n + 1)) AS i FROM v)),
-con AS (SELECT n, head, i, tok FROM tok GROUP BY n, head, i, tok HAVING min(a) < max(b)),
-places AS (SELECT n, head, t, list(i) AS p FROM tok JOIN con USING (n, head, i, tok) GROUP BY n, head, t),
-named AS (
-  SELECT n, head, t, CASE WHEN len(coalesce(p, [])) + 4 >= 0.7 * n
-    THEN list_transform(range(1, n + 1), lambda i: CASE WHEN i <= 4 OR list_contains(p, i) THEN t[i] ELSE '<*>' END) ELSE t END AS tpl
-  FROM v LEFT JOIN places USING (n, head, t)
+leaf AS (SELECT n, head, count(DISTINCT t) AS c FROM v GROUP BY n, head),
+tok AS (SELECT n, head, t, i, t[i] AS tok FROM (SELECT n, head, t, unnest(range(5, n + 1)) AS i FROM v)),
+fr AS (SELECT n, head, t, i, count(*) OVER (PARTITION BY n, head, i, tok) AS f FROM tok),
+fs AS (SELECT n, head, t, list(f ORDER BY i) AS f FROM fr GROUP BY n, head, t),
+meas AS (
+  SELECT n, head, t, list_concat([c, c, c, c], coalesce(f, [])) AS f,
+         list_reverse_sort(list_concat([c, c, c, c], coalesce(f, [])))[CAST(ceil(n * 0.7::DOUBLE) AS INTEGER)] AS r
+  FROM v JOIN leaf USING (n, head) LEFT JOIN fs USING (n, head, t)
+), named AS (
+  SELECT n, head, t, list_transform(range(1, n + 1), lambda i: CASE WHEN 2 * f[i] > r THEN t[i] ELSE '<*>' END) AS tpl FROM meas
 ), full_ AS (SELECT doc_id, line, coalesce(tpl, t) AS tpl FROM k LEFT JOIN named USING (n, head, t)),
 rec AS (SELECT tpl, min({'d': doc_id, 'l': line}) AS keep FROM full_ GROUP BY tpl HAVING min(doc_id) < max(doc_id)),
 cut AS (SELECT doc_id, line FROM full_ JOIN rec USING (tpl) WHERE doc_id <> keep.d OR line <> keep.l),

@@ -134,3 +134,35 @@ def test_line_dedup(spark, documents):
     assert "posted" not in after[7] and after[0] == docs[0][1] and after[103] == docs[33][1]
     assert after[100] is None and after[101] == "" and after[None] == passage
     assert linededup.without_lines(spark.read.parquet(f"{sf}/documents.parquet").limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("n", [60, 6_000, 100_000])
+def test_templates_hold_at_size(spark, documents, n):
+    """Lines of one template with two fields of 512 values fall however often a value recurs; prose stays."""
+    rng = random.Random(n)
+    line = lambda: f"Posted by the member {words[rng.randrange(512)]} of the old forum for {words[rng.randrange(512)]} and friends of the house"
+    words = ["".join(rng.choices("abcdefghijklmnop", k=7)) for _ in range(512)]
+    prose = [" ".join(rng.choices(words, k=14)) for _ in range(200)]
+    every = max(1, n // 200)
+    docs = [(i, f"{line()}\n{prose[i // every]}" if i % every == 0 and i // every < 200 else line()) for i in range(n)]
+    got = linededup.op2(spark, documents(docs)).collect()
+    assert sum(r.n_dropped for r in got) >= 0.9 * (n - 1)
+    assert sum(p in (r.text or "") for r in got for p in [prose[r.doc_id // every] if r.doc_id % every == 0 and r.doc_id // every < 200 else "\0"]) == sum(i % every == 0 and i // every < 200 for i in range(n))
+
+
+def test_line_dedup_repeated_ids_and_columns(spark, documents):
+    """Rows of one id keep their own lines; columns of any name pass through; equal rows are cut alike."""
+    boiler, other = "this is one line of boilerplate text", "only here is this line of text"
+    rows = [(1, f"{boiler}\nfirst of all the texts here"), (2, f"second of all the texts\n{boiler}"), (2, f"yes it is the second\n{other}"), (3, boiler), (3, boiler)]
+    docs = spark.read.parquet(documents(rows) + "/documents.parquet").selectExpr("*", "1 AS __x", "2 AS `h`", "3 AS line", "4 AS __dropped", "5 AS `a.b`")
+    out = linededup.without_lines(docs)
+    assert out.columns == [c for c in docs.columns if c != "__dropped"] + ["__lines", "__dropped"]
+    got = sorted((r.doc_id, r.text, tuple(r["__dropped"]), r["__x"], r["a.b"]) for r in out.collect())
+    want = [(1, rows[0][1], ()), (2, rows[1][1].split("\n")[0], (1,)), (2, rows[2][1], ()), (3, "", (0,)), (3, "", (0,))]
+    assert got == sorted((*w, 1, 5) for w in want)
+
+
+def test_line_dedup_of_very_long_lines(spark, documents):
+    long = " ".join(f"w{i}x" for i in range(20_000))
+    sf = documents([(1, long), (2, long.replace(" w500x ", " other ")), (3, "a\n" * 5_000)])
+    assert [r.n_dropped for r in linededup.op2(spark, sf).orderBy("doc_id").collect()] == [0, 1, 0]
