@@ -50,7 +50,8 @@ def shingle_sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
         h = w.hashes()
         rolled = h.copy()
         for k in range(1, size):
-            rolled[: len(h) - k] = mixed(rolled[: len(h) - k] * _NEXT + h[k:])
+            n = max(len(h) - k, 0)
+            rolled[:n] = mixed(rolled[:n] * _NEXT + h[k:])
         for first, n in zip(w.first[:-1].tolist(), w.n.tolist(), strict=True):
             if n >= size:
                 yield np.unique(rolled[first : first + n - size + 1])
@@ -119,8 +120,8 @@ def _sketched(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Recor
             sig.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
             buckets.append(bands(registers(s)).view(np.int64) if len(s) else None)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(buckets, pa.list_(pa.int64()))],
-            names=["doc_id", "n", "sig", "buckets"],
+            [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(buckets, pa.list_(pa.int64()))],
+            names=["doc_id", "h", "n", "sig", "buckets"],
         )
 
 
@@ -150,30 +151,41 @@ def _confirmed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.R
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id, text).
+    """(doc_id, n_shingles, component_id, kept, text_hash) for each row of ``docs`` (doc_id, text).
 
     Links texts whose sets of ``size``-word shingles have 100 * intersection >= ``percent`` * union; component_id is
     the smallest doc_id that links reach, kept says that it is the row's own. Words end at ASCII white space, A-Z are
     lower-cased; a text of fewer than ``size`` words has one shingle, the whole. Null texts and texts without words
-    have n_shingles 0, link with nothing and are kept. Rows with one doc_id and equal texts stay repeated; a null
-    doc_id comes back as it is, its own component (null), kept. Extra columns are ignored; an empty table gives none.
+    have n_shingles 0, link with nothing and are kept. Rows with one doc_id are one document and stay repeated; where
+    their texts differ, links of any of them are links of the document. A null doc_id comes back as it is, its own
+    component (null), kept. text_hash is Spark's xxhash64 of the text. Extra columns are ignored; an empty table gives
+    none.
     """
     named = docs.select("doc_id", "text")
-    seen = written(named.mapInArrow(lambda x: _sketched(x, size), "doc_id long, n long, sig binary, buckets array<long>"), "sketches")
+    hashed = named.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    seen = written(hashed.mapInArrow(lambda x: _sketched(x, size), "doc_id long, h long, n long, sig binary, buckets array<long>"), "sketches")
     ids = seen.where("sig IS NOT NULL AND doc_id IS NOT NULL")
     reps = ids.groupBy("sig", shared(F.col("sig")).alias("__s")).agg(F.min("doc_id").alias("rep"))
     rows = ids.select("sig", "doc_id", "buckets").join(reps.select(F.col("sig").alias("rep_sig"), "rep"), (F.col("sig") == F.col("rep_sig")) & (F.col("doc_id") == F.col("rep")))
-    rows = rows.groupBy("doc_id").agg(F.first("buckets").alias("buckets"))
-    placed = rows.select("doc_id", F.posexplode("buckets").alias("band", "bucket"))
-    shared_by = placed.groupBy("bucket", "band").agg(F.count("*").alias("c"), F.min("doc_id").alias("pivot")).where("c > 1")
-    crowd = written(placed.select("doc_id", "bucket").join(shared_by.select("bucket", "pivot"), "bucket"), "buckets")
-    links = _links(named, crowd, size, percent)
+    placed = rows.select("doc_id", F.explode("buckets").alias("bucket"))
+    # a document with several texts is one node with the buckets of all that it represents
+    several = ids.groupBy("doc_id").agg(F.count("*").alias("rows"), F.min("sig").alias("s"), F.max("sig").alias("t")).where("rows > 1")
+    several = written(several.select("doc_id", (F.col("s") != F.col("t")).alias("differ")), "repeated")
+    again = not several.isEmpty()
+    placed = placed.distinct() if again else placed
+    shared_by = placed.groupBy("bucket", shared(F.col("bucket")).alias("__s")).agg(F.count("*").alias("c"), F.min("doc_id").alias("pivot")).where("c > 1")
+    crowd = written(placed.join(shared_by.select("bucket", "pivot"), "bucket"), "buckets")
+    links = _links(named.join(several.select("doc_id"), "doc_id", "left_anti").unionByName(named.join(several.select("doc_id"), "doc_id", "left_semi").distinct()) if again else named, crowd, size, percent)
+    if again:  # its texts are linked through it, though others represent them
+        own = ids.select("sig", "doc_id").join(several.where("differ").select("doc_id"), "doc_id", "left_semi").distinct()
+        own = own.join(reps.select("sig", "rep"), "sig").where("doc_id != rep").select(F.greatest("doc_id", "rep").alias("a"), F.least("doc_id", "rep").alias("b"))
+        links = links.unionByName(own)
     joined = components(links)
     of_rep = reps.select("sig", "rep").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
     of_sig = of_rep.select("sig", F.coalesce("component", "rep").alias("component"))
-    out = seen.select("doc_id", "n", "sig").join(of_sig, "sig", "left")
+    out = seen.select("doc_id", "h", "n", "sig").join(of_sig, "sig", "left")
     component = F.when(F.col("sig").isNull() | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), F.col("h").alias("text_hash"))
 
 
 def _links(docs: DataFrame, crowd: DataFrame, size: int, percent: int) -> DataFrame:
@@ -271,7 +283,7 @@ def _pairs(xy: DataFrame) -> DataFrame:
 
 def op10(spark, sf_dir: str) -> DataFrame:
     """Every document of ``documents``, two-word shingles, similarity 0.8 or more."""
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), size=2, percent=80)
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), size=2, percent=80).drop("text_hash")
 
 
 #: DuckDB's answer to the same question: all pairs of sets that share a shingle, then reachability.

@@ -166,3 +166,13 @@ def test_line_dedup_of_very_long_lines(spark, documents):
     long = " ".join(f"w{i}x" for i in range(20_000))
     sf = documents([(1, long), (2, long.replace(" w500x ", " other ")), (3, "a\n" * 5_000)])
     assert [r.n_dropped for r in linededup.op2(spark, sf).orderBy("doc_id").collect()] == [0, 1, 0]
+
+
+def test_near_duplicates_of_repeated_ids(spark, documents):
+    """Texts under one id are one document: what is near any of them is linked with it."""
+    rng = random.Random(31)
+    a, b = ([f"{c}{rng.randrange(9999)}" for _ in range(200)] for c in "ab")
+    near = lambda w: " ".join([*w[:-2], "other", "end"])
+    rows = [(1, near(a)), (2, " ".join(a)), (2, " ".join(b)), (3, near(b)), (5, "alone"), (5, "alone"), (6, " ".join(a)), (6, "six"), (7, "six"), (8, "eight")]
+    got = neardup.near_duplicates(spark.read.parquet(documents(rows) + "/documents.parquet")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (2, 1), (2, 1), (3, 1), (5, 5), (5, 5), (6, 1), (6, 1), (7, 1), (8, 8)]
