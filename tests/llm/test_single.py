@@ -208,6 +208,36 @@ def test_covariance_determinant_against_numpy(spark, documents):
     assert got == pytest.approx(d @ np.linalg.solve(cov + quality.FLOOR**2 * np.eye(5), d), rel=1e-9)
 
 
+def brute_determinant(x, share, starts, rng):
+    """Half the log determinant and the mean of the best of many random starts, in numpy."""
+    h, best = int(np.ceil(share * len(x))), (np.inf, None)
+    for _ in range(starts):
+        near = x[rng.choice(len(x), 6, replace=False)]
+        for _ in range(20):
+            mean, cov = near.mean(0), np.cov(near.T, bias=True) + quality.FLOOR**2 * np.eye(5)
+            d = np.einsum("ni,ij,nj->n", x - mean, np.linalg.inv(cov), x - mean)
+            near = x[np.argsort(d, kind="stable")[:h]]
+        best = min(best, (np.linalg.slogdet(np.cov(near.T, bias=True) + quality.FLOOR**2 * np.eye(5))[1] / 2, near.mean(0).tolist()))
+    return best
+
+
+def test_smallest_determinant_against_many_starts(spark):
+    """On small groups with a clump of outliers the determinant and the mean are those of 200 random starts."""
+    rng = np.random.default_rng(12)
+    rows, want = [], {}
+    for g in range(4):
+        x = rng.normal(size=(60, 5)) @ rng.normal(size=(5, 5))
+        x[:12] = x[:12] * 0.1 + 9 + g  # a fifth, close together
+        want[g] = brute_determinant(x, quality.SHARE, 200, rng)
+        rows += [(2, "l", str(g), *map(float, r)) for r in x]
+    fit = spark.createDataFrame(rows, "g0 int, g1 string, g2 string, " + ", ".join(f"x{i} double" for i in range(5)))
+    for few in (True, False):
+        for r in quality.estimates(fit, few).collect():
+            half, mean = want[int(r.g2)]
+            assert half - 0.01 < r.determinant < half + 0.3
+            assert [r[f"u{i}"] for i in range(5)] == pytest.approx(mean, abs=0.5)
+
+
 def fewest(sizes, shards):
     """The least largest part over all contiguous partitions."""
     ends = np.concatenate([[0], np.cumsum(sizes)])
