@@ -178,7 +178,9 @@ def search(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes:
     size = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
     out = docs.drop(*ADDED.names)
-    columns, schema = out.columns, T.StructType(out.schema.fields + ADDED.fields)
+    columns = out.columns
+    plain = out.toDF(*[f"c{i}" for i in range(len(columns))])  # any name of a column will do
+    schema = T.StructType(plain.schema.fields + ADDED.fields)
     sent = _sent(known, window, blocks, 0)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,7 +194,7 @@ def search(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes:
             ]
             yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=schema.names)
 
-    found = out.mapInArrow(scan, schema)
+    found = plain.mapInArrow(scan, schema).toDF(*columns, *ADDED.names)
     if blocks == 1:
         return found
     # rows of equal text have equal hits: a later block's are found by a key of the text and joined
@@ -203,7 +205,7 @@ def search(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes:
     nothing = [F.array().cast("array<bigint>"), F.array().cast("array<string>")]
     pairs = F.concat("__spans", F.coalesce("__more", nothing[0]))
     items = F.array_sort(F.array_distinct(F.concat("__items", F.coalesce("__others", nothing[1]))))
-    return both.select(*columns, "__n_words", _union(pairs).alias("__spans"), items.alias("__items"))
+    return both.select(*[both[f"`{c}`"] for c in columns], "__n_words", _union(pairs).alias("__spans"), items.alias("__items"))
 
 
 def _union(flat: Column) -> Column:

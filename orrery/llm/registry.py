@@ -6,8 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
-from orrery.llm import chat, decontaminate, htmltext, linededup, lmscore, neardup, packing, quality, sharding, warc
+from orrery.llm import chat, decontaminate, htmltext, linededup, lmscore, neardup, packing, pipeline, quality, sharding, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,10 +21,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chat_format": chat.op8,
         "op9_main_text": htmltext.op9,
         "op10_near_duplicates": neardup.op10,
-        "pipeline": corpus_pipeline.run,
+        "pipeline": pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     sql = {"op1_warc": warc.SQL, "op2_line_dedup": linededup.SQL, "op3_decontaminate": decontaminate.SQL, "op7_lm_score": lmscore.SQL, "op10_near_duplicates": neardup.SQL}
-    return sql | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return sql | ({"pipeline": pipeline.ORACLE_SQL} if pipeline.ORACLE_SQL else {})

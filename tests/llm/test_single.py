@@ -410,3 +410,21 @@ def test_scores_are_those_of_exact_counts(spark, documents, monkeypatch, words,
     assert [g[:2] for g in got] == [w[:2] for w in want]
     for g, w in zip(got, want):
         assert g[2:] == (pytest.approx(w[2:], abs=1e-6) if w[2] is not None else (None, None))
+
+
+def test_pipeline_judges_rows_apart_from_ids(spark, documents):
+    """A bad row takes no other row of its id with it, and a null id saves none; columns of any name pass through."""
+    from orrery.llm import pipeline
+
+    rng = random.Random(14)
+    prose = lambda n: " ".join("".join(rng.choices("abcdefghijklm", k=rng.randint(3, 9))) for _ in range(n))
+    item = " ".join(f"item{i}" for i in range(14))
+    rows = [(i, prose(120)) for i in range(70)] + [(5, "too short"), (None, "too short"), (None, prose(90)), (6, prose(60) + " " + item), (None, prose(60) + " " + item)]
+    sf = documents(rows)
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.mode("overwrite").parquet(f"{sf}/benchmark.parquet")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("*", "1 AS `a.b`", "2 AS gone", "3 AS c0")
+    for name, stage in pipeline.STAGES[:-1]:
+        out = linededup.written(stage(spark, docs, sf), name)
+        assert out.columns == docs.columns
+        docs = out
+    assert Counter(r.doc_id for r in docs.collect()) == Counter([*range(70), None])
