@@ -1,79 +1,5 @@
-"""A corpus from ``documents`` to packed training sequences, in five stages.
+"""The corpus pipeline: its stages, the SQL for its rows (none), and the run over all of them."""
 
-Each stage takes (spark, docs, sf_dir) and gives a DataFrame that is written as Parquet and read as the next one's
-docs. All but the last give the columns of ``docs``. Rows with a null doc_id are never rejected.
-"""
+from orrery.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from orrery.llm import decontaminate, linededup, neardup, packing, quality
-from orrery.llm.common import written
-
-
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    return docs.join(rejected.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
-
-
-def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail a base limit or lie far out of their language and source go."""
-    return _without(docs, quality.judged(docs).where("NOT kept"))
-
-
-def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of recurring templates go, but for the first of each; n_chars follows the text."""
-    cut = linededup.without_lines(docs)
-    chars = F.when(F.size("__dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
-    return (cut.withColumn("n_chars", chars) if "n_chars" in docs.columns else cut).select(*docs.columns)
-
-
-def _emptied(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id of documents that had lines of four or more tokens and have none left: others keep all they said."""
-    lines = lambda t: t.where("doc_id IS NOT NULL").select("doc_id", linededup.has_lines(F.col("text")).alias("__lines"))
-    bare = lines(docs).groupBy("doc_id").agg(F.bool_or("__lines").alias("__any")).where("NOT __any")
-    had = lines(spark.read.parquet(f"{sf_dir}/documents.parquet")).where("__lines")
-    return bare.join(had, "doc_id", "left_semi")
-
-
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, similarity 0.8) stays.
-
-    Later copies whose lines the stage before has cut go too: without their words nothing would link them.
-    """
-    docs = written(_without(docs, _emptied(spark, docs, sf_dir)), "not-emptied")
-    return _without(docs, neardup.near_duplicates(docs, size=5, percent=80).where("NOT kept"))
-
-
-def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a ten-word window of a benchmark item occurs go."""
-    found = decontaminate.search(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.where(F.size("__items") == 0).select(*docs.columns)
-
-
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents with their places in sequences of 2048 tokens."""
-    import public_tokenizers
-
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
-
-
-STAGES = [
-    ("quality_rules", quality_rules),
-    ("line_dedup", line_dedup),
-    ("near_dedup", near_dedup),
-    ("decontamination", decontamination),
-    ("pack", pack),
-]
-
-#: SQL expresses neither the robust outliers nor the packing.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
