@@ -24,6 +24,8 @@ ROLES = ["system", "user", "assistant"]
 MARKS = {"system": ["System:", "SYSTEM:", "[system]", "### System:"], "user": ["User:", "Human:", "Q:", "[user]", "### User:"], "assistant": ["Assistant:", "AI:", "A:", "[assistant]", "### Assistant:"]}
 #: Lines of a block.
 BLOCK = 512
+#: Parts of the conversations: each is parsed by the model of the others, so that no line is parsed by its own counts.
+FOLDS = 2
 STATES = 2 * len(ROLES)  # role, and begins (even) or goes on (odd)
 FEATURES = ("mark", "after_blank", "question", "size")
 VALUES = {"mark": len(ROLES) + 1, "after_blank": 2, "question": 2, "size": 4}
@@ -42,12 +44,23 @@ def transcripts(turns: DataFrame) -> DataFrame:
     bare = F.pmod(F.xxhash64("conv_id", "turn", F.lit("mark")), F.lit(8)) == 0
     body = F.coalesce("text", F.lit(""))
     whole = F.when(marks.isNull() | bare, F.concat(F.lit("\n"), body)).otherwise(F.concat(marks, F.lit(" "), body))
-    lines = turns.where("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn", "role", F.posexplode(F.split(whole, "\n")).alias("k", "text"), F.when(marks.isNull() | bare, 1).otherwise(0).alias("first"))
-    return lines.select("conv_id", "turn", "k", "text", "role", (F.col("k") == F.col("first")).alias("begins"))
+    turns = _told_apart(turns.where("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn", "role", "text"))
+    lines = turns.select("conv_id", "turn", "part", "role", F.posexplode(F.split(whole, "\n")).alias("k", "text"), F.when(marks.isNull() | bare, 1).otherwise(0).alias("first"))
+    return lines.select("conv_id", "turn", "part", "k", "text", "role", (F.col("k") == F.col("first")).alias("begins"))
+
+
+def _told_apart(turns: DataFrame) -> DataFrame:
+    """Adds ``part``, by which rows of one conv_id and turn follow one another; equal rows are numbered where there are any."""
+    equal = turns.groupBy("conv_id", "turn", F.xxhash64("role", "text").alias("h")).agg(F.count("*").alias("n")).where("n > 1")
+    if equal.isEmpty():
+        return turns.withColumn("part", F.xxhash64("role", "text"))
+    copies = turns.groupBy("conv_id", "turn", "role", "text").agg(F.count("*").alias("n"))
+    copies = copies.select("conv_id", "turn", "role", "text", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("copy"))
+    return copies.withColumn("part", F.xxhash64("role", "text", "copy")).drop("copy")
 
 
 def seen(lines: DataFrame) -> DataFrame:
-    """Adds the marker class and line features; ``lines`` has conv_id, turn, k (its order) and text."""
+    """Adds the marker class and line features; ``lines`` has conv_id, turn, part, k (its order) and text."""
     mark = F.lit(0)
     for i, role in enumerate(ROLES):
         any_ = F.lit(False)
@@ -73,12 +86,13 @@ class Model:
 
 def _numbered(lines: DataFrame) -> DataFrame:
     """Adds line (from 0) and after_blank; a turn's lines are one task's at most, transcripts are not."""
-    ends = lines.groupBy("conv_id", "turn").agg(F.count("*").alias("n"), F.max_by("blank", "k").alias("last_blank"))
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    ends = ends.select("conv_id", "turn", (F.sum("n").over(w) - F.col("n")).alias("base"), F.coalesce(F.lag("last_blank").over(w), F.lit(False)).alias("carried"))
-    inside = Window.partitionBy("conv_id", "turn").orderBy("k")
+    ends = lines.groupBy("conv_id", "turn", "part").agg(F.count("*").alias("n"), F.max_by("blank", "k").alias("last_blank"))
+    w = Window.partitionBy("conv_id").orderBy("turn", "part").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("conv_id").orderBy("turn", "part")
+    ends = ends.select("conv_id", "turn", "part", (F.sum("n").over(w) - F.col("n")).alias("base"), F.coalesce(F.lag("last_blank").over(before), F.lit(False)).alias("carried"))
+    inside = Window.partitionBy("conv_id", "turn", "part").orderBy("k")
     placed = lines.withColumn("after", F.lag("blank").over(inside)).withColumn("row", F.row_number().over(inside) - 1)
-    placed = placed.join(ends, ["conv_id", "turn"])
+    placed = placed.join(ends, ["conv_id", "turn", "part"])
     return placed.withColumns({"line": F.col("base") + F.col("row"), "after_blank": F.coalesce("after", "carried").cast("int")}).drop("base", "row", "after", "carried")
 
 
@@ -126,12 +140,21 @@ def _trace(model: Model, rows: pa.Table, entry: np.ndarray, last: int) -> list[i
     return path[::-1]
 
 
-def parse(lines: DataFrame, model: Model) -> DataFrame:
-    """(conv_id, line, text, role, begins) by Viterbi, for numbered lines with features."""
-    blocks = written(lines.select("conv_id", "line", "text", *FEATURES, (F.col("line") / BLOCK).cast("long").alias("block")), "lines")
+def fold_of(conv_id: str = "conv_id") -> Column:
+    return F.pmod(F.xxhash64(conv_id, F.lit("fold")), F.lit(FOLDS)).cast("int")
+
+
+def parse(lines: DataFrame, models: Model | list[Model]) -> DataFrame:
+    """(conv_id, line, text, role, begins) by Viterbi, for numbered lines with features.
+
+    With several models a conversation is parsed by that of its fold.
+    """
+    models = models if isinstance(models, list) else [models]
+    fold = fold_of() if len(models) == FOLDS else F.lit(0)
+    blocks = written(lines.select("conv_id", "line", "text", *FEATURES, (F.col("line") / BLOCK).cast("long").alias("block"), fold.alias("fold")), "lines")
 
     def summary(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("line")
+        rows, model = rows.sort_by("line"), models[rows.column("fold")[0].as_py()]
         block = rows.column("block")[0].as_py()
         if block == 0:
             emitted = model.scores(_columns(rows.slice(0, 1)))[0]
@@ -154,7 +177,7 @@ def parse(lines: DataFrame, model: Model) -> DataFrame:
         return pa.table({"conv_id": rows.column("conv_id"), "block": rows.column("block"), "entry": pa.array([e.tolist() for e in entries[:-1]]), "last": pa.array(last[::-1], pa.int32())})
 
     def trace(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("line")
+        rows, model = rows.sort_by("line"), models[rows.column("fold")[0].as_py()]
         states = _trace(model, rows, np.array(rows.column("entry")[0].as_py()), rows.column("last")[0].as_py())
         return pa.table({"conv_id": rows.column("conv_id"), "line": rows.column("line"), "text": rows.column("text"), "role": [ROLES[s // 2] for s in states], "begins": [s % 2 == 0 for s in states]})
 
@@ -186,10 +209,11 @@ def format_chats(turns: DataFrame) -> DataFrame:
     """Canonical turns of the transcripts of ``turns`` (conv_id, turn, role, text).
 
     Rows without conv_id or turn belong to no transcript; a null or unknown role writes no mark; a null text is an
-    empty line; repeated turns follow one another; extra columns are ignored; an empty table gives none.
+    empty line; rows of one turn follow one another whole, in the order of a hash, equal ones too; extra columns are
+    ignored; an empty table gives none. A conversation is parsed by a model that was counted on others.
     """
     lines = written(_numbered(seen(transcripts(turns))), "transcripts")
-    return rendered(parse(lines, fit(lines)))
+    return rendered(parse(lines, [fit(lines.where(fold_of() != f)) for f in range(FOLDS)]))
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import random
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 from html.parser import HTMLParser
@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 UNSEEN = {"script", "style", "title", "template", "noscript", "svg", "math", "textarea", "select", "iframe", "object", "canvas", "audio", "video"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
+OF_SELECT = {"option", "optgroup", "hr", "script", "template", "select"}
 CLOSED_BY = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HOLDERS = {"ul", "ol", "dl", "table", "tbody", "thead", "div", "section", "article", "main", "nav", "aside", "header", "footer", "form", "blockquote", "body"}
 
@@ -49,6 +50,8 @@ class _Blocks(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, tuple[str, ...]]] = []
+        self.places: dict[str, list[int]] = defaultdict(list)  # where in the stack a tag is open
+        self.holders: list[int] = []
         self.open: Counter = Counter()
         self.unseen = self.links = 0
         self.text: list[str] = []
@@ -63,16 +66,19 @@ class _Blocks(HTMLParser):
         if tag in VOID:
             return
         closes = CLOSED_BY.get(tag, {"p"} if tag not in INLINE and tag not in UNSEEN else ())
-        for at in range(len(self.stack) - 1, -1, -1):
-            if self.stack[at][0] in closes:
-                self.cut(at)
-                break
-            if self.stack[at][0] in HOLDERS:
-                break
+        if self.places["select"] and tag not in OF_SELECT:
+            self.cut(self.places["select"][0])  # never closed: a list of choices has no other elements
+        last = max((self.places[c][-1] for c in closes if self.places[c]), default=-1)
+        if last > self.holder():
+            self.cut(last)
         named = " ".join(v for k, v in attrs if k in ("class", "id", "role") and v).lower()
         kinds = tuple(f"kind_{k}" for k, p in KINDS.items() if p.search(named)) if named else ()
-        self.stack.append((tag, kinds))
-        self.open.update((f"in_{tag}", *kinds))
+        names = (f"in_{tag}", *kinds) if f"in_{tag}" in INDEX else kinds
+        self.places[tag].append(len(self.stack))
+        if tag in HOLDERS:
+            self.holders.append(len(self.stack))
+        self.stack.append((tag, names))
+        self.open.update(names)
         self.unseen += tag in UNSEEN
         self.links += tag == "a"
 
@@ -84,17 +90,20 @@ class _Blocks(HTMLParser):
     def handle_endtag(self, tag):
         if tag not in INLINE:
             self.flush()
-        for at in range(len(self.stack) - 1, -1, -1):
-            if self.stack[at][0] == tag:
-                self.cut(at)
-                return
-            if tag in INLINE and self.stack[at][0] in HOLDERS:
-                return
+        at = self.places[tag][-1] if self.places[tag] else -1
+        if at >= 0 and (tag not in INLINE or at > self.holder()):
+            self.cut(at)
+
+    def holder(self) -> int:
+        return self.holders[-1] if self.holders else -1
 
     def cut(self, at: int) -> None:
         while len(self.stack) > at:
-            tag, kinds = self.stack.pop()
-            self.open.subtract((f"in_{tag}", *kinds))
+            tag, names = self.stack.pop()
+            self.places[tag].pop()
+            if tag in HOLDERS:
+                self.holders.pop()
+            self.open.subtract(names)
             self.unseen -= tag in UNSEEN
             self.links -= tag == "a"
 

@@ -307,6 +307,47 @@ def test_chats(spark):
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
+def test_rows_of_one_turn_follow_one_another(spark):
+    rows = [(1, 0, "user", "A1\nA2\nA3"), (1, 0, "user", "B1\nB2\nB3"), (1, 1, "assistant", "ok then"), (1, 0, "user", "A1\nA2\nA3")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    lines = [r.text for r in chat._numbered(chat.seen(chat.transcripts(df))).orderBy("line").collect()]
+    said = "".join(re.sub(".*(..)$", r"\1", x) for x in lines if x)
+    assert sorted(re.findall("A1A2A3|B1B2B3", said)) == ["A1A2A3", "A1A2A3", "B1B2B3"]
+
+
+def viterbi(model, rows):
+    """The best path by trying every state at every line, and the line before it."""
+    scores = model.scores({f: np.array([r[f] for r in rows]) for f in chat.FEATURES})
+    best = {s: (model.start[s] + scores[0][s], [s]) for s in range(chat.STATES)}
+    for t in range(1, len(rows)):
+        best = {s: max((v + model.move[p, s] + scores[t][s], [*path, s]) for p, (v, path) in best.items()) for s in range(chat.STATES)}
+    return max(best.values())
+
+
+def test_held_out_roles_and_plain_viterbi(spark):
+    """Conversations of one half, parsed with counts of the other: the path is the best one, and nearly all roles are right."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(5)
+    say = lambda n: " ".join(f"w{rng.randrange(100)}" for _ in range(n))
+    turns = [(c, t, "user" if t % 2 == 0 else "assistant", say(rng.randint(3, 8)) + "?" if t % 2 == 0 else say(30) + "\n" + say(25)) for c in range(80) for t in range(rng.randint(2, 9))]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    lines = chat.written(chat._numbered(chat.seen(chat.transcripts(df))), "lines")
+    half = lines.where(chat.fold_of() == 0)
+    model = chat.fit(lines.where(chat.fold_of() == 1))
+    got, right = {}, 0
+    for r in chat.parse(half, model).collect():
+        got.setdefault(r.conv_id, {})[r.line] = (r.role, r.begins)
+    truth = half.orderBy("conv_id", "line").collect()
+    for conv in got:
+        rows = [r for r in truth if r.conv_id == conv]
+        score = lambda path: sum(model.scores({f: np.array([r[f]]) for f in chat.FEATURES})[0][s] for r, s in zip(rows, path)) + model.start[path[0]] + sum(model.move[a, b] for a, b in zip(path, path[1:]))  # noqa: B023, E731
+        path = [2 * chat.ROLES.index(got[conv][r.line][0]) + (not got[conv][r.line][1]) for r in rows]
+        assert score(path) == pytest.approx(viterbi(model, rows)[0], rel=1e-9)
+        right += sum(got[conv][r.line][0] == r.role for r in rows)
+    assert right > 0.95 * len(truth)
+
+
 def test_blocks_do_not_change_the_path(spark, monkeypatch):
     turns = [(1, t, "user" if t % 2 == 0 else "assistant", f"say {t}\nand more {t}?") for t in range(200)]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
@@ -330,6 +371,24 @@ def test_pages_held_out():
     assert right > 0.98 * total
 
 
+@pytest.mark.parametrize("open_", ["<b>", "<p><div><b><h2>x</h2>", "<x{}>", "<div>", "<li><b>"])
+def test_many_unclosed_tags_take_linear_time(open_):
+    import time
+
+    def took(n):
+        began = time.process_time()
+        found = htmltext.blocks("<article><p>before</p>" + "".join(open_.replace("{}", str(i)) for i in range(n)) + "<p>after</p></article>")
+        assert found[0][0] == "before" and found[-1][0] == "after"
+        return time.process_time() - began
+
+    assert took(100_000) < 40 * max(took(10_000), 0.05)
+
+
+def test_unclosed_choices_end_at_the_next_block():
+    html = "<article><p>One.</p><select><option>a<option>b<p>Two is here.</p></article>"
+    assert [t for t, _ in htmltext.blocks(html)] == ["One.", "Two is here."]
+
+
 def test_page(spark):
     html = (
         "<html><head><title>T</title><style>x</style></head><body><nav><a href=/>Home</a> <a href=/b>B</a></nav><header>Site</header><aside class=sidebar>See also <a href=/c>this</a></aside>"
