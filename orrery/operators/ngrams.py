@@ -16,9 +16,14 @@ def tokens(text: Column) -> Column:
 
 
 def grams(words: Column, n: int) -> Column:
-    """All runs of ``n`` words, as texts."""
-    count = F.size(words) - n + 1
-    return F.when(count > 0, F.transform(F.sequence(F.lit(1), count), lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
+    """All runs of ``n`` words, as texts; none for null."""
+
+    def runs(w: Column) -> Column:
+        count = F.size(w) - n + 1
+        return F.when(count > 0, F.transform(F.sequence(F.lit(1), count), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
+
+    # bound as a variable, the words are made once a row, not once a run
+    return F.get(F.transform(F.array(words), runs), F.lit(0))
 
 
 def rouge_n(rows: DataFrame, key: str, prediction: str, truth: str, n: int) -> DataFrame:
