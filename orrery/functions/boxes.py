@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -221,6 +222,51 @@ def surface_distance(budget: int = 100):
     return run
 
 
+#: A point within a text (fixed value): three plain decimals in brackets.
+POINT = re.compile(r"\[\s*(-?\d+(?:\.\d+)?)\s*,\s*(-?\d+(?:\.\d+)?)\s*,\s*(-?\d+(?:\.\d+)?)\s*\]")
+
+
+def points_moved():
+    """Arrow function (text, x, y, z, yaw): points of a text seen from a centre and turned about z, with two decimals.
+
+    Decimals round as Python prints them, which no built-in function does. A null text stays; so does a text whose
+    centre or yaw is null.
+    """
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series, cx: pd.Series, cy: pd.Series, cz: pd.Series, yaw: pd.Series) -> pd.Series:
+        out = []
+        for text, *move in zip(texts, cx, cy, cz, yaw, strict=True):
+            if text is None or any(pd.isna(v) for v in move):
+                out.append(text)
+                continue
+            *centre, angle = move
+            c, s = math.cos(angle), math.sin(angle)
+
+            def moved(found: re.Match) -> str:
+                x, y, z = (float(g) - o for g, o in zip(found.groups(), centre, strict=True))
+                return f"[{c * x - s * y:.2f}, {s * x + c * y:.2f}, {z:.2f}]"
+
+            out.append(POINT.sub(moved, text))
+        return pd.Series(out, dtype=object)
+
+    return run
+
+
+def hull_corners():
+    """Arrow function: corners of the convex hull of points on the plane, all of them where they span none."""
+
+    @F.pandas_udf("array<struct<x:double,z:double>>")
+    def run(xs: pd.Series, zs: pd.Series) -> pd.Series:
+        out = []
+        for x, z in zip(xs, zs, strict=True):
+            flat = sorted(set(zip(map(float, x), map(float, z), strict=True)))
+            out.append([{"x": a, "z": b} for a, b in (_hull(flat) if len(flat) > 2 else flat)])
+        return pd.Series(out, dtype=object)
+
+    return run
+
+
 def footprint_area():
     """Arrow function: area of the convex hull of points on the plane, null where it is none."""
 
@@ -231,9 +277,8 @@ def footprint_area():
     return run
 
 
-def _hull_area(points: list[tuple[float, float]]) -> float | None:
-    if len(points) < 3:
-        return None
+def _hull(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
+    """Corners of the hull of sorted points, once around."""
 
     def chain(side: list[tuple[float, float]]) -> list[tuple[float, float]]:
         hull: list[tuple[float, float]] = []
@@ -243,6 +288,12 @@ def _hull_area(points: list[tuple[float, float]]) -> float | None:
             hull.append(p)
         return hull[:-1]
 
-    ring = chain(points) + chain(points[::-1])
+    return chain(points) + chain(points[::-1])
+
+
+def _hull_area(points: list[tuple[float, float]]) -> float | None:
+    if len(points) < 3:
+        return None
+    ring = _hull(points)
     area = abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:] + ring[:1], strict=True))) / 2
     return area if area > 0 else None

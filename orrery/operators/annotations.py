@@ -141,6 +141,40 @@ def image_folder(name: Column, base: str) -> Column:
     return name.rlike(rf"^{base}(?:_\d+x\d+)?$")
 
 
+def effective_size(width: Column, height: Column, most: tuple[int, int] | None, cap: bool) -> Column:
+    """Size (width, height) at which a frame is read: scaled to fit ``most``, under ``cap`` never upwards."""
+    if most is None:
+        return F.struct(width.cast("int").alias("width"), height.cast("int").alias("height"))
+    scale = F.least(most[0] / width, most[1] / height)
+    scale = F.least(scale, F.lit(1.0)) if cap else scale
+    return F.struct(*[F.greatest(F.bround(c * scale).cast("int"), F.lit(1)).alias(n) for c, n in ((width, "width"), (height, "height"))])
+
+
+def sized(scenes: DataFrame, wanted: tuple[int, int], policy: str = "exact", fallback: str = "error", most: tuple[int, int] | None = None) -> DataFrame:
+    """``scenes`` (width, height of the frames found) with ``effective`` and whether it is a ``mismatch`` with ``wanted``.
+
+    Policy ``cap`` takes ``wanted`` for a ceiling and nothing for a mismatch. Policy ``exact`` fails at the first other
+    size, marks it where ``fallback`` is ``warn``, and looks at none where it is ``off``. A scene of unknown size is none.
+    """
+    if policy not in ("exact", "cap") or fallback not in ("error", "warn", "off"):
+        raise ValueError(f"no policy {policy} with fallback {fallback}")
+    width, height = F.col("width"), F.col("height")
+    other = F.coalesce((width != wanted[0]) | (height != wanted[1]), F.lit(False))
+    if policy == "cap" or fallback == "off":
+        mismatch = F.lit(False)
+    elif fallback == "warn":
+        mismatch = other
+    else:
+        said = F.concat(F.lit(f"frames are not {wanted[0]}x{wanted[1]} but "), width.cast("string"), F.lit("x"), height.cast("string"))
+        mismatch = F.when(other, F.raise_error(said).cast("boolean")).otherwise(False)
+    return scenes.withColumns({"effective": effective_size(width, height, most, policy == "cap"), "mismatch": mismatch})
+
+
+def sizes_achieved(checked: DataFrame) -> DataFrame:
+    """Scenes and mismatches for each size found and the effective one."""
+    return checked.where("width IS NOT NULL AND height IS NOT NULL").groupBy("width", "height", "effective").agg(F.count("*").alias("scenes"), F.count_if("mismatch").alias("mismatches"))
+
+
 def template_question(label: Column, key: Column, templates: Sequence[str]) -> Column:
     """One of the templates, by a hash of ``key``, with the label in place of {}."""
     from orrery.operators.sampling import draw

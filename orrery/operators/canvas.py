@@ -42,7 +42,10 @@ def coarsened(cells: DataFrame, k: int) -> DataFrame:
 
 
 def scene_geometry(cells: DataFrame, origins: DataFrame, rows: int, cols: int, yaw: Column | float = 0.0) -> DataFrame:
-    """scene_id, frame_idx, valid_index, lon, lat, depth, idx of the valid cells, idx in frame, row, column order."""
+    """scene_id, frame_idx, valid_index, lon, lat, depth, idx of the valid cells, idx in frame, row, column order.
+
+    Cells are numbered within their frame and frames by their counts, so no task sorts a scene's cells.
+    """
     angle = yaw if isinstance(yaw, Column) else F.lit(float(yaw))
     sx, sy = cols / F.col("width"), rows / F.col("height")
     z = F.col("depth_mm") / 1000.0
@@ -56,7 +59,11 @@ def scene_geometry(cells: DataFrame, origins: DataFrame, rows: int, cols: int, y
     lon, lat, far = geometry.spherical(F.col("x"), F.col("y"), F.col("z"))
     c = c.withColumns({"lon": lon, "lat": lat, "depth": F.greatest(far, F.lit(0.01))})
     c = c.withColumn("valid_index", (F.col("frame_idx") * rows + F.col("prow")) * cols + F.col("pcol"))
-    idx = F.row_number().over(Window.partitionBy("scene_id").orderBy("valid_index")) - 1
+    frames = c.groupBy("scene_id", "frame_idx").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy("scene_id").orderBy("frame_idx").rowsBetween(Window.unboundedPreceding, -1))
+    frames = frames.select(F.col("scene_id").alias("__scene"), F.col("frame_idx").alias("__frame"), F.coalesce(before, F.lit(0)).alias("__before"))
+    c = c.join(frames, F.col("scene_id").eqNullSafe(F.col("__scene")) & F.col("frame_idx").eqNullSafe(F.col("__frame")))
+    idx = F.col("__before") + F.row_number().over(Window.partitionBy("scene_id", "frame_idx").orderBy("valid_index")) - 1
     return c.select("scene_id", "frame_idx", "valid_index", "lon", "lat", "depth", "x", "y", "z", idx.alias("idx"))
 
 

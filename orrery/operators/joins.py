@@ -82,6 +82,17 @@ def allowed(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return rows.join(ids.select(key).distinct(), key, "left_semi")
 
 
+def overridden(rows: DataFrame, truth: DataFrame, key: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Rows whose key ``truth`` has, with ``columns`` taken from there and all others as they were.
+
+    Of several rows of a key in ``truth`` the least values count; a null key has no match.
+    """
+    key = list(key)
+    best = truth.groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(key)]).agg(F.min(F.struct(*columns)).alias("__new"))
+    both = rows.join(best, [F.col(k) == F.col(f"__k{i}") for i, k in enumerate(key)])
+    return both.select(*[F.col(f"__new.{c}").alias(c) if c in columns else F.col(c) for c in rows.columns])
+
+
 def nearest(left: DataFrame, right: DataFrame, by: Sequence[str], time: str, value: str, tolerance: float | None = None, later: bool = False, width: float = 3600.0) -> DataFrame:
     """``value`` and its time of the row of ``right`` nearest in time within ``by``.
 
@@ -140,12 +151,37 @@ def visible(points: DataFrame, cameras: DataFrame, scene: str) -> DataFrame:
     return seen.drop("__x", "__y", "__z")
 
 
-def unblocked(segments: DataFrame, occluders: DataFrame, scene: str) -> DataFrame:
-    """Segments (x0..z0, x1..z1) that no box (lx..lz, hx..hz) of their scene cuts."""
-    o = occluders.select(F.col(scene).alias("__scene"), "lx", "ly", "lz", "hx", "hy", "hz")
-    p, q = (tuple(F.col(a + end) for a in "xyz") for end in "01")
-    low, high = tuple(F.col("l" + a) for a in "xyz"), tuple(F.col("h" + a) for a in "xyz")
-    return segments.join(o, (F.col(scene) == F.col("__scene")) & geometry.segment_hits_box(p, q, low, high), "left_anti")
+def unblocked(segments: DataFrame, occluders: DataFrame, scene: str, cell: float = 0.25) -> DataFrame:
+    """Segments (x0..z0, x1..z1) that no box (lx..lz, hx..hz) of their scene cuts.
+
+    Grids double in width from ``cell`` upwards; a box lies in the few cells that it touches of the first grid as wide
+    as its longest side. A segment goes, in pieces no longer than a cell, to the cells of each grid that its scene has
+    boxes in, and meets the boxes of these cells alone. A box with a coordinate that is null or not finite cuts
+    nothing, and such a segment or one without a scene stays; equal segments share their fate; other columns pass.
+    """
+    finite = lambda cols: F.forall(F.array(*cols), lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    cells = lambda low, high: F.sequence(F.floor(low / F.col("__width") - 1e-6), F.floor(high / F.col("__width") + 1e-6))
+    edges = [(F.col("l" + a).cast("double").alias("__l" + a), F.col("h" + a).cast("double").alias("__h" + a)) for a in "xyz"]
+    o = occluders.select(F.col(scene).alias("__scene"), *[c for pair in edges for c in pair])
+    o = o.where(finite([F.col(f"__{e}{a}") for a in "xyz" for e in "lh"]))
+    longest = F.greatest(*[F.abs(F.col("__h" + a) - F.col("__l" + a)) for a in "xyz"])
+    o = o.withColumn("__width", F.lit(float(cell)) * F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(longest / cell, F.lit(1.0))))))
+    grids = o.select("__scene", "__width").distinct()
+    keys = [scene, *[a + end for end in "01" for a in "xyz"]]
+    s = segments.select(*[F.col(f"`{k}`").alias(f"__k{i}") for i, k in enumerate(keys)]).where(finite([F.col(f"__k{i}").cast("double") for i in range(1, 7)]))
+    s = s.join(grids, F.col("__k0") == F.col("__scene")).drop("__scene")
+    ends = [(F.col(f"__k{1 + i}").cast("double"), F.col(f"__k{4 + i}").cast("double")) for i in range(3)]
+    pieces = F.greatest(F.ceil(F.greatest(*[F.abs(q - p) for p, q in ends]) / F.col("__width")), F.lit(1))
+    s = s.withColumn("__n", pieces).select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__n") - 1)).alias("__p"))
+    for (p, q), a in zip(ends, "xyz", strict=True):
+        one, two = (p + (q - p) * (F.col("__p") + k) / F.col("__n") for k in (0, 1))
+        s = s.select("*", F.explode(cells(F.least(one, two), F.greatest(one, two))).alias("__c" + a))
+        low, high = F.least("__l" + a, "__h" + a), F.greatest("__l" + a, "__h" + a)
+        o = o.select("*", F.explode(cells(low, high)).alias("__b" + a))
+    met = [F.col("__k0") == F.col("__scene"), F.col("s.__width") == F.col("o.__width"), *[F.col("__c" + a) == F.col("__b" + a) for a in "xyz"]]
+    cut = geometry.segment_hits_box([p for p, _ in ends], [q for _, q in ends], [F.col("__l" + a) for a in "xyz"], [F.col("__h" + a) for a in "xyz"])
+    hits = s.alias("s").join(o.alias("o"), [*met, cut], "left_semi").select(*[f"__k{i}" for i in range(7)]).distinct()
+    return segments.join(hits, [F.col(f"`{k}`") == F.col(f"__k{i}") for i, k in enumerate(keys)], "left_anti")
 
 
 def first_existing(wanted: DataFrame, listing: DataFrame, key: str, path: str, priority: str) -> DataFrame:

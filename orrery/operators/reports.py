@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from orrery.functions import boxes
 from orrery.functions.relations import pose_class
 
 
@@ -130,6 +131,21 @@ def bounds(points: DataFrame, by: Sequence[str], axes: Sequence[str]) -> DataFra
     return out.select(*by, *[F.bround((F.col(f"lo_{a}") + F.col(f"hi_{a}")) / 2, 2).alias(f"c_{a}") for a in axes], *[F.bround(F.col(f"hi_{a}") - F.col(f"lo_{a}"), 2).alias(f"d_{a}") for a in axes])
 
 
+def footprints(points: DataFrame, by: str, x: str, z: str, parts: int = 1024) -> DataFrame:
+    """by, area of the convex hull of each group's points, null where they span none.
+
+    Each group is dealt over ``parts`` by a hash of its points; the corners of a part's hull go on to the group's.
+    Points with a null or a number that is not finite count for nothing; a group of such points alone has a null area.
+    """
+    ok = F.forall(F.array(F.col(x).cast("double"), F.col(z).cast("double")), lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    corners = lambda g: g.agg(F.collect_list("__x").alias("xs"), F.collect_list("__z").alias("zs"))
+    p = points.select(F.col(by), *[F.when(ok, F.col(c)).cast("double").alias(n) for c, n in ((x, "__x"), (z, "__z"))])
+    dealt = corners(p.groupBy(by, F.pmod(F.xxhash64("__x", "__z"), F.lit(parts)).alias("__part")))
+    hulls = dealt.select(by, F.explode_outer(boxes.hull_corners()(F.col("xs"), F.col("zs"))).alias("c"))
+    whole = corners(hulls.select(by, F.col("c.x").alias("__x"), F.col("c.z").alias("__z")).groupBy(by))
+    return whole.select(by, boxes.footprint_area()(F.col("xs"), F.col("zs")).alias("area"))
+
+
 def lower_median(values: Column) -> Column:
     """The middle of a list's non-null, non-NaN values, the lower one of two; null of none."""
     kept = F.array_sort(F.filter(values, lambda v: v.isNotNull() & ~F.isnan(v)))
@@ -177,6 +193,19 @@ def checked_count(rows: DataFrame, expected: int) -> DataFrame:
     return n.select(F.when(F.col("n") == expected, F.col("n")).otherwise(F.raise_error(F.concat(F.lit(f"expected {expected} rows, found "), F.col("n").cast("string"))).cast("long")).alias("n"))
 
 
+def dense(rows: DataFrame, by: str, kept: Column, most: float = 0.5) -> DataFrame:
+    """Rows where ``kept`` holds; fails where a group of ``by`` would lose more than the share ``most`` of its rows.
+
+    A null in ``kept`` drops the row; rows with a null in ``by`` are a group.
+    """
+    holds = F.coalesce(kept, F.lit(False))
+    counts = rows.groupBy(F.col(by).alias("__by")).agg(F.count("*").alias("__n"), F.count_if(~holds).alias("__gone"))
+    said = F.concat(F.col("__gone").cast("string"), F.lit(" of "), F.col("__n").cast("string"), F.lit(" rows dropped of "), F.coalesce(F.col("__by").cast("string"), F.lit("null")))
+    marked = rows.join(counts, F.col(by).eqNullSafe(F.col("__by")))
+    sound = F.when(F.col("__gone") > F.col("__n") * most, F.raise_error(said).cast("boolean")).otherwise(holds)
+    return marked.where(sound).select(*rows.columns)
+
+
 def consistency(expected: DataFrame, actual: DataFrame, scene: str, stem: str) -> DataFrame:
     """Per scene the tags of what is missing or extra, and OK or BAD."""
     e = expected.select(scene, stem).distinct().withColumn("__e", F.lit(1))

@@ -54,8 +54,8 @@ def frustum(spark, d):
 
 
 _SLAB = """h AS (SELECT s.vec_id, bool_or(t_in < t_out AND t_out > 0 AND t_in < 1) AS hit FROM (
- SELECT s.vec_id, b.vec_id AS box, greatest({near}) AS t_in, least({far}) AS t_out FROM p s JOIN p b ON b.label = s.label AND b.vec_id % 5 = 0) s GROUP BY s.vec_id)"""
-_AXES = [(f"((b.e{6 + i} - 0.3 - s.e{i}) / (s.e{3 + i} - s.e{i}))", f"((b.e{6 + i} + 0.3 - s.e{i}) / (s.e{3 + i} - s.e{i}))") for i in range(3)]
+ SELECT s.vec_id, b.vec_id AS box, greatest({near}) AS t_in, least({far}) AS t_out FROM p s JOIN p b ON b.label = s.label) s GROUP BY s.vec_id)"""
+_AXES = [(f"((b.e{6 + i} - 0.03 - s.e{i}) / (s.e{3 + i} - s.e{i}))", f"((b.e{6 + i} + 0.03 - s.e{i}) / (s.e{3 + i} - s.e{i}))") for i in range(3)]
 
 
 @query("segment_aabb", f"WITH {POINTS}, " + _SLAB.format(near=", ".join(f"least({a}, {b})" for a, b in _AXES), far=", ".join(f"greatest({a}, {b})" for a, b in _AXES)) + " SELECT p.vec_id FROM p LEFT JOIN h USING (vec_id) WHERE NOT coalesce(hit, false)")
@@ -63,8 +63,8 @@ def segment(spark, d):
     """Segments that no box of their label cuts: an anti-join on the slab test."""
     p = points(spark, d)
     s = p.select("vec_id", "label", *[F.col(f"e{i}").alias(f"{a}0") for i, a in enumerate("xyz")], *[F.col(f"e{3 + i}").alias(f"{a}1") for i, a in enumerate("xyz")])
-    o = p.where("vec_id % 5 = 0").select("label", *[(F.col(f"e{6 + i}") - 0.3).alias(f"l{a}") for i, a in enumerate("xyz")], *[(F.col(f"e{6 + i}") + 0.3).alias(f"h{a}") for i, a in enumerate("xyz")])
-    return joins.unblocked(s, o, "label").select("vec_id")
+    o = p.select("label", *[(F.col(f"e{6 + i}") - 0.03).alias(f"l{a}") for i, a in enumerate("xyz")], *[(F.col(f"e{6 + i}") + 0.03).alias(f"h{a}") for i, a in enumerate("xyz")])
+    return joins.unblocked(s, o, "label", 0.0625).select("vec_id")
 
 
 _ROT = "r AS (SELECT *, cos(e6) AS c1, sin(e6) AS s1, cos(e7) AS c2, sin(e7) AS s2, cos(e8) AS c3, sin(e8) AS s3, abs(e3) + 1.0 AS d0, abs(e4) + 0.5 AS d1, abs(e5) + 0.25 AS d2 FROM p)"
@@ -244,21 +244,19 @@ def visible_fraction(spark, d):
     return out.select("label", r6(F.col("fraction"), "fraction"), "answer")
 
 
-_GRID = """f AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS k, e0 AS tx, e1 AS ty, e2 AS tz FROM p),
-fr AS (SELECT *, avg(tx) OVER w AS ox, avg(ty) OVER w AS oy, avg(tz) OVER w AS oz FROM f WHERE k < 3 WINDOW w AS (PARTITION BY label)),
+_GRID = """f AS (SELECT label, vec_id, vec_id AS k, e0 AS tx, e1 AS ty, e2 AS tz FROM p),
+fr AS (SELECT *, avg(tx) OVER w AS ox, avg(ty) OVER w AS oy, avg(tz) OVER w AS oz FROM f WINDOW w AS (PARTITION BY label)),
 g AS (SELECT fr.*, r, c, floor((r + 0.5) * 8 / 4)::INT AS row, floor((c + 0.5) * 12 / 6)::INT AS col FROM fr, (SELECT unnest(range(4)) AS r), (SELECT unnest(range(6)) AS c)),
 z AS (SELECT *, ((vec_id * 131 + row * 37 + col * 101) % 6000) / 1000.0 AS z FROM g), l AS (SELECT *, (c + 0.5 - 60.0 * 6 / 120) * z / (100.0 * 6 / 120) AS lx, (r + 0.5 - 40.0 * 4 / 80) * z / (100.0 * 4 / 80) AS ly FROM z WHERE z > 0.1 AND z < 50),
 w AS (SELECT label, k, (k * 4 + r) * 6 + c AS valid_index, lx + tx - ox AS x, ly + ty - oy AS y, z + tz - oz AS zz FROM l)"""
 
 
 @query("canvas_geometry", f"""WITH {POINTS}, {_GRID} SELECT label, valid_index, round(atan2(x, y), 5) AS lon, round(atan2(-zz, greatest(sqrt(x * x + y * y), 1e-8)), 5) AS lat, round(greatest(sqrt(x * x + y * y + zz * zz), 0.01), 5) AS depth,
-row_number() OVER (PARTITION BY label ORDER BY valid_index)::INT - 1 AS idx FROM w""")
+row_number() OVER (PARTITION BY label ORDER BY valid_index) - 1 AS idx FROM w""")
 def canvas_geometry(spark, d):
-    """Three frames a scene on a 4 x 6 grid over a made-up 8 x 12 depth map."""
-    from pyspark.sql.window import Window
-
+    """Every vector is a frame of its label's scene, on a 4 x 6 grid over a made-up 8 x 12 depth map."""
     zero, one = F.lit(0.0), F.lit(1.0)
-    p = points(spark, d).withColumn("frame_idx", F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1).where("frame_idx < 3")
+    p = points(spark, d).withColumn("frame_idx", F.col("vec_id"))
     pose = F.array(one, zero, zero, F.col("e0"), zero, one, zero, F.col("e1"), zero, zero, one, F.col("e2"), zero, zero, zero, one)
     frames = p.select(F.col("label").alias("scene_id"), "frame_idx", "vec_id", pose.alias("pose"), *[F.lit(v).alias(n) for n, v in (("fx", 100.0), ("fy", 100.0), ("cx", 60.0), ("cy", 40.0), ("width", 120.0), ("height", 80.0))])
     cells = frames.select("scene_id", "frame_idx", "vec_id", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("row")).select("*", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("col"))
@@ -292,8 +290,8 @@ def surface_distance(spark, d):
 @query("footprint_area")
 def footprint_area(spark, d):
     """Hull areas of the points of a label; a hull goes point by point, so no SQL."""
-    g = points(spark, d).groupBy("label").agg(F.collect_list("e0").alias("xs"), F.collect_list("e1").alias("zs"))
-    return g.select("label", F.round(boxes.footprint_area()(F.col("xs"), F.col("zs")), 6).alias("area"))
+    areas = reports.footprints(points(spark, d), "label", "e0", "e1")
+    return areas.select("label", F.round("area", 6).alias("area"))
 
 
 @query("similarity_fit")
