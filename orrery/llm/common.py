@@ -18,9 +18,12 @@ ROWS_A_SALT, LEAST_SALTS = 200_000, 256
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder that the session names in ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) a temporary folder is taken.
+    Only where the session names none and runs on one machine (tests) a temporary folder is taken; on a cluster, whose
+    machines do not share theirs, that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
     if not base:
         base = "file://" + os.path.join(tempfile.gettempdir(), "orrery-scratch")
         spark.conf.set("spark.checkpoint.dir", base)

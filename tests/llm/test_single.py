@@ -5,13 +5,14 @@ import hashlib
 import random
 import re
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
 from oracle import rows as plain_rows
 from oracle import sql_rows
 
-from orrery.llm import chat, htmltext, linededup, lmscore, packing, quality, sharding, warc
+from orrery.llm import chat, common, htmltext, linededup, lmscore, packing, quality, sharding, warc
 
 FULL = "WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
 PAGES = [(1, "u1", "a"), (2, "u2", "x" + FULL + "WARC/1.0\r\nfoo " + warc.MAGIC), (3, "u3", None), (4, "u\r\n4", ""), (5, "u5", FULL * 3), (6, None, "é" * 3000), (7, "u7", "a"), (9, "u9", FULL + "tail"), (10, "u", warc.MAGIC)]
@@ -487,3 +488,11 @@ def test_pipeline_judges_rows_apart_from_ids(spark, documents):
         assert out.columns == docs.columns
         docs = out
     assert Counter(r.doc_id for r in docs.collect()) == Counter([*range(70), None])
+
+
+def test_no_temporary_folder_on_a_cluster():
+    conf = SimpleNamespace(get=lambda *_: None, set=lambda *_: None)
+    session = lambda master: SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master, getConf=lambda: conf))
+    assert common.scratch_path(session("local[4]"), "x").startswith("file:")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.scratch_path(session("spark://head:7077"), "x")
