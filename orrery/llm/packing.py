@@ -42,6 +42,13 @@ CACHE, ROWS_AT_ONCE = 500_000, 256
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+def byte_symbols() -> dict[str, int]:
+    """The byte that each character of a byte-level file stands for."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
+    hidden = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+
+
 def _unit_encoder(tokenizer: str):
     """A quicker encoder of short texts with the same file's vocabulary and splitting, if the file is of that kind."""
     import tiktoken
@@ -55,9 +62,7 @@ def _unit_encoder(tokenizer: str):
     in_order = all(vocab.get(m) == 256 + k for k, m in enumerate(merges))
     if model.get("type", "BPE") not in ("BPE", None) or not (byte_level and in_order) or model.get("ignore_merges") or sys.byteorder != "little":
         return None
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in the file
-    hidden = [b for b in range(256) if b not in shown]
-    byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+    byte = byte_symbols()
     ranks = {bytes(byte[c] for c in token): i for token, i in vocab.items() if token not in special}
     return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
 
