@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.llm import alignment, chat, decontaminate, htmltext, linededup, lmscore, neardup, packing, pipeline, quality, sharding, warc
+from orrery.llm import alignment, chat, decontaminate, htmltext, linededup, lmscore, neardup, packing, pipeline, quality, sharding, warc, whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_main_text": htmltext.op9,
         "op10_near_duplicates": neardup.op10,
         "op11_align": alignment.op11,
+        "op12_whiten": whitening.op12,
         "pipeline": pipeline.run,
     }
 
