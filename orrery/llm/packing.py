@@ -36,8 +36,9 @@ STARTS, TURNS, PRICINGS, ETA = (0.0, 0.2), 4, 120, 0.1
 NEAR, LAST = 0.001, 0.5
 #: Share of the pieces that a rounding may leave to best fit for the turns to end at the bound.
 LEFT = 0.02
-#: Units of text whose ids a worker remembers, and rows that it encodes at once.
-CACHE, ROWS_AT_ONCE = 500_000, 256
+#: Bytes that the units a worker remembers may take (texts, ids and UNIT_BYTES for each), the longest unit that is
+#: remembered, and rows that are encoded at once.
+CACHE_BYTES, UNIT_BYTES, LONGEST_UNIT, ROWS_AT_ONCE = 160 << 20, 250, 100, 256
 #: Fixed value: how byte-level tokenizers split texts.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -76,6 +77,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(tokenizer)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes | None] = {}
+        self.size = 0
         self.units = _unit_encoder(tokenizer)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
@@ -88,22 +90,27 @@ class Encoder:
         of its units, each with the space before it; a unit is encoded once. Texts with other white space next to a
         space, or with special tokens, are encoded whole.
         """
-        if len(self.known) > CACHE:
+        if self.size > CACHE_BYTES:
             self.known.clear()
+            self.size = 0
         split = [t.split(" ") if t[:1].strip() else None for t in texts]
         new = list(set().union(*(u[1:] for u in split if u)).difference(self.known))
+        long = [u for u in new if len(u) > LONGEST_UNIT]
         plain = [u for u in new if u and u == u.strip() and not any(s in u for s in self.special)]
         self.known.update(dict.fromkeys(new))
         if self.units:
             self.known.update((u, array("I", self.units(" " + u)).tobytes()) for u in plain)
         else:
             self.known.update(zip(plain, self._encode([" " + u for u in plain]), strict=True))
+        self.size += sum(UNIT_BYTES + 4 * len(u) for u in new if len(u) <= LONGEST_UNIT)
         for t, u in zip(texts, split, strict=True):
             parts = [self.known[x] for x in u[1:]] if u else [None]
             if None in parts or u[0] != u[0].strip() or any(s in u[0] for s in self.special):
                 yield self._encode([t])[0]
             else:
                 yield self._encode([u[0]])[0] + b"".join(parts)
+        for u in long:
+            del self.known[u]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -307,17 +314,14 @@ def planned(demand: np.ndarray, capacity: int) -> Plan:
     return solved(demand, capacity).plan
 
 
-def placed(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Adds sequence_id and offset to a written table of pieces."""
-    spark = found.sparkSession
-    histogram = {r.length: r.n for r in found.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most ``capacity`` rows
-    demand = np.zeros(capacity + 1, np.int64)
-    for size, n in histogram.items():
-        demand[size] = n
-    # runs of ranks of one length that have the same place in sequences of one configuration
+def runs(plan: Plan) -> tuple[np.ndarray, ...]:
+    """Runs of ranks of one length that have the same place in sequences of one configuration, by length and rank.
+
+    Columns: the length, the first rank, the first sequence, pieces of the run in a sequence, the first one's offset.
+    """
     size_, begin, first, each, offset = [], [], [], [], []
     used, sequence = Counter(), 0
-    for config, n in planned(demand, capacity):
+    for config, n in plan:
         at = 0
         for s, k in config:
             size_.append(s), begin.append(used[s]), first.append(sequence), each.append(k), offset.append(at)
@@ -325,25 +329,38 @@ def placed(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             at += s * k
         sequence += n
     order = np.lexsort((begin, size_))
-    table = tuple(np.array(x, np.int64)[order] for x in (size_, begin, first, each, offset))
+    return tuple(np.array(x, np.int64)[order] for x in (size_, begin, first, each, offset))
+
+
+def looked_up(table: tuple[np.ndarray, ...], length: np.ndarray, rank: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sequence and offset of pieces by their rank within their length."""
+    size_, begin, first, each, offset = table
+    low = np.searchsorted(size_, np.arange(capacity + 2))
+    run = np.zeros(len(length), np.int64)
+    for s in np.unique(length):
+        mine = length == s
+        a, b = low[s], low[s + 1]
+        run[mine] = a + np.searchsorted(begin[a:b], rank[mine], "right") - 1
+    turn = rank - begin[run]
+    return first[run] + turn // each[run], offset[run] + turn % each[run] * length
+
+
+def placed(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """Adds sequence_id and offset to a written table of pieces."""
+    spark = found.sparkSession
+    histogram = {r.length: r.n for r in found.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most ``capacity`` rows
+    demand = np.zeros(capacity + 1, np.int64)
+    for size, n in histogram.items():
+        demand[size] = n
+    table = runs(planned(demand, capacity))
     sent = spark.sparkContext.broadcast(table)  # bounded by the configurations of a plan, not by the pieces
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size_, begin, first, each, offset = sent.value
-        low = np.searchsorted(size_, np.arange(capacity + 2))
         for batch in batches:
             length, rank = (batch.column(c).to_numpy() for c in ("length", "rank"))
-            run = np.zeros(len(length), np.int64)
-            for s in np.unique(length):
-                mine = length == s
-                a, b = low[s], low[s + 1]
-                run[mine] = a + np.searchsorted(begin[a:b], rank[mine], "right") - 1
-            turn = rank - begin[run]
             names = [x for x in batch.schema.names if x != "rank"]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(x) for x in names), pa.array(first[run] + turn // each[run]), pa.array(offset[run] + turn % each[run] * length)],
-                names=[*names, "sequence_id", "offset"],
-            )
+            made = [pa.array(x) for x in looked_up(sent.value, length, rank, capacity)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), *made], names=[*names, "sequence_id", "offset"])
 
     ranked = salted_rank(found, ["length"], ["doc_id", "piece", "ids_crc32"], "rank", int(demand.sum()))
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in found.schema.fields)

@@ -1,4 +1,4 @@
-"""The ten queries and the pipeline, with SQL where SQL expresses them."""
+"""The thirteen queries and the pipeline, with SQL where SQL expresses them."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.llm import alignment, chat, decontaminate, htmltext, linededup, lmscore, neardup, packing, pipeline, quality, sharding, warc, whitening
+from orrery.llm import alignment, chat, cutting, decontaminate, htmltext, linededup, lmscore, neardup, packing, pipeline, quality, sharding, warc, whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_near_duplicates": neardup.op10,
         "op11_align": alignment.op11,
         "op12_whiten": whitening.op12,
+        "op13_cut_pack": cutting.op13,
         "pipeline": pipeline.run,
     }
 
