@@ -12,7 +12,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
-from html.parser import HTMLParser
+from html import unescape
 
 import numpy as np
 import pyarrow as pa
@@ -44,11 +44,49 @@ FEATURES = [f"in_{t}" for t in TAGS] + [f"kind_{k}" for k in WORDS] + SHAPES
 INDEX = {f: i for i, f in enumerate(FEATURES)}
 
 
-class _Blocks(HTMLParser):
-    """Text blocks of a page, each with its features."""
+RAW = {"script", "style"}
+#: What opens markup, and an attribute; no quantifier gives back what it took, so a page is read once.
+OPENS = re.compile(r"<(?:(/?+)([a-zA-Z][^\s/>]*+)|!--|[!?/])")
+ATTRIBUTE = re.compile(r"[\s/]*+([^\s/>][^\s/>=]*+)(?:\s*+(=)\s*+)?+")
+BARE = re.compile(r"[^\s>]*+")
+#: Decimal references of more digits than any character has.
+TOO_LARGE = re.compile(r"&#0*+[0-9]{8,}+;?")
+
+
+def _read(text: str) -> str:
+    """``text`` with its character references decoded."""
+    return unescape(TOO_LARGE.sub("\N{REPLACEMENT CHARACTER}", text)) if "&" in text else text
+
+
+def _attributes(html: str, at: int) -> tuple[list[tuple[str, str]], bool, int]:
+    """Attributes of a tag from ``at``, whether it closes itself, and where it ends: -1 if the page ends before it."""
+    found: list[tuple[str, str]] = []
+    while True:
+        m = ATTRIBUTE.match(html, at)
+        if not m:
+            end = html.find(">", at)
+            return found, end > 0 and html[end - 1] == "/", end + 1 if end >= 0 else -1
+        at, value = m.end(), ""
+        if m[2]:
+            if html[at : at + 1] in ("'", '"') and at < len(html):
+                end = html.find(html[at], at + 1)
+                if end < 0:
+                    return found, False, -1
+                value, at = html[at + 1 : end], end + 1
+            else:
+                bare = BARE.match(html, at)
+                value, at = bare[0], bare.end()
+        found.append((m[1].lower(), _read(value)))
+
+
+class _Blocks:
+    """Text blocks of a page, each with its features.
+
+    Tags, comments and declarations are told apart as browsers do. What is not closed before the page ends (a tag, a
+    quoted value, a comment, a script) takes the rest of the page with it and is no text; nothing is an error.
+    """
 
     def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, tuple[str, ...]]] = []
         self.places: dict[str, list[int]] = defaultdict(list)  # where in the stack a tag is open
         self.holders: list[int] = []
@@ -58,6 +96,36 @@ class _Blocks(HTMLParser):
         self.link_chars = 0
         self.blocks: list[tuple[str, list[int]]] = []
 
+    def feed(self, html: str) -> None:
+        at = 0
+        while True:
+            m = OPENS.search(html, at)
+            if m is None:
+                self.handle_data(_read(html[at:]))
+                return
+            if m.start() > at:
+                self.handle_data(_read(html[at : m.start()]))
+            if m[2] is None:
+                if m[0] == "<!--":
+                    end = m.end() + 1 if html.startswith(">", m.end()) else m.end() + 2 if html.startswith("->", m.end()) else html.find("-->", m.end()) + 3
+                    at = end if end > m.end() else -1
+                else:  # a declaration or what browsers take for a comment
+                    at = html.find(">", m.end()) + 1 or -1
+            else:
+                tag = m[2].lower()
+                attrs, alone, at = _attributes(html, m.end())
+                if at >= 0 and m[1]:
+                    self.handle_endtag(tag)
+                elif at >= 0:
+                    self.handle_starttag(tag, attrs)
+                    if alone and tag not in VOID:
+                        self.handle_endtag(tag)
+                    elif tag in RAW:
+                        end = re.compile(f"</{tag}(?=[\\s/>])", re.I).search(html, at)
+                        at = end.start() if end else -1
+            if at < 0:
+                return
+
     def handle_starttag(self, tag, attrs):
         if tag not in INLINE:
             self.flush()
@@ -82,11 +150,6 @@ class _Blocks(HTMLParser):
         self.unseen += tag in UNSEEN
         self.links += tag == "a"
 
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        if tag not in VOID:
-            self.handle_endtag(tag)
-
     def handle_endtag(self, tag):
         if tag not in INLINE:
             self.flush()
@@ -132,7 +195,6 @@ class _Blocks(HTMLParser):
 def blocks(html: str) -> list[tuple[str, list[int]]]:
     parser = _Blocks()
     parser.feed(html)
-    parser.close()
     parser.flush()
     found = parser.blocks
     if found:

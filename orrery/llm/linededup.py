@@ -89,6 +89,14 @@ def drops(docs: DataFrame) -> DataFrame:
     return lines.groupBy("doc_id", "h").agg(F.array_sort(F.collect_set("line")).alias("dropped"))
 
 
+def _mask(numbers: str) -> Column:
+    """A byte for each line up to the last of the sorted ``numbers``: 1 for those, 0 for others. A look at one byte takes
+    as long wherever it is."""
+    before = F.concat(F.array(F.lit(-1)), F.col(numbers))
+    marks = F.zip_with(before, numbers, lambda a, b: F.when(b.isNotNull(), F.concat(F.repeat(F.lit("0"), b - a - 1), F.lit("1"))).otherwise(""))
+    return F.array_join(marks, "").cast("binary")
+
+
 def without_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with recurring lines cut from ``text``; adds __lines (before) and __dropped (numbers from 0).
 
@@ -99,12 +107,12 @@ def without_lines(docs: DataFrame) -> DataFrame:
     """
     base = docs.drop("__lines", "__dropped")
     columns = base.columns
-    cut = drops(base.select("doc_id", "text")).select(F.col("doc_id").alias("__doc"), F.col("h").alias("__hash"), F.col("dropped").alias("__cut"))
+    cut = drops(base.select("doc_id", "text")).select(F.col("doc_id").alias("__doc"), F.col("h").alias("__hash"), F.col("dropped").alias("__cut"), _mask("dropped").alias("__mask"))
     named = base.toDF(*[f"c{i}" for i in range(len(columns))])
     doc, body = (F.col(f"c{columns.index(c)}") for c in ("doc_id", "text"))
     both = named.join(cut, (doc == F.col("__doc")) & (F.xxhash64(body) == F.col("__hash")), "left")
     split = F.split(body, "\n")
-    left = F.array_join(F.filter(split, lambda x, i: ~F.array_contains(F.col("__cut"), i)), "\n")
+    left = F.array_join(F.filter(split, lambda x, i: F.coalesce(F.substring("__mask", i + 1, F.lit(1)) != F.lit(b"1"), F.lit(True))), "\n")
     text = F.when(F.col("__cut").isNull(), body).otherwise(left)
     lines = F.when(body.isNull(), 0).otherwise(F.size(split)).cast("long").alias("__lines")
     return both.select(*[text.alias(c) if c == "text" else F.col(f"c{i}").alias(c) for i, c in enumerate(columns)], lines, F.coalesce("__cut", F.array().cast("array<int>")).alias("__dropped"))

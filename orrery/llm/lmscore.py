@@ -38,6 +38,8 @@ START = 0
 #: Tokens and rows that a worker packs at once, and how often a pair must be among them to be looked at as frequent: a
 #: pair that is so frequent on average is so in one of the packs.
 HELD, HELD_ROWS, OFTEN = 400_000, 50_000, 2
+#: Rows that are read at once: with HELD_ROWS no more than 16 bits number.
+READ_ROWS = (1 << 16) - 1 - HELD_ROWS
 #: Tokens that meet in a bucket on average, and the bits of the least number of buckets.
 MET, LEAST_BITS = 2_000_000, 8
 #: Places of words and bits of a pair of them.
@@ -72,7 +74,7 @@ def _packs(batches: Iterator[pa.RecordBatch], sent=None) -> Iterator[Pack]:
     parts, kept, tokens, rows = [], [], 0, 0
     for batch in batches:
         data, offsets = buffers(batch.column(0))
-        for a, b in chunks(offsets):
+        for a, b in ((c, min(c + READ_ROWS, z)) for a, z in chunks(offsets) for c in range(a, z, READ_ROWS)):
             w = Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], ALNUM)
             h = w.hashes().view(np.int64)
             before = np.full(len(h), START, np.int64)

@@ -30,8 +30,9 @@ from orrery.llm.words import NOT_SPACE, Words, buffers, chunks, mixed
 BANDS, ROWS = 48, 6
 REGISTERS = BANDS * ROWS
 MANTISSA = 10
-#: An estimate this far below the threshold (six standard deviations of REGISTERS draws) ends a pair.
-MARGIN = 0.15
+#: Sets of up to EXACT shingles, of both together, are compared whole. Of larger ones an estimate that lies MARGIN below
+#: the threshold ends the pair; its deviation is 0.024 to 0.03 there, as measured.
+EXACT, MARGIN = 4096, 0.25
 #: Nodes of a bucket up to which its open pairs are rows; beyond, blocks of these sizes meet. Cells of a block's matrix.
 FEW, X_BLOCK, Y_BLOCK, CELLS = 24, 256, 1024, 8 << 20
 _NEXT = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -141,7 +142,7 @@ def _confirmed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.R
         for i in range(batch.num_rows):
             x, y = np.frombuffer(sx[i], np.uint64), np.frombuffer(sy[i], np.uint64)
             ok = 100 * min(len(x), len(y)) >= percent * max(len(x), len(y))
-            if ok and estimate(np.frombuffer(rx[i], np.uint16), np.frombuffer(ry[i], np.uint16), len(x), len(y)) >= percent / 100 - MARGIN:
+            if ok and (len(x) + len(y) <= EXACT or estimate(np.frombuffer(rx[i], np.uint16), np.frombuffer(ry[i], np.uint16), len(x), len(y)) >= percent / 100 - MARGIN):
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 ok = 100 * both >= percent * (len(x) + len(y) - both)
             else:

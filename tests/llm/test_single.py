@@ -419,7 +419,7 @@ def test_pipeline(spark, documents):
         assert out.columns == docs.columns
         docs = out
         kept.append({r.doc_id for r in docs.collect()})
-    assert kept[0] == {*range(90), 100, 101, 102} and kept[1] == kept[0]
+    assert kept[0] == {*range(90), 100, 101, 102} and kept[1] == kept[0] - {100}  # line dedup takes all of an exact copy
     assert kept[3] == kept[2] - {102} and set(range(90)) <= kept[3]
     assert corpus_pipeline.run(spark, sf).where("doc_id < 90").selectExpr("count(DISTINCT doc_id)").first()[0] == 90
 
