@@ -76,18 +76,6 @@ def placements(scenes: DataFrame, boxes: int, seed: int = 0, tries: int = 50, ga
     return scenes.select("scene_id", "lx", "lz", "hx", "hz").mapInPandas(run, "scene_id string, box int, cx double, cz double, dx double, dy double, dz double, placed boolean")
 
 
-def distractors(placed: DataFrame, scenes: DataFrame, count: int, seed: int = 1, clear: float = 0.5) -> DataFrame:
-    """Further boxes per scene that keep ``clear`` from every placed centre: candidates anti-joined against them."""
-    candidates = scenes.select("scene_id", "lx", "lz", "hx", "hz", F.explode(F.sequence(F.lit(0), F.lit(4 * count - 1))).alias("box"))
-    x = F.col("lx") + uniform(F.col("scene_id"), F.col("box"), F.lit("x"), seed=seed) * (F.col("hx") - F.col("lx"))
-    z = F.col("lz") + uniform(F.col("scene_id"), F.col("box"), F.lit("z"), seed=seed) * (F.col("hz") - F.col("lz"))
-    candidates = candidates.select("scene_id", "box", x.alias("x"), z.alias("z"))
-    other = placed.where("placed").select(F.col("scene_id").alias("__s"), "cx", "cz")
-    near = (F.col("scene_id") == F.col("__s")) & ((F.col("x") - F.col("cx")) ** 2 + (F.col("z") - F.col("cz")) ** 2 < clear**2)
-    free = candidates.join(other, near, "left_anti")
-    return free.withColumn("__r", F.row_number().over(Window.partitionBy("scene_id").orderBy("box"))).where(F.col("__r") <= count).drop("__r")
-
-
 def colinear(anchors: DataFrame, count: int, low: float, high: float, seed: int = 2) -> DataFrame:
     """Centres on a line from each anchor (scene_id, x, z, angle), hashed gaps between ``low`` and ``high`` apart."""
     steps = anchors.select("*", F.explode(F.sequence(F.lit(1), F.lit(count))).alias("k"))

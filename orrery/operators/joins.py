@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from orrery.functions import boxes, geometry
+from orrery.operators import cells
+from orrery.operators.nearby import nearest_pair, nearest_patch  # noqa: F401  joins too
 
 
 def last_wins(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
@@ -151,37 +153,16 @@ def visible(points: DataFrame, cameras: DataFrame, scene: str) -> DataFrame:
     return seen.drop("__x", "__y", "__z")
 
 
-def unblocked(segments: DataFrame, occluders: DataFrame, scene: str, cell: float = 0.25) -> DataFrame:
-    """Segments (x0..z0, x1..z1) that no box (lx..lz, hx..hz) of their scene cuts.
+def unblocked(segments: DataFrame, occluders: DataFrame, scene: str, cell: float = 0.25, own: str | None = None) -> DataFrame:
+    """Segments (x0..z0, x1..z1) that no box (lx..lz, hx..hz) of their scene cuts, met by grid cells.
 
-    Grids double in width from ``cell`` upwards; a box lies in the few cells that it touches of the first grid as wide
-    as its longest side. A segment goes, in pieces no longer than a cell, to the cells of each grid that its scene has
-    boxes in, and meets the boxes of these cells alone. A box with a coordinate that is null or not finite cuts
-    nothing, and such a segment or one without a scene stays; equal segments share their fate; other columns pass.
+    With ``own``, a column of both sides, a box does not cut segments of the same value: the thing that is looked at, or
+    from. A box with a coordinate that is null or not finite cuts nothing, and such a segment or one without a scene
+    stays; equal segments share their fate; other columns pass.
     """
-    finite = lambda cols: F.forall(F.array(*cols), lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    cells = lambda low, high: F.sequence(F.floor(low / F.col("__width") - 1e-6), F.floor(high / F.col("__width") + 1e-6))
-    edges = [(F.col("l" + a).cast("double").alias("__l" + a), F.col("h" + a).cast("double").alias("__h" + a)) for a in "xyz"]
-    o = occluders.select(F.col(scene).alias("__scene"), *[c for pair in edges for c in pair])
-    o = o.where(finite([F.col(f"__{e}{a}") for a in "xyz" for e in "lh"]))
-    longest = F.greatest(*[F.abs(F.col("__h" + a) - F.col("__l" + a)) for a in "xyz"])
-    o = o.withColumn("__width", F.lit(float(cell)) * F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(longest / cell, F.lit(1.0))))))
-    grids = o.select("__scene", "__width").distinct()
-    keys = [scene, *[a + end for end in "01" for a in "xyz"]]
-    s = segments.select(*[F.col(f"`{k}`").alias(f"__k{i}") for i, k in enumerate(keys)]).where(finite([F.col(f"__k{i}").cast("double") for i in range(1, 7)]))
-    s = s.join(grids, F.col("__k0") == F.col("__scene")).drop("__scene")
-    ends = [(F.col(f"__k{1 + i}").cast("double"), F.col(f"__k{4 + i}").cast("double")) for i in range(3)]
-    pieces = F.greatest(F.ceil(F.greatest(*[F.abs(q - p) for p, q in ends]) / F.col("__width")), F.lit(1))
-    s = s.withColumn("__n", pieces).select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__n") - 1)).alias("__p"))
-    for (p, q), a in zip(ends, "xyz", strict=True):
-        one, two = (p + (q - p) * (F.col("__p") + k) / F.col("__n") for k in (0, 1))
-        s = s.select("*", F.explode(cells(F.least(one, two), F.greatest(one, two))).alias("__c" + a))
-        low, high = F.least("__l" + a, "__h" + a), F.greatest("__l" + a, "__h" + a)
-        o = o.select("*", F.explode(cells(low, high)).alias("__b" + a))
-    met = [F.col("__k0") == F.col("__scene"), F.col("s.__width") == F.col("o.__width"), *[F.col("__c" + a) == F.col("__b" + a) for a in "xyz"]]
-    cut = geometry.segment_hits_box([p for p, _ in ends], [q for _, q in ends], [F.col("__l" + a) for a in "xyz"], [F.col("__h" + a) for a in "xyz"])
-    hits = s.alias("s").join(o.alias("o"), [*met, cut], "left_semi").select(*[f"__k{i}" for i in range(7)]).distinct()
-    return segments.join(hits, [F.col(f"`{k}`") == F.col(f"__k{i}") for i, k in enumerate(keys)], "left_anti")
+    hits = cells.cut_segments(segments, occluders, scene, cell, own)
+    keys = [scene, *[a + end for end in "01" for a in "xyz"], *([own] if own else [])]
+    return segments.join(hits, [F.col(f"`{k}`").eqNullSafe(F.col(f"__k{i}")) if k == own else F.col(f"`{k}`") == F.col(f"__k{i}") for i, k in enumerate(keys)], "left_anti")
 
 
 def first_existing(wanted: DataFrame, listing: DataFrame, key: str, path: str, priority: str) -> DataFrame:
@@ -189,19 +170,3 @@ def first_existing(wanted: DataFrame, listing: DataFrame, key: str, path: str, p
     there = wanted.join(listing.select(path).distinct(), path, "left_semi")
     best = there.groupBy(key).agg(F.min_by(path, priority).alias(path))
     return wanted.select(key).distinct().join(best, key, "left")
-
-
-def nearest_patch(pixels: DataFrame, patches: DataFrame, frame: str) -> DataFrame:
-    """(row, col) of each pixel to the index of the frame's nearest patch: ring distance, then rows, then columns; else 0."""
-    p = patches.select(F.col(frame).alias("__frame"), F.col("row").alias("__row"), F.col("col").alias("__col"), F.col("idx").alias("__idx"))
-    dy, dx = F.abs(F.col("row") - F.col("__row")), F.abs(F.col("col") - F.col("__col"))
-    near = pixels.join(p, F.col(frame) == F.col("__frame"), "left")
-    return near.groupBy(frame, "row", "col").agg(F.coalesce(F.min_by("__idx", F.struct(F.greatest(dy, dx), dy, dx, F.col("__idx"))), F.lit(0)).alias("idx"))
-
-
-def nearest_pair(pairs: DataFrame, a: DataFrame, b: DataFrame, key: str) -> DataFrame:
-    """Least distance between two point sets (x, y, z) of each pair of sets (a_key, b_key)."""
-    left = a.select(F.col(key).alias("a_key"), *[F.col(c).alias(f"__a{c}") for c in "xyz"])
-    right = b.select(F.col(key).alias("b_key"), *[F.col(c).alias(f"__b{c}") for c in "xyz"])
-    square = sum(((F.col(f"__a{c}") - F.col(f"__b{c}")) ** 2 for c in "xyz"), F.lit(0.0))
-    return pairs.join(left, "a_key").join(right, "b_key").groupBy("a_key", "b_key").agg(F.sqrt(F.min(square)).alias("distance"))
