@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from orrery.functions import boxes
 from orrery.functions.relations import pose_class
+from orrery.operators import ranks
 
 
 def family_of(kind: Column, families: Mapping[str, Sequence[str]]) -> Column:
@@ -51,31 +52,31 @@ def regression(rows: DataFrame, value: Column, target: Column) -> DataFrame:
     stats = d.agg(
         F.count("*").alias("reg_n"),
         F.avg("e").alias("reg_mae"),
-        F.median("e").alias("reg_medae"),
         *[F.avg(F.when(F.col("e") <= t, 1.0).otherwise(0.0)).alias(f"reg_within_{n}") for n, t in within.items()],
         F.avg("p").alias("reg_pred_mean"),
         F.stddev_pop("p").alias("reg_pred_std"),
         F.avg("g").alias("reg_gt_mean"),
         F.when((F.stddev_pop("p") > 0) & (F.stddev_pop("g") > 0), F.corr("p", "g")).otherwise(0.0).alias("reg_pearson_r"),
     )
-    return stats.where("reg_n >= 2")
+    middle = ranks.quantiles(d, [], ["e"], [0.5]).select(F.get("e_q", F.lit(0)).alias("reg_medae"))
+    return stats.where("reg_n >= 2").crossJoin(middle)  # a row each
 
 
 def grounding(rows: DataFrame, overlap: Column, distance: Column) -> DataFrame:
     """Accuracies over the parsed predictions (overlap not null), parse rate over all."""
     d = rows.select(overlap.alias("i"), distance.alias("d"))
     share = lambda c, t, up: F.avg(F.when(F.col(c).isNotNull(), F.when((F.col(c) >= t) if up else (F.col(c) <= t), 1.0).otherwise(0.0)))
-    return d.agg(
+    middle = ranks.quantiles(d, [], ["i", "d"], [0.5]).select(F.get("i_q", F.lit(0)).alias("median_iou"), F.get("d_q", F.lit(0)).alias("centre_median"))
+    stats = d.agg(
         *[share("i", t, True).alias(n) for n, t in (("acc_0_25", 0.25), ("acc_0_5", 0.5), ("acc_0_1", 0.1), ("acc_0_05", 0.05))],
         F.avg("i").alias("mean_iou"),
-        F.median("i").alias("median_iou"),
         (F.count("i") / F.greatest(F.count("*"), F.lit(1))).alias("parse_rate"),
         F.count("i").alias("n"),
         F.count("*").alias("total"),
         F.avg("d").alias("centre_mean"),
-        F.median("d").alias("centre_median"),
         *[share("d", t, False).alias(n) for n, t in (("within_0_5m", 0.5), ("within_1m", 1.0), ("within_2m", 2.0))],
     )
+    return stats.crossJoin(middle)  # a row each
 
 
 def multi_grounding(rows: DataFrame, f1_25: Column, f1_50: Column) -> DataFrame:
@@ -101,9 +102,10 @@ def pose_audit(poses: DataFrame, scene: str, x: str, y: str, z: str) -> DataFram
     over = lambda t: F.avg(F.when(norm.isNotNull(), F.when(norm > t, 1.0).otherwise(0.0)))
     s = poses.groupBy(scene).agg(
         F.count("*").alias("n"), F.count(norm).alias("n_finite"), F.max(norm).alias("max_t"),
-        F.percentile(norm, F.lit(0.95)).alias("p95_t"), F.percentile(norm, F.lit(0.5)).alias("p50_t"),
         F.greatest(*spans).alias("span"), over(50).alias("frac_over_50"), over(500).alias("frac_over_500"),
     )
+    far = ranks.quantiles(poses.select(F.col(scene).alias("__scene"), norm.alias("r")), ["__scene"], ["r"], [0.95, 0.5])
+    s = s.join(far, F.col(scene).eqNullSafe(F.col("__scene"))).select(scene, "n", "n_finite", "max_t", F.get("r_q", F.lit(0)).alias("p95_t"), F.get("r_q", F.lit(1)).alias("p50_t"), "span", "frac_over_50", "frac_over_500")
     return s.withColumn("label", pose_class(F.col("n"), F.col("n_finite"), F.col("max_t"), F.col("span"), F.col("frac_over_50"), F.col("frac_over_500")))
 
 
@@ -121,8 +123,9 @@ def displayed(rows: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
 
 
 def axis_quantiles(points: DataFrame, by: Sequence[str], axes: Sequence[str], qs: Sequence[float]) -> DataFrame:
-    """Exact linear-interpolated quantiles of each axis."""
-    return points.groupBy(*by).agg(*[F.percentile(a, F.lit(float(q))).alias(f"{a}_p{round(100 * q)}") for a in axes for q in qs])
+    """Exact linear-interpolated quantiles of each axis, found by counting (``ranks.quantiles``)."""
+    found = ranks.quantiles(points, by, axes, qs)
+    return found.select(*by, *[F.get(f"{a}_q", F.lit(i)).alias(f"{a}_p{round(100 * q)}") for a in axes for i, q in enumerate(qs)])
 
 
 def bounds(points: DataFrame, by: Sequence[str], axes: Sequence[str]) -> DataFrame:
