@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orrery.functions import boxes as box_functions
 from orrery.operators import cells, joins
 from orrery.operators.rounds import Drawn, in_rounds
 from orrery.operators.sampling import draw, uniform
@@ -98,6 +99,42 @@ def distractors(scenes: DataFrame, boxes: DataFrame, paths: DataFrame | None = N
     return Drawn(done.accepted.select(*columns), done.census, done.open.select("scene_id", "slot", "reason"))
 
 
+def box_sets(scenes: DataFrame, count: int, seed: int = 10, least: float = 0.05, tries: int = 30, each: int = 10) -> Drawn:
+    """``count`` boxes in each scene (scene_id, lx..hz) and how far the first is from the others, by their surfaces.
+
+    A draw is rejected where two bounding spheres meet (``overlap``) or the answer would be too close to call
+    (``margin``): with two boxes, where they are no more than ``least`` apart; with more, where the nearest leads the
+    next by less. Gives (scene_id, boxes: centre, sides and turns of each; distances; answer: metres of two, else the
+    nearest one's letter; attempt).
+    """
+    sound = scenes.where(F.col("scene_id").isNotNull() & cells.finite([F.col(e + a).cast("double") for e in "lh" for a in AXES]))
+    base = sound.select("scene_id", *[e + a for e in "lh" for a in AXES])
+
+    def drawn(rows: DataFrame) -> DataFrame:
+        each_ = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("box"))
+        made = _drawn_box(each_, [F.col(k) for k in ("scene_id", "box", "attempt")], seed)
+        box = F.array(*AXES, "dx", "dy", "dz", "yaw", F.lit(0.0), F.lit(0.0))
+        whole = made.groupBy("scene_id", "attempt").agg(F.array_sort(F.collect_list(F.struct("box", box.alias("b"), "r"))).alias("s"))  # count rows
+        return rows.join(whole, ["scene_id", "attempt"])
+
+    def judge(rows: DataFrame, _: DataFrame | None) -> DataFrame:
+        at = lambda i: F.get("s", F.lit(i))
+        meet = F.lit(False)
+        for i in range(count):
+            for j in range(i):
+                meet = meet | (box_functions.centre_distance(at(i)["b"], at(j)["b"]) < at(i)["r"] + at(j)["r"])
+        far = box_functions.box_distance()
+        rows = rows.withColumn("distances", F.array(*[far(at(0)["b"], at(j)["b"]) for j in range(1, count)]))
+        order = F.array_sort("distances")
+        lead = F.get(order, F.lit(0)) if count == 2 else F.get(order, F.lit(1)) - F.get(order, F.lit(0))
+        return rows.withColumn("reason", F.when(meet, "overlap").when((lead <= least) if count == 2 else (lead < least), "margin"))
+
+    done = in_rounds(base, ["scene_id"], drawn, judge, None, tries, each)
+    nearest = F.array_position("distances", F.array_min("distances")).cast("int")
+    answer = F.round(F.get("distances", F.lit(0)), 2).cast("string") if count == 2 else F.get(F.array(*[F.lit(chr(65 + k)) for k in range(count - 1)]), nearest - 1)
+    return Drawn(done.accepted.select("scene_id", F.transform("s", lambda x: x["b"]).alias("boxes"), "distances", answer.alias("answer"), "attempt"), done.census, done.open.select("scene_id", "reason"))
+
+
 # --- seeing
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from orrery.functions import boxes
 from orrery.operators import cells, placing
 from orrery.plans.base import POINTS, points, query
 
@@ -76,3 +77,20 @@ def sightline_scenes(spark, d):
     """A viewer, a target and what may stand between for each vector; drawn in rounds, so no SQL."""
     done = placing.sightlines(_scenes(points(spark, d)))
     return done.accepted.select("scene_id", "mode", "answer", F.round("fraction", 6).alias("fraction"), *[F.round(c, 6).alias(c) for c in ("d", "s", "along", "off")])
+
+
+@query("box_distances")
+def box_distances(spark, d):
+    """Exact distance of two oriented boxes of each vector: faces, edges and corners, tested against a minimisation."""
+    p = points(spark, d)
+    one = F.array(*[F.col(f"e{i}") * 3 for i in range(3)], *[F.abs(f"e{i}") + 0.2 for i in range(3, 6)], *[F.col(f"e{i}") * 4 for i in range(6, 9)])
+    two = F.array(*[F.col(f"e{9 + i}") * 3 for i in range(3)], *[F.abs(f"e{12 + i}") + 0.2 for i in range(3)], *[F.col(f"e{15 + i}") * 4 for i in range(3)])
+    return p.select("vec_id", F.round(boxes.box_distance()(one, two), 6).alias("distance"))
+
+
+@query("box_questions")
+def box_questions(spark, d):
+    """How far two boxes are apart, and which of four is nearest to a fifth, for each vector; drawn in rounds, so no SQL."""
+    scenes = _scenes(points(spark, d))
+    parts = [placing.box_sets(scenes, n).accepted.select("scene_id", F.lit(kind).alias("task"), "answer", F.transform("distances", lambda x: F.round(x, 6)).alias("distances")) for n, kind in ((2, "dist_box"), (5, "rel_dist_box"))]
+    return parts[0].unionByName(parts[1])
