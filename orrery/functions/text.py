@@ -101,6 +101,16 @@ def curriculum_score(prediction: Column, truth: Column) -> Column:
     return F.when(turns, turn_score(prediction, truth)).when(value.isNotNull(), numeric).otherwise(choice_match(prediction, truth))
 
 
+def curriculum_task_score(prediction: Column, truth: Column, kind: Column) -> Column:
+    """``curriculum_score``, but for kinds that ask for lists of boxes: their F1 at an overlap of 0.25."""
+    from orrery.functions import boxes
+
+    lists = F.contains(kind, F.lit("multi_box_grounding")) | F.contains(kind, F.lit("object_class_grounding"))
+    # an answer that is no list of boxes is the empty list
+    found = [F.when(F.coalesce(lists, F.lit(False)), F.coalesce(boxes.parsed_many(t), F.array().cast("array<array<double>>"))).otherwise(F.array().cast("array<array<double>>")) for t in (prediction, truth)]
+    return F.when(lists, boxes.greedy_f1(0.25)(*found)).otherwise(curriculum_score(prediction, truth))
+
+
 def cleaned(text: Column) -> Column:
     """Without ``<|...|>`` tokens other than those of boxes."""
     return F.regexp_replace(text, r"<\|(?!box_start\|>|box_end\|>)[^|]*\|>", "")

@@ -153,3 +153,74 @@ def cider(predictions: DataFrame, truths: DataFrame, key: str, text: str, top: i
     cosine = F.coalesce(F.col("dot") / F.nullif(F.sqrt(F.col("pp") * F.col("tt")), F.lit(0.0)), F.lit(0.0))
     scores = dots.groupBy(key).agg((F.sum(cosine) * 10 / top).alias("cider"))
     return predictions.select(key).distinct().join(scores, key, "left").select(key, F.coalesce("cider", F.lit(0.0)).alias("cider"))
+
+
+def stems():
+    """Arrow function: the stems of lists of words, each word of a worker's batches stemmed once; null stays null."""
+
+    @F.pandas_udf("array<string>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for words in batches:
+            known: dict[str, str] = {}
+            out = []
+            for row in words:
+                out.append(None if row is None else [known[w] if w in known else known.setdefault(w, stem(w)) for w in row])
+            yield pd.Series(out, dtype=object)
+
+    return run
+
+
+def rouge_best(rows: DataFrame, key: str, prediction: str, truths: str, n: int, stemmed: bool = True) -> DataFrame:
+    """(key, rouge<n>): the best F-measure of clipped n-gram overlap with any of several truths (a list), by stems.
+
+    ``key`` is unique. Null or empty predictions, lists and truths score 0.
+    """
+    words = (lambda c: stems()(tokens(c))) if stemmed else tokens
+    p = rows.select(key, words(F.col(prediction)).alias("__p"))
+    t = rows.select(key, F.posexplode(truths).alias("__ref", "__text")).select(key, "__ref", words(F.col("__text")).alias("__t"))
+    size = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)) - n + 1, F.lit(0))
+    mine = p.select(key, F.explode(grams(F.col("__p"), n)).alias("g")).groupBy(key, "g").agg(F.count("*").alias("np"))
+    theirs = t.select(key, "__ref", F.explode(grams(F.col("__t"), n)).alias("g")).groupBy(key, "__ref", "g").agg(F.count("*").alias("nt"))
+    hits = theirs.join(mine, [key, "g"]).groupBy(key, "__ref").agg(F.sum(F.least("np", "nt")).alias("hit"))
+    both = t.select(key, "__ref", size("__t").alias("t")).join(p.select(key, size("__p").alias("p")), key).join(hits, [key, "__ref"], "left")
+    best = both.groupBy(key).agg(F.max(2 * F.coalesce("hit", F.lit(0)) / F.nullif(F.col("p") + F.col("t"), F.lit(0))).alias("f"))
+    return rows.select(key).join(best, key, "left").select(key, F.coalesce("f", F.lit(0.0)).alias(f"rouge{n}"))
+
+
+#: Fixed value: the deviation of the penalty for unequal lengths, in words.
+SIGMA = 6.0
+
+
+def cider_d(predictions: DataFrame, truths: DataFrame, key: str, ref: str, text: str, top: int = 4) -> DataFrame:
+    """CIDEr-D (2015) of each prediction (key, unique, and text) against its truths (key, ref, text): (key, cider).
+
+    For each n up to ``top`` the clipped product of TF-IDF vectors over both norms, times exp(-(difference of lengths)^2
+    / 72), averaged over the truths, then over n, times 10. IDF is the log of the keys with truths over the keys whose
+    truths have the gram, 1 at least. Keys without a truth, and texts without words, score 0. The score of a corpus is
+    the mean of this column.
+    """
+
+    def exploded(rows: DataFrame, by: list[str]) -> DataFrame:
+        words = rows.select(*by, tokens(F.col(text)).alias("w"))
+        named = lambda n: F.transform(grams(F.col("w"), n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("g")))
+        every = F.flatten(F.array(*[named(n) for n in range(1, top + 1)]))
+        return words.select(*by, F.explode(every).alias("x")).groupBy(*by, "x.n", "x.g").agg(F.count("*").alias("f"))
+
+    mine, theirs = exploded(predictions, [key]), exploded(truths, [key, ref])
+    seen = theirs.groupBy(key, "n", "g").agg(F.lit(1).alias("one")).groupBy("n", "g").agg(F.count("*").alias("df"))
+    total = truths.where(F.col(key).isNotNull()).agg(F.log(F.greatest(F.countDistinct(key), F.lit(1)).cast("double")).alias("__log"))
+
+    def weighed(rows: DataFrame) -> DataFrame:
+        found = rows.join(seen, ["n", "g"], "left").crossJoin(total)  # one row
+        return found.withColumn("w", F.col("f") * (F.col("__log") - F.log(F.greatest(F.coalesce("df", F.lit(1)), F.lit(1)).cast("double"))))
+
+    p, t = weighed(mine).select(key, "n", "g", F.col("w").alias("wp")), weighed(theirs).select(key, ref, "n", "g", F.col("w").alias("wt"))
+    norm = lambda rows, w, *by: rows.groupBy(*by, "n").agg(F.sqrt(F.sum(F.col(w) ** 2)).alias(w))
+    dots = t.join(p, [key, "n", "g"]).groupBy(key, ref, "n").agg(F.sum(F.least("wp", "wt") * F.col("wt")).alias("dot"))
+    parts = dots.join(norm(t, "wt", key, ref), [key, ref, "n"]).join(norm(p, "wp", key), [key, "n"])
+    length = lambda rows, name, *by: rows.select(*by, F.size(tokens(F.col(text))).alias(name))
+    refs = length(truths, "lt", key, ref).join(length(predictions, "lp", key), key)
+    each = parts.groupBy(key, ref).agg(F.sum(F.coalesce(F.col("dot") / F.nullif(F.col("wp") * F.col("wt"), F.lit(0.0)), F.lit(0.0))).alias("s"))
+    scored = refs.join(each, [key, ref], "left").withColumn("s", F.coalesce("s", F.lit(0.0)) * F.exp(-((F.col("lp") - F.col("lt")) ** 2) / (2 * SIGMA**2)))
+    mean = scored.groupBy(key).agg((F.avg("s") * 10 / top).alias("cider"))
+    return predictions.select(key).join(mean, key, "left").select(key, F.coalesce("cider", F.lit(0.0)).alias("cider"))

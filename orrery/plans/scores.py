@@ -229,6 +229,63 @@ def cider(spark, d):
     return out.select("id", F.round("cider", 5).alias("cider"))
 
 
+def _best_sql(n):
+    """The best of two truths: the reply and the question before it; the candidate is the reply's first line."""
+    return f"""WITH t AS (SELECT a.conv_id * 1000 + a.turn AS id, {_GRAM.format("split_part(a.text, chr(10), 1)")} AS p, {_GRAM.format("u.text")} AS r1, {_GRAM.format("substr(a.text, length(split_part(a.text, chr(10), 1)) + 1)")} AS r2 FROM conversations a
+  JOIN conversations u ON u.conv_id = a.conv_id AND u.turn + 1 = a.turn AND u.role = 'user' WHERE a.role = 'assistant'),
+r AS (SELECT id, 1 AS ref, r1 AS w FROM t UNION ALL SELECT id, 2, r2 FROM t),
+gp AS (SELECT id, array_to_string(p[i:i + {n - 1}], ' ') AS g, count(*) AS n FROM (SELECT id, p, unnest(range(1, len(p) - {n} + 2)) AS i FROM t WHERE len(p) >= {n}) GROUP BY ALL),
+gr AS (SELECT id, ref, array_to_string(w[i:i + {n - 1}], ' ') AS g, count(*) AS n FROM (SELECT id, ref, w, unnest(range(1, len(w) - {n} + 2)) AS i FROM r WHERE len(w) >= {n}) GROUP BY ALL),
+h AS (SELECT id, ref, sum(least(gp.n, gr.n)) AS hit FROM gp JOIN gr USING (id, g) GROUP BY ALL)
+SELECT t.id, round(max(coalesce(2 * coalesce(hit, 0) / nullif(greatest(len(p) - {n - 1}, 0) + greatest(len(w) - {n - 1}, 0), 0), 0.0)), 6) AS rouge{n} FROM t JOIN r USING (id) LEFT JOIN h ON h.id = t.id AND h.ref = r.ref GROUP BY t.id"""
+
+
+def _several(spark, d):
+    """Each reply's first line with two truths: the question and the rest of the reply."""
+    line = F.get(F.split("text", "\n"), F.lit(0))
+    return _turns(spark, d).select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), line.alias("line"), F.array("asked", F.expr("substr(text, length(split(text, '\n')[0]) + 1)")).alias("truths"))
+
+
+@query("rouge1_best", _best_sql(1))
+def rouge1_best(spark, d):
+    """Unstemmed, as SQL has no stems; the operator stems where it is not told otherwise."""
+    out = ngrams.rouge_best(_several(spark, d), "id", "line", "truths", 1, stemmed=False)
+    return out.select("id", r6(F.col("rouge1"), "rouge1"))
+
+
+@query("rouge2_best", _best_sql(2))
+def rouge2_best(spark, d):
+    out = ngrams.rouge_best(_several(spark, d), "id", "line", "truths", 2, stemmed=False)
+    return out.select("id", r6(F.col("rouge2"), "rouge2"))
+
+
+@query("rouge_stemmed")
+def rouge_stemmed(spark, d):
+    """ROUGE-1 and ROUGE-2 by Porter's stems, the best of two truths; SQL has no stems."""
+    rows = _several(spark, d)
+    one, two = (ngrams.rouge_best(rows, "id", "line", "truths", n) for n in (1, 2))
+    return one.join(two, "id").select("id", r6(F.col("rouge1"), "rouge1"), r6(F.col("rouge2"), "rouge2"))
+
+
+@query("cider_d", f"""WITH t AS (SELECT a.conv_id * 1000 + a.turn AS id, {_GRAM.format('a.text')} AS r1, {_GRAM.format("split_part(a.text, chr(10), 1)")} AS r2, {_GRAM.format('u.text')} AS p FROM conversations a
+  JOIN conversations u ON u.conv_id = a.conv_id AND u.turn + 1 = a.turn AND u.role = 'user' WHERE a.role = 'assistant'),
+x AS (SELECT id, 0 AS ref, p AS w FROM t UNION ALL SELECT id, 1, r1 FROM t UNION ALL SELECT id, 2, r2 FROM t), k AS (SELECT unnest([1, 2, 3, 4]) AS n),
+f AS (SELECT id, ref, n, array_to_string(w[i:i + n - 1], ' ') AS g, count(*) AS f FROM (SELECT id, ref, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM x, k WHERE len(w) >= n) GROUP BY ALL),
+df AS (SELECT n, g, count(DISTINCT id) AS df FROM f WHERE ref > 0 GROUP BY ALL), z AS (SELECT ln(count(DISTINCT id)) AS logn FROM t),
+v AS (SELECT id, ref, n, g, f * (logn - ln(greatest(coalesce(df, 1), 1))) AS w FROM f LEFT JOIN df USING (n, g), z),
+m AS (SELECT id, ref, n, sqrt(sum(w * w)) AS m FROM v GROUP BY ALL),
+d AS (SELECT a.id, a.ref, a.n, sum(least(a.w, b.w) * a.w) AS dot FROM v a JOIN v b ON a.id = b.id AND a.n = b.n AND a.g = b.g AND b.ref = 0 WHERE a.ref > 0 GROUP BY ALL),
+s AS (SELECT d.id, d.ref, sum(coalesce(dot / nullif(a.m * b.m, 0), 0)) AS s FROM d JOIN m a ON a.id = d.id AND a.ref = d.ref AND a.n = d.n JOIN m b ON b.id = d.id AND b.ref = 0 AND b.n = d.n GROUP BY ALL),
+e AS (SELECT x.id, x.ref, coalesce(s, 0) * exp(-((len(x.w) - len(p.w)) ** 2) / 72.0) AS s FROM x JOIN x p ON p.id = x.id AND p.ref = 0 LEFT JOIN s ON s.id = x.id AND s.ref = x.ref WHERE x.ref > 0)
+SELECT id, round(avg(s) * 10 / 4, 5) AS cider FROM e GROUP BY id""")
+def cider_d(spark, d):
+    """Questions as candidates; replies and their first lines as two truths of each."""
+    t = _turns(spark, d).select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text", "asked")
+    line = F.get(F.split("text", "\n"), F.lit(0))
+    truths = t.select("id", F.posexplode(F.array("text", line)).alias("ref", "x"))
+    return ngrams.cider_d(t.select("id", F.col("asked").alias("x")), truths, "id", "ref", "x").select("id", F.round("cider", 5).alias("cider"))
+
+
 @query("greedy_f1")
 def greedy_f1(spark, d):
     """Boxes of one label as predictions for those of the next vectors; the matching has state, so SQL has none."""
