@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from orrery.functions import boxes
-from orrery.operators import cells, placing
+from orrery.operators import cells, floors, placing
 from orrery.plans.base import POINTS, points, query
 
 _U = "(('0x' || substr(md5({0} || '|' || {1} || '|' || {2} || '|{3}|8'), 1, 15))::BIGINT / 1152921504606846976.0 - 0.5)"
@@ -94,3 +94,17 @@ def box_questions(spark, d):
     scenes = _scenes(points(spark, d))
     parts = [placing.box_sets(scenes, n).accepted.select("scene_id", F.lit(kind).alias("task"), "answer", F.transform("distances", lambda x: F.round(x, 6)).alias("distances")) for n, kind in ((2, "dist_box"), (5, "rel_dist_box"))]
     return parts[0].unionByName(parts[1])
+
+
+def _sweep_sql(a, b):
+    return f"""SELECT label, sum(w * greatest(0, h{b} - greatest(l{b}, coalesce(before, l{b})))) AS area, sum(CASE WHEN before IS NULL OR l{b} > before THEN 2 * w ELSE 0 END) AS edges FROM (
+ SELECT r.label, nxt - edge AS w, l{b}, h{b}, max(h{b}) OVER (PARTITION BY r.label, edge ORDER BY l{b}, h{b} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+ FROM r JOIN (SELECT label, edge, lead(edge) OVER (PARTITION BY label ORDER BY edge) AS nxt FROM (SELECT label, l{a} AS edge FROM r UNION SELECT label, h{a} FROM r)) s ON s.label = r.label AND nxt IS NOT NULL AND l{a} <= edge AND h{a} >= nxt) GROUP BY label"""
+
+
+@query("floor_unions", f"""WITH {POINTS}, r AS (SELECT DISTINCT label, e0 AS lx, e1 AS lz, e0 + abs(e2) / 2 + 0.01 AS hx, e1 + abs(e3) / 2 + 0.01 AS hz FROM p), x AS ({_sweep_sql("x", "z")}), z AS ({_sweep_sql("z", "x")})
+SELECT label, round(x.area, 6) AS area, round(x.edges + z.edges, 6) AS outline FROM x JOIN z USING (label)""")
+def floor_unions(spark, d):
+    """Area and outline of a label's rectangles, what overlaps counted once."""
+    r = points(spark, d).select(F.col("label").alias("scene_id"), F.col("e0").alias("lx"), F.col("e1").alias("lz"), (F.col("e0") + F.abs("e2") / 2 + 0.01).alias("hx"), (F.col("e1") + F.abs("e3") / 2 + 0.01).alias("hz"))
+    return floors.unions(r).select(F.col("scene_id").alias("label"), F.round("area", 6).alias("area"), F.round("outline", 6).alias("outline"))
