@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from orrery.functions import boxes
-from orrery.operators import cells, floors, placing
-from orrery.plans.base import POINTS, points, query
+from orrery.operators import cells, floors, placing, routes
+from orrery.plans.base import POINTS, points, query, table
 
 _U = "(('0x' || substr(md5({0} || '|' || {1} || '|' || {2} || '|{3}|8'), 1, 15))::BIGINT / 1152921504606846976.0 - 0.5)"
 
@@ -108,3 +108,29 @@ def floor_unions(spark, d):
     """Area and outline of a label's rectangles, what overlaps counted once."""
     r = points(spark, d).select(F.col("label").alias("scene_id"), F.col("e0").alias("lx"), F.col("e1").alias("lz"), (F.col("e0") + F.abs("e2") / 2 + 0.01).alias("hx"), (F.col("e1") + F.abs("e3") / 2 + 0.01).alias("hz"))
     return floors.unions(r).select(F.col("scene_id").alias("label"), F.round("area", 6).alias("area"), F.round("outline", 6).alias("outline"))
+
+
+@query("action_turns", """WITH RECURSIVE a AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, event_type = 'view' AS face, value AS x, (event_id % 97)::DOUBLE AS z FROM events),
+w AS (SELECT user_id, event_id, k, x, z, NULL::DOUBLE AS hx, NULL::DOUBLE AS hz, NULL::VARCHAR AS turn, NOT face AS stands, face FROM a WHERE k = 1
+ UNION ALL SELECT a.user_id, a.event_id, a.k, CASE WHEN a.face THEN w.x ELSE a.x END, CASE WHEN a.face THEN w.z ELSE a.z END,
+  CASE WHEN w.stands THEN a.x - w.x ELSE NULL END, CASE WHEN w.stands THEN a.z - w.z ELSE NULL END,
+  CASE WHEN NOT w.stands OR w.hx IS NULL THEN NULL WHEN sqrt(w.hx ** 2 + w.hz ** 2) < 1e-3 OR sqrt((a.x - w.x) ** 2 + (a.z - w.z) ** 2) < 1e-3 THEN 'Turn Right'
+   WHEN (w.hx * (a.x - w.x) + w.hz * (a.z - w.z)) / (sqrt(w.hx ** 2 + w.hz ** 2) * sqrt((a.x - w.x) ** 2 + (a.z - w.z) ** 2)) < cos(radians(135)) THEN 'Turn Back'
+   WHEN w.hx * (a.z - w.z) - w.hz * (a.x - w.x) > 0 THEN 'Turn Left' ELSE 'Turn Right' END, w.stands OR NOT a.face, a.face FROM w JOIN a ON a.user_id = w.user_id AND a.k = w.k + 1)
+SELECT user_id, event_id, turn FROM w""")
+def action_turns(spark, d):
+    """Each user's events as a route: views look somewhere, all others go there."""
+    e = table(spark, d, "events")
+    a = e.select("user_id", "event_id", F.when(F.col("event_type") == "view", "face").otherwise("move").alias("kind"), F.col("value").alias("x"), (F.col("event_id") % 97).cast("double").alias("z"))
+    return routes.action_turns(a, ["user_id"], "event_id", 4096.0).select("user_id", "event_id", "turn")
+
+
+@query("drawn_routes")
+def drawn_routes(spark, d):
+    """Routes of one to three turns, plain, with a reface and over objects, for each vector; drawn in rounds, so no SQL."""
+    p = points(spark, d)
+    scenes = _scenes(p)
+    things = p.select(F.col("vec_id").cast("string").alias("scene_id"), F.posexplode(F.array(*[F.abs(f"e{i}") for i in range(6)])).alias("k", "radius")).select("scene_id", F.concat(F.lit("kind "), F.col("k")).alias("label"), "radius")
+    forms = [("plain", 2, False, None), ("reface", 2, True, None), ("objects", 1, True, things)]
+    parts = [routes.drawn_routes(scenes, n, face, o).accepted.select("scene_id", F.lit(name).alias("form"), F.array_join("turns", ", ").alias("turns"), F.transform("places", lambda x: F.struct(x["kind"], F.round(x["x"], 6), F.round(x["z"], 6), x["label"])).cast("string").alias("places")) for name, n, face, o in forms]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
