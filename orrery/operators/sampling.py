@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from orrery.operators.rounds import kept
+
 
 def draw(*key: Column, seed: int = 0) -> Column:
     """A number for a row that looks random: the first 15 hex digits of an MD5, as other engines can compute it."""
@@ -36,11 +38,45 @@ def hash_rank(rows: DataFrame, order: Column, key: str, out: str) -> DataFrame:
     return ranked.join(counts, "__c").select(*rows.columns, (F.col("__below") + F.col("__row")).alias(out))
 
 
+#: Bits of a draw that a pass of ``first_of_each`` counts by, and passes: rows of one cell of the last are ranked.
+CELL_BITS, PASSES = 12, 2
+
+
+def first_of_each(rows: DataFrame, kind: str, order: Column, key: str, quota: DataFrame, count: str) -> tuple[DataFrame, DataFrame]:
+    """The first rows of each kind by ``order`` (a ``draw``) and key, as many as ``quota`` (kind as __kind, ``count``) says, and
+    all other rows of the kinds in it.
+
+    Counts by the leading bits of the draw say in which cell a kind's cut lies, then those by the next bits within that
+    cell; rows before it are taken as they are and only the cell of the cut is ranked: no kind is sorted whole.
+    """
+    marked = rows.withColumn("__draw", order)
+    cell = lambda turn: F.shiftright(F.col("__draw"), 60 - CELL_BITS * (turn + 1))  # noqa: E731  all leading bits so far
+    cuts = quota.select("__kind", F.col(count).cast("bigint").alias("__left"), F.lit(0).cast("bigint").alias("__cut"))
+    for turn in range(PASSES):
+        inside = marked.join(cuts.select("__kind", "__cut"), F.col(kind).eqNullSafe(F.col("__kind")))
+        inside = inside.where(cell(turn - 1) == F.col("__cut")) if turn else inside
+        counts = inside.groupBy("__kind", cell(turn).alias("__cell")).agg(F.count("*").alias("__n"))
+        before = Window.partitionBy("__kind").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)  # 2^CELL_BITS rows at most
+        counts = counts.withColumn("__below", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+        counts = counts.select(F.col("__kind").alias("__k"), "__cell", "__n", "__below")
+        both = cuts.join(counts, F.col("__kind").eqNullSafe(F.col("__k")) & (F.col("__below") < F.col("__left")) & (F.col("__left") <= F.col("__below") + F.col("__n")), "left")
+        # a quota of none cuts before the first cell, one of more than there are behind the last
+        past = F.when(F.col("__left") > 0, F.lit(1 << 61)).otherwise(F.lit(-1).cast("bigint"))
+        cuts = both.select("__kind", F.coalesce("__cell", past).alias("__cut"), F.coalesce(F.col("__left") - F.col("__below"), F.col("__left")).alias("__left"))
+    final = cuts.select("__kind", "__cut", "__left")
+    joined = marked.join(final, F.col(kind).eqNullSafe(F.col("__kind")))
+    at = cell(PASSES - 1)
+    edge = joined.where(at == F.col("__cut")).withColumn("__rank", F.row_number().over(Window.partitionBy(kind).orderBy("__draw", key)))
+    first = joined.where(at < F.col("__cut")).select(*rows.columns).unionByName(edge.where("__rank <= __left").select(*rows.columns))
+    other = joined.where(at > F.col("__cut")).select(*rows.columns).unionByName(edge.where("__rank > __left").select(*rows.columns))
+    return first, other
+
+
 def stratified(rows: DataFrame, kind: str, key: str, n: int, seed: int = 0) -> DataFrame:
     """``n`` rows with equal shares of each kind; what a share lacks is filled from all other rows.
 
     The remainder of n over the kinds goes to the largest ones (equal sizes by name). The allocation is a table with
-    a row a kind, joined back; only rows that a share may take, or that may fill, are ranked.
+    a row a kind; where a kind's share ends is found by counts (``first_of_each``), and only rows near there are ranked.
     """
     order = draw(F.col(key), seed=seed)
     sizes = rows.groupBy(F.col(kind).alias("__kind")).agg(F.count("*").alias("__size"))
@@ -48,20 +84,17 @@ def stratified(rows: DataFrame, kind: str, key: str, n: int, seed: int = 0) -> D
     rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("__size").desc(), "__kind"))
     share = sizes.withColumns({"__k": F.count("*").over(every), "__rank": rank})
     share = share.withColumn("__alloc", F.floor(F.lit(n) / F.col("__k")) + F.when(F.col("__rank") <= F.lit(n) % F.col("__k"), 1).otherwise(0))
-    ranked = rows.withColumn("__place", F.row_number().over(Window.partitionBy(kind).orderBy(order, key)))
-    joined = ranked.join(share, F.col(kind).eqNullSafe(F.col("__kind")))
-    first = joined.where(F.col("__place") <= F.col("__alloc"))
+    share = kept(share.select("__kind", "__size", "__alloc"), "shares")
+    first, other = first_of_each(rows, kind, order, key, share, "__alloc")
     taken = share.agg(F.sum(F.least("__alloc", "__size")).alias("__taken"))
-    fill = joined.where(F.col("__place") > F.col("__alloc")).orderBy(draw(F.col(key), seed=seed + 1), key).limit(n)
+    fill = other.orderBy(draw(F.col(key), seed=seed + 1), key).limit(n)
     fill = fill.withColumn("__f", F.row_number().over(Window.orderBy(draw(F.col(key), seed=seed + 1), key)))
     fill = fill.crossJoin(taken).where(F.col("__f") <= F.lit(n) - F.col("__taken"))  # at most n rows and one row
-    return first.select(*rows.columns).unionByName(fill.select(*rows.columns))
+    return first.unionByName(fill.select(*rows.columns))
 
 
 def fraction(rows: DataFrame, key: str, rate: float, seed: int = 0) -> DataFrame:
-    """The greatest of 1 and the whole part of ``rate`` of the rows, in hash order; none of an empty table.
-
-    """
+    """The greatest of 1 and the whole part of ``rate`` of the rows, in hash order; none of an empty table."""
     want = rows.agg(F.greatest(F.lit(1), F.floor(F.count("*") * rate)).alias("__want"))  # one row
     ranked = hash_rank(rows, draw(F.col(key), seed=seed), key, "__rank")
     return ranked.crossJoin(want).where("__rank <= __want").select(*rows.columns)
