@@ -224,3 +224,25 @@ def sightlines(scenes: DataFrame, seed: int = 9, rays: int = 60, side: float = 0
     done = in_rounds(base, ["scene_id"], drawn, judge, None, tries, each)
     columns = ["scene_id", *[p + a for p in "pqo" for a in AXES], "d", "s", "along", "off", "mode", F.when(F.col("mode") == "blocked", "no").otherwise("yes").alias("answer"), "fraction", "attempt"]
     return Drawn(done.accepted.select(*columns), done.census, done.open.select("scene_id", "mode", "reason"))
+
+
+def class_grounding(objects: DataFrame, seen: DataFrame, most: int = 8, seed: int = 14) -> DataFrame:
+    """For each scene one class to find, and the boxes of all its instances as the answer, nearest first.
+
+    ``objects`` (scene_id, object_id, label, box: centre and sides), ``seen`` (scene_id, object_id: those in view, repeated
+    or not). A class can be asked for where every instance of it in the scene is in view and there are ``most`` at most: else
+    the answer would name what cannot be seen, or be a list without end. Of those a scene's class is the first by a hash;
+    scenes without one have no row. Gives (scene_id, label, n, boxes, answer: a JSON list that ``boxes.parsed_many`` reads).
+    Objects with a null, or a box that is not six finite numbers, are no instances.
+    """
+    sound = (F.size("box") == 6) & F.forall("box", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    o = objects.where("scene_id IS NOT NULL AND object_id IS NOT NULL AND label IS NOT NULL").where(sound).dropDuplicates(["scene_id", "object_id"])
+    marked = o.join(seen.select("scene_id", "object_id").distinct().withColumn("__in", F.lit(1)), ["scene_id", "object_id"], "left")
+    classes = marked.groupBy("scene_id", "label").agg(F.count("*").alias("n"), F.count("__in").alias("__seen")).where((F.col("n") == F.col("__seen")) & (F.col("n") <= most))
+    pick = classes.groupBy("scene_id").agg(F.min(F.struct(draw(F.col("scene_id"), F.col("label"), seed=seed).alias("at"), "label", "n")).alias("c"))
+    chosen = pick.select("scene_id", "c.label", "c.n")
+    far = sum((F.get("box", F.lit(i)) ** 2 for i in range(3)), F.lit(0.0))
+    lists = o.join(chosen, ["scene_id", "label"]).groupBy("scene_id", "label", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct(far.alias("d"), "object_id", "box"))), lambda x: x["box"]).alias("boxes"))  # most rows
+    rounded = F.transform("boxes", lambda b: F.transform(b, lambda v: F.round(v, 2)))
+    answer = F.concat(F.lit("["), F.array_join(F.transform(rounded, lambda b: F.concat(F.lit('{"bbox_3d": ['), F.array_join(F.transform(b, lambda v: v.cast("string")), ", "), F.lit("]}"))), ", "), F.lit("]"))
+    return lists.select("scene_id", "label", "n", "boxes", answer.alias("answer"))

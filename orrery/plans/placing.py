@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions import boxes
 from orrery.operators import cells, floors, placing, routes
+from orrery.operators.components import component_colours
 from orrery.plans.base import POINTS, points, query, table
 
 _U = "(('0x' || substr(md5({0} || '|' || {1} || '|' || {2} || '|{3}|8'), 1, 15))::BIGINT / 1152921504606846976.0 - 0.5)"
@@ -134,3 +135,24 @@ def drawn_routes(spark, d):
     forms = [("plain", 2, False, None), ("reface", 2, True, None), ("objects", 1, True, things)]
     parts = [routes.drawn_routes(scenes, n, face, o).accepted.select("scene_id", F.lit(name).alias("form"), F.array_join("turns", ", ").alias("turns"), F.transform("places", lambda x: F.struct(x["kind"], F.round(x["x"], 6), F.round(x["z"], 6), x["label"])).cast("string").alias("places")) for name, n, face, o in forms]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("feature_colours")
+def feature_colours(spark, d):
+    """Every vector's three first components as a colour; an eigen step, so no SQL, tested against numpy."""
+    out, _ = component_colours(table(spark, d, "embeddings").select("vec_id", "embedding"), "embedding")
+    return out.select("vec_id", *[F.round(c, 5).alias(c) for c in "rgb"])
+
+
+@query("class_grounding", f"""WITH {POINTS}, o AS (SELECT vec_id // 20 AS scene, vec_id AS id, label, e0, e1, e2, e0 > -0.15 AS seen FROM p),
+c AS (SELECT scene, label, count(*) AS n FROM o GROUP BY ALL HAVING bool_and(seen) AND count(*) <= 8),
+k AS (SELECT scene, label, n, row_number() OVER (PARTITION BY scene ORDER BY ('0x' || substr(md5(scene || '|' || label || '|14'), 1, 15))::BIGINT) AS k FROM c)
+SELECT scene, k.label, n, string_agg(id::VARCHAR, ',' ORDER BY e0 * e0 + e1 * e1 + e2 * e2, id) AS ids FROM k JOIN o USING (scene, label) WHERE k = 1 GROUP BY scene, k.label, n""")
+def class_grounding(spark, d):
+    """A class to find in each run of twenty vectors; the sides of a box carry its vector's number."""
+    p = points(spark, d)
+    side = lambda v: F.lit(v)
+    o = p.select(F.floor(F.col("vec_id") / 20).alias("scene_id"), F.col("vec_id").alias("object_id"), "label", F.array("e0", "e1", "e2", side(0.5), side(0.5), F.col("vec_id").cast("double")).alias("box"))
+    out = placing.class_grounding(o, p.where("e0 > -0.15").select(F.floor(F.col("vec_id") / 20).alias("scene_id"), F.col("vec_id").alias("object_id")))
+    ids = F.array_join(F.transform("boxes", lambda b: F.get(b, F.lit(5)).cast("bigint").cast("string")), ",")
+    return out.select(F.col("scene_id").alias("scene"), "label", "n", ids.alias("ids"))

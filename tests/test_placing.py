@@ -175,3 +175,23 @@ def test_long_segments_are_clipped_to_their_scene(spark):
     s = spark.createDataFrame([("a", -1e6, 0.0, 0.0, 1e6, 0.0, 0.0), ("a", -1e6, 5.0, 0.0, 1e6, 5.0, 0.0)], "scene_id string, x0 double, y0 double, z0 double, x1 double, y1 double, z1 double")
     o = spark.createDataFrame([("a", 3.0, -0.01, -0.01, 3.02, 0.01, 0.01), ("a", 9.0, 7.0, 7.0, 9.02, 7.01, 7.01)], BOX)
     assert [r.y0 for r in joins.unblocked(s, o, "scene_id", 0.01).collect()] == [5.0]
+
+
+def test_class_grounding_answers_score_full_marks(spark):
+    from pyspark.sql import functions as F
+
+    from orrery.functions import boxes
+
+    rng = np.random.default_rng(6)
+    rows = [(f"s{s}", k, f"c{rng.integers(0, 5)}", [float(v) for v in np.r_[rng.normal(0, 4, 3), rng.uniform(0.3, 2, 3)]]) for s in range(12) for k in range(15)]
+    rows += [("s0", 99, "c9", [1.0] * 5), ("s0", None, "c9", [1.0] * 6), ("unseen", 1, "c1", [1.0] * 6)]
+    o = spark.createDataFrame(rows, "scene_id string, object_id long, label string, box array<double>")
+    seen = o.where("object_id % 7 != 0 OR scene_id = 's3'").where("scene_id != 'unseen'").select("scene_id", "object_id")
+    out = placing.class_grounding(o, seen, most=6)
+    got = out.select("*", boxes.greedy_f1(0.25)(boxes.parsed_many(F.col("answer")), F.col("boxes")).alias("f1")).collect()
+    visible = {(r.scene_id, r.object_id) for r in seen.collect()}
+    assert len(got) > 8 and "unseen" not in {r.scene_id for r in got}
+    for r in got:
+        mine = [(k, b) for s, k, c, b in rows if s == r.scene_id and c == r.label and k is not None and len(b) == 6]
+        assert r.f1 == 1.0 and r.n == len(mine) == len(r.boxes) <= 6 and all((r.scene_id, k) in visible for k, _ in mine)
+        assert [sum(v * v for v in b[:3]) for b in r.boxes] == sorted(sum(v * v for v in b[:3]) for _, b in mine)
