@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from orrery.functions import boxes
-from orrery.operators import cells, floors, placing, routes
+from orrery.operators import cells, curriculum, floors, placing, routes, tasks
 from orrery.operators.components import component_colours
 from orrery.plans.base import POINTS, points, query, table
 
+BOX_TASKS = tasks.NAMES
+
 _U = "(('0x' || substr(md5({0} || '|' || {1} || '|' || {2} || '|{3}|8'), 1, 15))::BIGINT / 1152921504606846976.0 - 0.5)"
 
 
@@ -156,3 +158,10 @@ def class_grounding(spark, d):
     out = placing.class_grounding(o, p.where("e0 > -0.15").select(F.floor(F.col("vec_id") / 20).alias("scene_id"), F.col("vec_id").alias("object_id")))
     ids = F.array_join(F.transform("boxes", lambda b: F.get(b, F.lit(5)).cast("bigint").cast("string")), ",")
     return out.select(F.col("scene_id").alias("scene"), "label", "n", ids.alias("ids"))
+
+
+@query("box_tasks")
+def box_tasks(spark, d):
+    """The tasks over drawn boxes, routes and floors in scenes of twenty vectors each; drawn in rounds, so no SQL."""
+    o = points(spark, d).select(F.floor(F.col("vec_id") / 20).cast("string").alias("scene_id"), F.col("vec_id").alias("object_id"), "label", (F.col("e0") * 20).alias("x"), (F.col("e1") * 20).alias("z"))
+    return curriculum.dispatched(o, [n for n in sorted(curriculum.TASKS) if n in BOX_TASKS])

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from orrery.functions import boxes, geometry, relations
-from orrery.operators import canvas, curriculum, joins, reports, sampling
+from orrery.operators import canvas, curriculum, joins, reports, sampling, tasks
 from orrery.plans.base import POINTS, TIMED, points, query, r6, table, timed
 
 PI = repr(math.pi)
@@ -317,9 +317,9 @@ def placements(spark, d):
 
 @query("curriculum_tasks")
 def curriculum_tasks(spark, d):
-    """All registered tasks over objects of scenes; questions come from hash-ordered draws."""
+    """All tasks over objects of scenes (those over drawn boxes: ``box_tasks``); questions come from hash-ordered draws."""
     o = points(spark, d).select((F.col("vec_id") % 40).cast("string").alias("scene_id"), F.col("vec_id").alias("object_id"), "label", F.col("e0").alias("x"), F.col("e1").alias("z"))
-    return curriculum.dispatched(o, sorted(curriculum.TASKS))
+    return curriculum.dispatched(o, sorted(set(curriculum.TASKS) - set(tasks.NAMES)))
 
 
 @query("asof_nearest", f"""WITH {TIMED}, c AS (SELECT * FROM e WHERE event_type = 'click'), o AS (SELECT * FROM e WHERE event_type <> 'click'),
