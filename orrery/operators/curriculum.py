@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from orrery.functions import relations
+from orrery.operators.cells import finite
 from orrery.operators.sampling import draw, uniform
 
 
@@ -51,8 +52,9 @@ def placements(scenes: DataFrame, boxes: int, seed: int = 0, tries: int = 50, ga
     """Boxes in a scene (scene_id, lx, lz, hx, hz: the floor) whose bounding spheres keep ``gap`` apart.
 
     (scene_id, box, cx, cz, dx, dy, dz, placed): a box that finds no place in ``tries`` draws is not placed; what was
-    rejected can be counted from the result.
+    rejected can be counted from the result. A floor with a null or a number that is not finite has no boxes.
     """
+    sides = ("lx", "lz", "hx", "hz")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -73,7 +75,8 @@ def placements(scenes: DataFrame, boxes: int, seed: int = 0, tries: int = 50, ga
                     out.append((str(row.scene_id), k, float(at[0]), float(at[1]), *map(float, size), bool(free.any())))
             yield pd.DataFrame(out, columns=["scene_id", "box", "cx", "cz", "dx", "dy", "dz", "placed"])
 
-    return scenes.select("scene_id", "lx", "lz", "hx", "hz").mapInPandas(run, "scene_id string, box int, cx double, cz double, dx double, dy double, dz double, placed boolean")
+    sound = scenes.where(finite([F.col(c).cast("double") for c in sides]))
+    return sound.select("scene_id", *sides).mapInPandas(run, "scene_id string, box int, cx double, cz double, dx double, dy double, dz double, placed boolean")
 
 
 def colinear(anchors: DataFrame, count: int, low: float, high: float, seed: int = 2) -> DataFrame:
@@ -158,13 +161,17 @@ def route(points: DataFrame, key: Sequence[str], order: str) -> DataFrame:
 
 
 def turn_distractors(routes: DataFrame, count: int = 3, seed: int = 5) -> DataFrame:
-    """Other turn sequences of the same length, distinct and unlike the answer, as many as there are up to ``count``."""
+    """Other turn sequences of the same length, distinct and unlike the answer, as many as there are up to ``count``; null
+    for a null path."""
     kinds = np.array(["Turn Left", "Turn Right", "Turn Back"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for turns in pdf["turns"]:
+                if turns is None:
+                    out.append(None)
+                    continue
                 n = len(turns.split(", "))
                 rng = np.random.default_rng([seed, zlib.crc32(turns.encode())])
                 seen = {turns}

@@ -134,16 +134,19 @@ def bounds(points: DataFrame, by: Sequence[str], axes: Sequence[str]) -> DataFra
     return out.select(*by, *[F.bround((F.col(f"lo_{a}") + F.col(f"hi_{a}")) / 2, 2).alias(f"c_{a}") for a in axes], *[F.bround(F.col(f"hi_{a}") - F.col(f"lo_{a}"), 2).alias(f"d_{a}") for a in axes])
 
 
-def footprints(points: DataFrame, by: str, x: str, z: str, parts: int = 1024) -> DataFrame:
+def footprints(points: DataFrame, by: str, x: str, z: str, part: int = 10_000) -> DataFrame:
     """by, area of the convex hull of each group's points, null where they span none.
 
-    Each group is dealt over ``parts`` by a hash of its points; the corners of a part's hull go on to the group's.
+    Each group is dealt by a hash of its points into parts of about ``part``; the corners of a part's hull go on to the
+    group's.
     Points with a null or a number that is not finite count for nothing; a group of such points alone has a null area.
     """
     ok = F.forall(F.array(F.col(x).cast("double"), F.col(z).cast("double")), lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     corners = lambda g: g.agg(F.collect_list("__x").alias("xs"), F.collect_list("__z").alias("zs"))
     p = points.select(F.col(by), *[F.when(ok, F.col(c)).cast("double").alias(n) for c, n in ((x, "__x"), (z, "__z"))])
-    dealt = corners(p.groupBy(by, F.pmod(F.xxhash64("__x", "__z"), F.lit(parts)).alias("__part")))
+    sizes = p.groupBy(F.col(by).alias("__by")).agg(F.ceil(F.count("*") / part).alias("__parts"))
+    p = p.join(sizes, F.col(by).eqNullSafe(F.col("__by")))
+    dealt = corners(p.groupBy(by, F.pmod(F.xxhash64("__x", "__z"), F.col("__parts")).alias("__part")))
     hulls = dealt.select(by, F.explode_outer(boxes.hull_corners()(F.col("xs"), F.col("zs"))).alias("c"))
     whole = corners(hulls.select(by, F.col("c.x").alias("__x"), F.col("c.z").alias("__z")).groupBy(by))
     return whole.select(by, boxes.footprint_area()(F.col("xs"), F.col("zs")).alias("area"))

@@ -90,3 +90,13 @@ def test_footprints(spark):
     more = [("line", float(i), float(i)) for i in range(5)] + [("one", 1.0, 1.0)] * 4 + [("none", None, 1.0), ("none", float("nan"), 1.0)]
     rows = spark.createDataFrame(inner + corners + more, "g string, x double, z double")
     assert {a.g: a.area and round(a.area, 9) for a in reports.footprints(rows, "g", "x", "z", 7).collect()} == {"square": 6.0, "line": None, "one": None, "none": None}
+
+
+def test_null_paths_and_floors(spark):
+    from orrery.operators import curriculum
+
+    routes = spark.createDataFrame([(1, "Turn Left, Turn Back"), (2, None)], "k int, turns string")
+    got = {r.k: r.distractors for r in curriculum.turn_distractors(routes).collect()}
+    assert got[2] is None and len(got[1]) == 3 and "Turn Left, Turn Back" not in got[1]
+    floors = spark.createDataFrame([("a", 0.0, 0.0, 9.0, 9.0), ("b", None, 0.0, 1.0, 1.0), ("c", float("nan"), 0.0, 1.0, 1.0)], "scene_id string, lx double, lz double, hx double, hz double")
+    assert {r.scene_id for r in curriculum.placements(floors, 3).collect()} == {"a"}
