@@ -26,6 +26,8 @@ MARKS = {"system": ["System:", "SYSTEM:", "[system]", "### System:"], "user": ["
 BLOCK = 512
 #: Parts of the conversations: each is parsed by the model of the others, so that no line is parsed by its own counts.
 FOLDS = 2
+#: Lines that the marks' own meaning counts for, beside those that are counted.
+PRIOR = 8
 STATES = 2 * len(ROLES)  # role, and begins (even) or goes on (odd)
 FEATURES = ("mark", "after_blank", "question", "size")
 VALUES = {"mark": len(ROLES) + 1, "after_blank": 2, "question": 2, "size": 4}
@@ -109,6 +111,12 @@ def fit(lines: DataFrame) -> Model:
         else:
             move[r.previous, r.state] += r.n
     emit = {f: np.ones((STATES, VALUES[f])) for f in FEATURES}
+    # what is known before anything is counted: marks stand where their role begins, a role goes on or another begins
+    for i in range(len(ROLES)):
+        emit["mark"][2 * i, i + 1] += PRIOR
+        emit["mark"][2 * i + 1, 0] += PRIOR
+        move[2 * i : 2 * i + 2, 2 * i + 1] += PRIOR
+        move[[s for s in range(STATES) if s // 2 != i], 2 * i] += PRIOR / 2
     for r in known.groupBy("state", *FEATURES).agg(F.count("*").alias("n")).collect():
         for f in FEATURES:
             emit[f][r.state, r[f]] += r.n
@@ -210,7 +218,8 @@ def format_chats(turns: DataFrame) -> DataFrame:
 
     Rows without conv_id or turn belong to no transcript; a null or unknown role writes no mark; a null text is an
     empty line; rows of one turn follow one another whole, in the order of a hash, equal ones too; extra columns are
-    ignored; an empty table gives none. A conversation is parsed by a model that was counted on others.
+    ignored; an empty table gives none. A conversation is parsed by a model that was
+    counted on others; marks have a prior of PRIOR lines, which alone speaks where there are no others.
     """
     lines = written(_numbered(seen(transcripts(turns))), "transcripts")
     return rendered(parse(lines, [fit(lines.where(fold_of() != f)) for f in range(FOLDS)]))
