@@ -200,25 +200,40 @@ def contiguous_shards(rows: DataFrame, order: Sequence[str], world: int, cells:
 
 
 def farthest_points(points: DataFrame, by: Sequence[str], n: int) -> DataFrame:
-    """Greedy farthest-point sample of each group's (id, x, y, z): the first is farthest from the mean. Adds rank."""
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in points.select(*by).schema.fields)
+    """Greedy farthest-point sample of each group's (id, x, y, z): (by, id, rank), the first farthest from the mean.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id", ignore_index=True)
-        p = pdf[["x", "y", "z"]].to_numpy(float)
-        gap = ((p - p.mean(0)) ** 2).sum(1)
-        chosen: list[int] = []
-        for k in range(min(n, len(p))):
-            best = int(gap.argmax())
-            chosen.append(best)
-            own = ((p - p[best]) ** 2).sum(1)
-            gap = own if k == 0 else np.minimum(gap, own)
-            gap[chosen] = -1
-        out = pdf.iloc[chosen][[*by, "id"]].copy()
-        out["rank"] = np.arange(len(chosen))
-        return out
-
-    return points.groupBy(*by).applyInPandas(run, f"{fields}, id long, rank long")
+    A round finds the next point of all groups at once by a maximum that is made before anything moves, so no group meets
+    in one task; from round to round only the points chosen so far are carried, at most ``n`` a group. Of equally far
+    points the least id is taken. Null keys are a group; points with an id that is chosen are not chosen again; points
+    without an id or a finite place are left out; a group with fewer ids than ``n`` gives all of them.
+    """
+    keys, place = [f"__b{i}" for i in range(len(by))], ("x", "y", "z")
+    sound = F.col("id").isNotNull()
+    for c in place:
+        sound = sound & F.coalesce(F.abs(F.col(c).cast("double")) < float("inf"), F.lit(False))
+    own = [F.col(c).cast("double").alias(c) for c in place]
+    rows = points.where(sound).select(*[F.col(b).alias(k) for b, k in zip(by, keys, strict=True)], F.col("id").cast("long").alias("id"), *own)
+
+    def square(p: Column) -> Column:
+        return sum(((F.col(f"r.{c}") - p[c]) * (F.col(f"r.{c}") - p[c]) for c in place), F.lit(0.0))
+
+    middle = F.struct(F.lit(None).cast("long").alias("id"), *[F.avg(c).alias(c) for c in place])
+    chosen = kept(rows.groupBy(*keys).agg(F.array(middle).alias("chosen")), "farthest")
+    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"c.{k}")) for k in keys]
+    for turn in range(n):
+        near = F.array_min(F.transform("chosen", square))
+        new = ~F.coalesce(F.array_contains("chosen.id", F.col("r.id")), F.lit(False))
+        open_ = rows.alias("r").join(chosen.alias("c"), same).where(new)
+        # the least id has the greatest of what is left of all longs below it
+        far = F.struct(near.alias("gap"), (-1 - F.col("r.id")).alias("back"), *[F.col(f"r.{c}").alias(c) for c in place])
+        best = open_.groupBy(*[F.col(f"r.{k}").alias(k) for k in keys]).agg(F.max(far).alias("best"))
+        point = F.struct((-1 - F.col("best.back")).alias("id"), *[F.col(f"best.{c}").alias(c) for c in place])
+        so_far = F.slice("chosen", 2, n) if turn == 0 else F.col("chosen")
+        added = F.when(F.col("best").isNull(), so_far).otherwise(F.concat(so_far, F.array(point)))
+        joined = chosen.alias("r").join(best.alias("c"), same, "left")
+        chosen = kept(joined.select(*[F.col(f"r.{k}").alias(k) for k in keys], added.alias("chosen")), "farthest")
+    out = chosen.select(*[F.col(k).alias(b) for b, k in zip(by, keys, strict=True)], F.posexplode("chosen").alias("__rank", "__p"))
+    return out.select(*by, F.col("__p.id").alias("id"), F.col("__rank").cast("long").alias("rank"))
 
 
 def hypergeometric_split(counts: DataFrame, by: str, budget: int, seed: int = 0) -> DataFrame:

@@ -301,9 +301,22 @@ def similarity_fit(spark, d):
     return reports.similarity_fit(p, "label").select("label", "n", *[F.round(c, 4).alias(c) for c in ("scale", "yaw", "tx", "ty", "tz", "rmse")])
 
 
-@query("farthest_points")
+def _farthest_sql(n: int) -> str:
+    """Each choice is a table of its own: the point with the greatest least distance to all that were chosen before."""
+    square = lambda a, b: " + ".join(f"({a}.e{i} - {b}.e{i}) * ({a}.e{i} - {b}.e{i})" for i in range(3))
+    parts = [POINTS, "q AS (SELECT label, vec_id, e0, e1, e2 FROM p WHERE e0 + e1 + e2 IS NOT NULL)", "g AS (SELECT label, avg(e0) AS e0, avg(e1) AS e1, avg(e2) AS e2 FROM q GROUP BY label)"]
+    first = f"SELECT q.*, 0 AS rank FROM q JOIN g USING (label) QUALIFY row_number() OVER (PARTITION BY label ORDER BY {square('q', 'g')} DESC, vec_id) = 1"
+    parts.append(f"s0 AS ({first})")
+    for k in range(1, n):
+        gaps = f"SELECT q.label, q.vec_id, q.e0, q.e1, q.e2, min({square('q', 's')}) AS gap, bool_or(q.vec_id = s.vec_id) AS used FROM q JOIN s{k - 1} s USING (label) GROUP BY ALL"
+        best = f"SELECT label, vec_id, e0, e1, e2, {k} AS rank FROM ({gaps}) WHERE NOT used QUALIFY row_number() OVER (PARTITION BY label ORDER BY gap DESC, vec_id) = 1"
+        parts.append(f"s{k} AS (SELECT * FROM s{k - 1} UNION ALL {best})")
+    return f"WITH {', '.join(parts)} SELECT label, vec_id AS id, rank FROM s{n - 1}"
+
+
+@query("farthest_points", _farthest_sql(5))
 def farthest_points(spark, d):
-    """Five far-apart points of each label: each choice needs the last, so no SQL."""
+    """Five far-apart points of each label."""
     p = points(spark, d).select("label", F.col("vec_id").alias("id"), *[F.col(f"e{i}").alias(a) for i, a in enumerate("xyz")])
     return sampling.farthest_points(p, ["label"], 5)
 

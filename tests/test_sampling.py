@@ -1,6 +1,7 @@
 """Stratified samples against a sort of every kind."""
 
 import hashlib
+import random
 from collections import defaultdict
 
 import pytest
@@ -40,3 +41,37 @@ def test_only_the_cell_of_the_cut_is_ranked(spark):
     assert (first.count(), other.count()) == (9_000, 11_000)
     top, low = first.agg(F.max(sampling.draw(F.col("key")))).first()[0], other.agg(F.min(sampling.draw(F.col("key")))).first()[0]
     assert top < low
+
+
+def farthest(points, n):
+    """Row by row, for one group of {id: place}."""
+    mean = [sum(p[i] for p in points.values()) / len(points) for i in range(3)]
+    square = lambda a, b: sum((u - v) * (u - v) for u, v in zip(a, b))
+    chosen = []
+    while len(chosen) < min(n, len(points)):
+        gap = {k: min(square(p, points[c]) for c in chosen) if chosen else square(p, mean) for k, p in points.items() if k not in chosen}
+        chosen.append(min(gap, key=lambda k: (-gap[k], k)))
+    return chosen
+
+
+@pytest.mark.parametrize("n", [1, 4, 40])
+def test_farthest_points(spark, n):
+    rng = random.Random(5)
+    groups = {g: {i: [float(rng.randint(-4, 4)) for _ in range(3)] for i in range(m)} for g, m in (("hot", 60), ("few", 3), ("one", 1), (None, 7))}
+    rows = [(g, i, *p, "x") for g, ps in groups.items() for i, p in ps.items()]
+    rows += rows[:10]  # repeated rows are one point
+    rows += [("hot", None, 1.0, 1.0, 1.0, "x"), ("hot", 900, None, 1.0, 1.0, "x"), ("hot", 901, float("nan"), 0.0, 0.0, "x"), ("bad", 1, float("inf"), 0.0, 0.0, "x")]
+    df = spark.createDataFrame(rows, "g string, id long, x double, y double, z double, gap string").repartition(3)
+    whole = {g: {i: p for i, p in ps.items()} for g, ps in groups.items()}
+    got = {}
+    for r in sampling.farthest_points(df, ["g"], n).orderBy("rank").collect():
+        got.setdefault(r.g, []).append(r.id)
+    assert set(got) == set(groups)
+    for g in ("few", "one", None):
+        assert got[g] == farthest(whole[g], n)
+    assert len(got["hot"]) == min(n, 60) == len(set(got["hot"]))
+
+
+def test_farthest_points_of_nothing(spark):
+    df = spark.createDataFrame([], "g string, id long, x double, y double, z double")
+    assert sampling.farthest_points(df, ["g"], 3).count() == 0
