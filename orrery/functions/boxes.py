@@ -55,7 +55,7 @@ def parsed_many(text: Column) -> Column:
 
 def formatted(box: Column, digits: int = 2) -> Column:
     """``(a, b, …)`` with fixed decimals, half up as the JVM formats."""
-    parts = F.transform(box, lambda v: F.format_number(v, f"0.{'0' * digits}"))
+    parts = F.transform(box, lambda v: F.format_string(f"%.{digits}f", v.cast("double")))
     return F.concat(F.lit("("), F.array_join(parts, ", "), F.lit(")"))
 
 

@@ -34,6 +34,11 @@ def pooled(results: DataFrame, family: str, score: str) -> DataFrame:
     return results.groupBy(family).agg(F.avg(score).alias("mean"), F.count("*").alias("n"))
 
 
+def displayed_overall(results: DataFrame, family: str, score: str, digits: int) -> DataFrame:
+    """Mean of the families' pooled means, each as it is displayed, with ``digits`` decimals."""
+    return pooled(results, family, score).agg(F.avg(F.round("mean", digits)).alias("official_overall"))
+
+
 def micro(results: DataFrame, score: str) -> DataFrame:
     return results.agg(F.avg(score).alias("all_questions_average"), F.count("*").alias("n"))
 

@@ -145,6 +145,12 @@ def hash_limit(rows: DataFrame, key: str, n: int, seed: int = 7) -> DataFrame:
     return rows.orderBy(draw(F.col(key), seed=seed), key).limit(n)
 
 
+def sliced(rows: DataFrame, order: Sequence[str], offset: int = 0, limit: int | None = None) -> DataFrame:
+    """Rows ``offset`` to ``offset + limit`` in the order of ``order``, to the end without a limit."""
+    rest = rows.orderBy(*order).offset(offset)
+    return rest if limit is None else rest.limit(limit)
+
+
 def linspace_rows(rows: DataFrame, by: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
     """At most ``n`` rows a group, spread evenly with both ends: those at int(i * (T - 1) / (n - 1))."""
     w = Window.partitionBy(*by)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from orrery.plans import base, cameras, placing, relational, scores, spatial  # noqa: F401  they register their queries
+from orrery.plans import asked, base, cameras, placing, relational, scores, spatial  # noqa: F401  they register their queries
 
 
 def queries() -> dict[str, base.Query]:

@@ -10,6 +10,7 @@ from orrery.plans.base import POINTS, TIMED, points, query, r6, table, timed
 from orrery.streaming import snapshots
 
 _DRAW = "('0x' || substr(md5(concat_ws('|', {0}, '{1}')), 1, 15))::BIGINT"
+_UNIFORM = "(" + _DRAW + " / 1152921504606846976.0::DOUBLE)"
 
 
 @query("left_lookup_last_wins", """WITH p AS (SELECT user_id, arg_max(value, event_id) AS value, max(event_id) AS event_id FROM events WHERE event_type = 'purchase' GROUP BY user_id)
@@ -135,14 +136,22 @@ def mixture(spark, d):
     return m.select("lang", "n", F.round("weight", 9).alias("weight"))
 
 
-@query("weighted_draws")
+@query("weighted_draws", f"""WITH r AS (SELECT doc_id, n_chars::DOUBLE AS w, {_DRAW.format('doc_id', 0)} % 256 AS b FROM documents WHERE n_chars > 0),
+i AS (SELECT *, sum(w) OVER (PARTITION BY b ORDER BY doc_id) AS hi FROM r), per AS (SELECT b, sum(w) AS bw FROM r GROUP BY b),
+c AS (SELECT b, bw, sum(bw) OVER (ORDER BY b) AS bhi, sum(bw) OVER () AS total FROM per), dr AS (SELECT range AS draw, {_UNIFORM.format('range', 1)} AS u FROM range(1000)),
+k AS (SELECT draw, b, u * total - bhi + bw AS x FROM dr JOIN c ON bhi > u * total QUALIFY row_number() OVER (PARTITION BY draw ORDER BY bhi) = 1)
+SELECT draw, doc_id FROM k JOIN i USING (b) WHERE x >= hi - w AND x < hi""")
 def weighted_draws(spark, d):
-    """A thousand draws with replacement by document length; where a draw falls depends on sums in a set order, so no SQL."""
+    """A thousand draws with replacement by document length; lengths are whole, so sums are the same in every order."""
     docs = table(spark, d, "documents").select("doc_id", F.col("n_chars").cast("double").alias("w"))
     return sampling.weighted_draws(docs, "doc_id", "w", 1000)
 
 
-@query("grouped_draws")
+@query("grouped_draws", f"""WITH d AS (SELECT range AS draw, CASE WHEN {_UNIFORM.format('range', 0)} < 0.5 THEN 'en' WHEN {_UNIFORM.format('range', 0)} < 0.8 THEN 'fr' ELSE 'de' END AS "group" FROM range(500)),
+s AS (SELECT lang AS "group", source AS scene, row_number() OVER (PARTITION BY lang ORDER BY source) - 1 AS s, count(*) OVER (PARTITION BY lang) AS ns FROM (SELECT DISTINCT lang, source FROM documents)),
+w AS (SELECT draw, d."group", scene FROM d JOIN s ON s."group" = d."group" AND s.s = floor({_UNIFORM.format('draw', 1)} * s.ns)),
+i AS (SELECT lang, source, doc_id, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY lang, source) AS ni FROM documents)
+SELECT draw, "group", scene, doc_id AS item FROM w JOIN i ON i.lang = w."group" AND i.source = w.scene AND i.i = floor({_UNIFORM.format('draw', 2)} * i.ni)""")
 def grouped_draws(spark, d):
     """Draws of language, then source, then document."""
     items = table(spark, d, "documents").select(F.col("lang").alias("group"), F.col("source").alias("scene"), F.col("doc_id").alias("item"))

@@ -121,3 +121,11 @@ def test_relations(spark, t, easy, hard, hour):
     assert value(spark, relations.label(*h, "hard")) == hard
     dot, cross, _ = relations.dot_cross(*h)
     assert value(spark, relations.hour(dot, cross)) == hour
+
+
+def test_box_text_is_read_again(spark):
+    rows = [([1234.567, -0.004, 2.5, 0.125, 1e-9, 7.0],), ([0.0] * 6,), (None,)]
+    df = spark.createDataFrame(rows, "box array<double>")
+    got = df.select(boxes.formatted(F.col("box")).alias("t")).select("t", boxes.parsed(F.col("t")).alias("b")).collect()
+    assert got[0].t == "(1234.57, -0.00, 2.50, 0.13, 0.00, 7.00)" and got[0].b == [1234.57, -0.0, 2.5, 0.13, 0.0, 7.0]
+    assert got[1].b == [0.0] * 6 and got[2].t is None
