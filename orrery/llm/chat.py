@@ -4,7 +4,8 @@ A state is a role and whether the line begins a turn. A line is seen as a marker
 with, if any) and a few line features, taken as independent given the state. The probabilities are counted, with
 smoothing, over lines whose roles are known. Transcripts may be long: they are cut into blocks, each block gives the
 best score from every state before it to every state at its end, and these are joined along the transcript before the
-blocks are traced back, so that no task needs a whole transcript and the path is that of plain Viterbi.
+blocks are traced back, so that no task needs a whole transcript and the path is that of plain Viterbi. Lines and
+turns are numbered, and blocks joined, by spans of a transcript, with one row a span where a transcript's spans meet.
 """
 
 from __future__ import annotations
@@ -18,12 +19,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from orrery.llm.common import written
+from orrery.llm.words import mixed
 
 ROLES = ["system", "user", "assistant"]
 #: Speaker marks by role, in the ways that transcripts write them.
 MARKS = {"system": ["System:", "SYSTEM:", "[system]", "### System:"], "user": ["User:", "Human:", "Q:", "[user]", "### User:"], "assistant": ["Assistant:", "AI:", "A:", "[assistant]", "### Assistant:"]}
-#: Lines of a block.
-BLOCK = 512
+#: Lines of a block, and blocks of a span.
+BLOCK, SPAN = 512, 1024
+#: Steps of a logarithm: scores are whole numbers, whose sums do not depend on how lines are put together.
+UNIT = 1 << 40
+#: Least steps that a line and a state set at random, so that of paths equally likely always the same is found.
+TIE_BITS = 10
+#: Lines after which scores are made small again: whole numbers of this size are exact.
+EXACT = 16
 #: Parts of the conversations: each is parsed by the model of the others, so that no line is parsed by its own counts.
 FOLDS = 2
 #: Lines that the marks' own meaning counts for, beside those that are counted.
@@ -76,22 +84,37 @@ def seen(lines: DataFrame) -> DataFrame:
 
 @dataclass
 class Model:
-    """Log probabilities: start by state, move from state to state, and one table a feature."""
+    """Log probabilities in steps: start by state, move from state to state, and one table a feature."""
 
     start: np.ndarray
     move: np.ndarray
     emit: dict[str, np.ndarray]
 
     def scores(self, columns: dict[str, np.ndarray]) -> np.ndarray:
-        return sum(self.emit[f][:, columns[f]].T for f in FEATURES)
+        """By line and state; with the lines' numbers ties are broken."""
+        out = sum(self.emit[f][:, columns[f]].T for f in FEATURES)
+        if "line" in columns:
+            place = columns["line"].astype(np.uint64)[:, None] * np.uint64(STATES) + np.arange(STATES, dtype=np.uint64)
+            out = out + (mixed(place) >> np.uint64(64 - TIE_BITS)).astype(float)
+        return out
 
 
 def _numbered(lines: DataFrame) -> DataFrame:
-    """Adds line (from 0) and after_blank; a turn's lines are one task's at most, transcripts are not."""
+    """Adds line (from 0) and after_blank; a turn's lines are one task's at most, transcripts are not.
+
+    Turns are sorted over the cluster into even chunks; a chunk numbers its own lines, and where its transcript begins
+    before it, the chunks before (a row each) give what to start from.
+    """
     ends = lines.groupBy("conv_id", "turn", "part").agg(F.count("*").alias("n"), F.max_by("blank", "k").alias("last_blank"))
-    w = Window.partitionBy("conv_id").orderBy("turn", "part").rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy("conv_id").orderBy("turn", "part")
-    ends = ends.select("conv_id", "turn", "part", (F.sum("n").over(w) - F.col("n")).alias("base"), F.coalesce(F.lag("last_blank").over(before), F.lit(False)).alias("carried"))
+    ends = written(ends.repartitionByRange("conv_id", "turn", "part").withColumn("chunk", F.spark_partition_id()), "ends")
+    chunks = ends.groupBy("conv_id", "chunk").agg(F.sum("n").alias("n"), F.max_by("last_blank", F.struct("turn", "part")).alias("last_blank"))
+    over = Window.partitionBy("conv_id").orderBy("chunk")
+    earlier = over.rowsBetween(Window.unboundedPreceding, -1)
+    chunks = chunks.select("conv_id", "chunk", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"), F.lag("last_blank").over(over).alias("start_blank"))
+    w = Window.partitionBy("conv_id", "chunk").orderBy("turn", "part")
+    own = F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    ends = ends.withColumns({"own": own, "own_blank": F.lag("last_blank").over(w)}).join(chunks, ["conv_id", "chunk"])
+    ends = ends.select("conv_id", "turn", "part", (F.col("start") + F.col("own")).alias("base"), F.coalesce("own_blank", "start_blank", F.lit(False)).alias("carried"))
     inside = Window.partitionBy("conv_id", "turn", "part").orderBy("k")
     placed = lines.withColumn("after", F.lag("blank").over(inside)).withColumn("row", F.row_number().over(inside) - 1)
     placed = placed.join(ends, ["conv_id", "turn", "part"])
@@ -120,19 +143,22 @@ def fit(lines: DataFrame) -> Model:
     for r in known.groupBy("state", *FEATURES).agg(F.count("*").alias("n")).collect():
         for f in FEATURES:
             emit[f][r.state, r[f]] += r.n
-    return Model(np.log(start / start.sum()), np.log(move / move.sum(1, keepdims=True)), {f: np.log(e / e.sum(1, keepdims=True)) for f, e in emit.items()})
+    steps = lambda n: np.rint(np.log(n / n.sum(-1, keepdims=True)) * UNIT)
+    return Model(steps(start), steps(move), {f: steps(e) for f, e in emit.items()})
 
 
 def _columns(rows: pa.Table) -> dict[str, np.ndarray]:
-    return {f: rows.column(f).to_numpy() for f in FEATURES}
+    return {f: rows.column(f).to_numpy() for f in (*FEATURES, "line")}
 
 
 def _summary(model: Model, rows: pa.Table) -> np.ndarray:
     """Best score from each state before a block to each state at its end."""
     best = np.where(np.eye(STATES) > 0, 0.0, -np.inf)
-    for s in model.scores(_columns(rows)):
+    for t, s in enumerate(model.scores(_columns(rows))):
         best = (best[:, :, None] + model.move[None]).max(axis=1) + s
-    return best
+        if t % EXACT == 0:
+            best -= best.max()
+    return best - best.max()
 
 
 def _trace(model: Model, rows: pa.Table, entry: np.ndarray, last: int) -> list[int]:
@@ -142,6 +168,8 @@ def _trace(model: Model, rows: pa.Table, entry: np.ndarray, last: int) -> list[i
         step = score[:, None] + (model.move if t or rows.column("block")[0].as_py() else np.where(np.eye(STATES) > 0, model.start[None], -np.inf))
         back.append(step.argmax(axis=0))
         score = step.max(axis=0) + s
+        if t % EXACT == 0:
+            score -= score.max()
     path = [last]
     for b in reversed(back[1:]):
         path.append(int(b[path[-1]]))
@@ -153,13 +181,13 @@ def fold_of(conv_id: str = "conv_id") -> Column:
 
 
 def parse(lines: DataFrame, models: Model | list[Model]) -> DataFrame:
-    """(conv_id, line, text, role, begins) by Viterbi, for numbered lines with features.
+    """(conv_id, line, text, role, begins) by Viterbi, for numbered lines with features, which should be a table.
 
     With several models a conversation is parsed by that of its fold.
     """
     models = models if isinstance(models, list) else [models]
     fold = fold_of() if len(models) == FOLDS else F.lit(0)
-    blocks = written(lines.select("conv_id", "line", "text", *FEATURES, (F.col("line") / BLOCK).cast("long").alias("block"), fold.alias("fold")), "lines")
+    blocks = lines.select("conv_id", "line", "text", *FEATURES, F.floor(F.col("line") / BLOCK).alias("block"), fold.alias("fold"))
 
     def summary(rows: pa.Table) -> pa.Table:
         rows, model = rows.sort_by("line"), models[rows.column("fold")[0].as_py()]
@@ -169,20 +197,43 @@ def parse(lines: DataFrame, models: Model | list[Model]) -> DataFrame:
             first = np.where(np.eye(STATES) > 0, model.start + emitted, -np.inf)
             rest = _summary(model, rows.slice(1))
             best = (first[:, :, None] + rest[None]).max(axis=1)
+            best -= best.max()
         else:
             best = _summary(model, rows)
         return pa.table({"conv_id": rows.column("conv_id").slice(0, 1), "block": pa.array([block]), "best": pa.array([best.ravel().tolist()])})
 
-    def joined(rows: pa.Table) -> pa.Table:
+    def matrices(rows: pa.Table) -> list[np.ndarray]:
+        return [np.array(b).reshape(STATES, STATES) for b in rows.column("best").to_pylist()]
+
+    def product(rows: pa.Table) -> pa.Table:
+        """Of a span what a block has: the best score from each state before it to each at its end."""
         rows = rows.sort_by("block")
-        best = [np.array(b).reshape(STATES, STATES) for b in rows.column("best").to_pylist()]
-        entries = [np.zeros(STATES)]
+        first, *rest = matrices(rows)
+        for b in rest:
+            first = (first[:, :, None] + b[None]).max(axis=1)
+            first -= first.max()
+        return pa.table({"conv_id": rows.column("conv_id").slice(0, 1), "span": rows.column("span").slice(0, 1), "best": pa.array([first.ravel().tolist()])})
+
+    def joined(rows: pa.Table, order: str, entry: np.ndarray, last: int | None) -> tuple[pa.Table, list[np.ndarray], list[int]]:
+        """Scores of the states before each row and the state at its end, rows in order; without ``last`` the best one."""
+        rows = rows.sort_by(order)
+        best, entries = matrices(rows), [entry]
         for b in best:
             entries.append((entries[-1][:, None] + b).max(axis=0))
-        last = [int(entries[-1].argmax())]
+            entries[-1] -= entries[-1].max()
+        ends = [int(entries[-1].argmax()) if last is None else last]
         for e, b in zip(reversed(entries[1:-1]), reversed(best[1:]), strict=True):
-            last.append(int((e + b[:, last[-1]]).argmax()))
-        return pa.table({"conv_id": rows.column("conv_id"), "block": rows.column("block"), "entry": pa.array([e.tolist() for e in entries[:-1]]), "last": pa.array(last[::-1], pa.int32())})
+            ends.append(int((e + b[:, ends[-1]]).argmax()))
+        return rows, entries[:-1], ends[::-1]
+
+    def over_spans(rows: pa.Table) -> pa.Table:
+        rows, entries, ends = joined(rows, "span", np.zeros(STATES), None)
+        ends[-1] = None  # the last span finds its end itself
+        return pa.table({"conv_id": rows.column("conv_id"), "span": rows.column("span"), "before": pa.array([e.tolist() for e in entries]), "end": pa.array(ends, pa.int32())})
+
+    def over_blocks(rows: pa.Table) -> pa.Table:
+        rows, entries, ends = joined(rows, "block", np.array(rows.column("before")[0].as_py()), rows.column("end")[0].as_py())
+        return pa.table({"conv_id": rows.column("conv_id"), "block": rows.column("block"), "entry": pa.array([e.tolist() for e in entries]), "last": pa.array(ends, pa.int32())})
 
     def trace(rows: pa.Table) -> pa.Table:
         rows, model = rows.sort_by("line"), models[rows.column("fold")[0].as_py()]
@@ -190,7 +241,10 @@ def parse(lines: DataFrame, models: Model | list[Model]) -> DataFrame:
         return pa.table({"conv_id": rows.column("conv_id"), "line": rows.column("line"), "text": rows.column("text"), "role": [ROLES[s // 2] for s in states], "begins": [s % 2 == 0 for s in states]})
 
     sums = blocks.groupBy("conv_id", "block").applyInArrow(summary, "conv_id long, block long, best array<double>")
-    ends = sums.groupBy("conv_id").applyInArrow(joined, "conv_id long, block long, entry array<double>, last int")
+    sums = written(sums.withColumn("span", F.floor(F.col("block") / SPAN)), "blocks")
+    spans = sums.groupBy("conv_id", "span").applyInArrow(product, "conv_id long, span long, best array<double>")
+    spans = spans.groupBy("conv_id").applyInArrow(over_spans, "conv_id long, span long, before array<double>, end int")
+    ends = sums.join(spans, ["conv_id", "span"]).groupBy("conv_id", "span").applyInArrow(over_blocks, "conv_id long, block long, entry array<double>, last int")
     return blocks.join(ends, ["conv_id", "block"]).groupBy("conv_id", "block").applyInArrow(trace, "conv_id long, line long, text string, role string, begins boolean")
 
 
@@ -202,11 +256,35 @@ def _unmarked(text: Column) -> Column:
     return out
 
 
+def _turns(parsed: DataFrame) -> DataFrame:
+    """Adds turn (from 0): a line that begins one, or has another role than the line before, starts the next.
+
+    Blocks count their own starts; a block's first line meets the last one of the block before; the starts of the blocks
+    before are summed by spans, and those of spans by transcripts.
+    """
+    lines = written(parsed.withColumn("block", F.floor(F.col("line") / BLOCK)), "parsed")
+    up = Window.partitionBy("conv_id", "block").orderBy("line")
+    lines = lines.withColumn("starts", F.col("begins") | (F.col("role") != F.lag("role").over(up)))
+    first = F.min(F.struct("line", "begins", "role"))
+    inner = F.sum(F.when(F.col("line") % BLOCK > 0, F.col("starts").cast("long")).otherwise(0))
+    blocks = written(lines.groupBy("conv_id", "block").agg(first.alias("first"), F.max(F.struct("line", "role")).alias("last"), inner.alias("inner")), "starts")
+    before = blocks.select("conv_id", (F.col("block") + 1).alias("block"), F.col("last.role").alias("previous"))
+    starts = F.col("first.begins") | F.col("previous").isNull() | (F.col("first.role") != F.col("previous"))
+    blocks = blocks.join(before, ["conv_id", "block"], "left").select("conv_id", "block", "inner", starts.cast("long").alias("own"), F.floor(F.col("block") / SPAN).alias("span"))
+    n = F.col("own") + F.col("inner")
+    below = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    spans = blocks.groupBy("conv_id", "span").agg(F.sum(n).alias("n"))
+    spans = spans.select("conv_id", "span", F.coalesce(F.sum("n").over(below("conv_id").orderBy("span")), F.lit(0)).alias("so_far"))
+    inside = F.coalesce(F.sum(n).over(below("conv_id", "span").orderBy("block")), F.lit(0))
+    blocks = blocks.withColumn("inside", inside).join(spans, ["conv_id", "span"]).select("conv_id", "block", "own", (F.col("inside") + F.col("so_far")).alias("base"))
+    numbered = lines.join(blocks, ["conv_id", "block"])
+    starts = F.when(F.col("line") % BLOCK == 0, F.col("own")).otherwise(F.col("starts").cast("long"))
+    return numbered.withColumn("turn", F.col("base") + F.sum(starts).over(up.rowsBetween(Window.unboundedPreceding, 0)) - 1).drop("block", "starts", "own", "base")
+
+
 def rendered(parsed: DataFrame) -> DataFrame:
     """(conv_id, turn, role, text, canonical) from parsed lines: turns numbered from 0, marks cut, text trimmed."""
-    w = Window.partitionBy("conv_id").orderBy("line")
-    change = F.col("begins") | (F.col("role") != F.lag("role").over(w))
-    turns = parsed.withColumn("turn", F.greatest(F.sum(F.coalesce(change, F.lit(True)).cast("long")).over(w) - 1, F.lit(0)))
+    turns = _turns(parsed)
     body = F.when(F.col("begins"), _unmarked(F.col("text"))).otherwise(F.col("text"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", body.alias("t")))), lambda x: x["t"]), "\n")
     out = turns.groupBy("conv_id", "turn").agg(F.max_by("role", "line").alias("role"), F.regexp_replace(text, "^\\s+|\\s+$", "").alias("text"))
@@ -219,7 +297,8 @@ def format_chats(turns: DataFrame) -> DataFrame:
     Rows without conv_id or turn belong to no transcript; a null or unknown role writes no mark; a null text is an
     empty line; rows of one turn follow one another whole, in the order of a hash, equal ones too; extra columns are
     ignored; an empty table gives none. A conversation is parsed by a model that was
-    counted on others; marks have a prior of PRIOR lines, which alone speaks where there are no others.
+    counted on others; marks have a prior of PRIOR lines, which alone speaks where there are no others. Of paths that
+    are equally likely one is taken by a hash of lines' numbers and states.
     """
     lines = written(_numbered(seen(transcripts(turns))), "transcripts")
     return rendered(parse(lines, [fit(lines.where(fold_of() != f)) for f in range(FOLDS)]))
