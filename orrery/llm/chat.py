@@ -161,8 +161,8 @@ def _summary(model: Model, rows: pa.Table) -> np.ndarray:
     return best - best.max()
 
 
-def _trace(model: Model, rows: pa.Table, entry: np.ndarray, last: int) -> list[int]:
-    """States of a block's lines, given the scores of the states before it and the state at its end."""
+def _trace(model: Model, rows: pa.Table, entry: np.ndarray, last: int | None) -> list[int]:
+    """States of a block's lines, given the scores of the states before it and the state at its end (else the best one)."""
     score, back = entry, []
     for t, s in enumerate(model.scores(_columns(rows))):
         step = score[:, None] + (model.move if t or rows.column("block")[0].as_py() else np.where(np.eye(STATES) > 0, model.start[None], -np.inf))
@@ -170,7 +170,7 @@ def _trace(model: Model, rows: pa.Table, entry: np.ndarray, last: int) -> list[i
         score = step.max(axis=0) + s
         if t % EXACT == 0:
             score -= score.max()
-    path = [last]
+    path = [int(score.argmax()) if last is None else last]
     for b in reversed(back[1:]):
         path.append(int(b[path[-1]]))
     return path[::-1]
@@ -237,15 +237,17 @@ def parse(lines: DataFrame, models: Model | list[Model]) -> DataFrame:
 
     def trace(rows: pa.Table) -> pa.Table:
         rows, model = rows.sort_by("line"), models[rows.column("fold")[0].as_py()]
-        states = _trace(model, rows, np.array(rows.column("entry")[0].as_py()), rows.column("last")[0].as_py())
+        states = _trace(model, rows, np.array(rows.column("entry")[0].as_py() or [0.0] * STATES), rows.column("last")[0].as_py())
         return pa.table({"conv_id": rows.column("conv_id"), "line": rows.column("line"), "text": rows.column("text"), "role": [ROLES[s // 2] for s in states], "begins": [s % 2 == 0 for s in states]})
 
-    sums = blocks.groupBy("conv_id", "block").applyInArrow(summary, "conv_id long, block long, best array<double>")
+    # a transcript of one block needs nothing from others; that of several has a line of this number, once
+    several = lines.where(F.col("line") == BLOCK).select("conv_id")
+    sums = blocks.join(several, "conv_id", "left_semi").groupBy("conv_id", "block").applyInArrow(summary, "conv_id long, block long, best array<double>")
     sums = written(sums.withColumn("span", F.floor(F.col("block") / SPAN)), "blocks")
     spans = sums.groupBy("conv_id", "span").applyInArrow(product, "conv_id long, span long, best array<double>")
     spans = spans.groupBy("conv_id").applyInArrow(over_spans, "conv_id long, span long, before array<double>, end int")
     ends = sums.join(spans, ["conv_id", "span"]).groupBy("conv_id", "span").applyInArrow(over_blocks, "conv_id long, block long, entry array<double>, last int")
-    return blocks.join(ends, ["conv_id", "block"]).groupBy("conv_id", "block").applyInArrow(trace, "conv_id long, line long, text string, role string, begins boolean")
+    return blocks.join(ends, ["conv_id", "block"], "left").groupBy("conv_id", "block").applyInArrow(trace, "conv_id long, line long, text string, role string, begins boolean")
 
 
 def _unmarked(text: Column) -> Column:
