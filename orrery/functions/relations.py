@@ -20,9 +20,12 @@ def dot_cross(hx: Column, hz: Column, tx: Column, tz: Column, least: float = 1e-
     return ux * vx + uz * vz, ux * vz - uz * vx, short
 
 
-def label(hx: Column, hz: Column, tx: Column, tz: Column, kind: str) -> Column:
-    """Where the target is: kind is easy, medium, hard or 4way. Vectors too short count as straight ahead."""
-    dot, cross, short = dot_cross(hx, hz, tx, tz)
+def label(hx: Column, hz: Column, tx: Column, tz: Column, kind: str, least: float = 1e-3) -> Column:
+    """Where the target is: kind is easy, medium, hard or 4way. Vectors shorter than ``least`` count as straight ahead;
+    with ``least`` 0 none does, and one without extent has cosine and sine NaN, which is above every number."""
+    dot, cross, short = dot_cross(hx, hz, tx, tz, least)
+    still = ((hx == 0) & (hz == 0)) | ((tx == 0) & (tz == 0))
+    dot, cross = (F.when(still & (hx + hz + tx + tz).isNotNull(), float("nan")).otherwise(c) for c in (dot, cross))
     dot, cross = F.when(short, 1.0).otherwise(dot), F.when(short, 0.0).otherwise(cross)
     side = F.when(cross > 0, "left").otherwise("right")
     if kind == "easy":
@@ -35,9 +38,11 @@ def label(hx: Column, hz: Column, tx: Column, tz: Column, kind: str) -> Column:
 
 
 def turn(hx: Column, hz: Column, tx: Column, tz: Column) -> Column:
-    dot, cross, short = dot_cross(hx, hz, tx, tz)
-    side = F.when(cross > 0, "Turn Left").otherwise("Turn Right")
-    return F.when(short, "Turn Right").when(dot < BACK, "Turn Back").otherwise(side)
+    """The turn from a heading to a target. The side is read off the vectors as they are: of unit vectors that point one
+    way the cross product is seldom exactly zero."""
+    a, b = F.sqrt(hx * hx + hz * hz), F.sqrt(tx * tx + tz * tz)
+    side = F.when(hx * tz - hz * tx > 0, "Turn Left").otherwise("Turn Right")
+    return F.when((a < 1e-3) | (b < 1e-3), "Turn Right").when((hx * tx + hz * tz) / F.nullif(a * b, F.lit(0.0)) < BACK, "Turn Back").otherwise(side)
 
 
 def hour(dot: Column, cross: Column) -> Column:

@@ -41,14 +41,16 @@ def action_turns(actions: DataFrame, key: Sequence[str], order: str, width: floa
     ``actions`` (key, ``order``: a number, unique in its key; kind; x, z). A move goes to (x, z), a ``face`` looks there
     from where one stands; both leave the heading that they took. The first action of a key is where one stands, the
     second gives the first heading: both have a null turn. From a place to itself there is no heading, and the turn is
-    the one that vectors too short have. A null kind counts as a move; other columns pass.
+    the one that vectors too short have; after a heading with a null the turn is null. A null kind counts as a move;
+    other columns pass.
     """
     x, z = F.col("x").cast("double"), F.col("z").cast("double")
     stood = last_before(actions, key, order, F.when(~F.coalesce(F.col("kind") == "face", F.lit(False)), F.struct(x.alias("x"), z.alias("z"))), "__at", width)
     heading = F.when(F.col("__at").isNotNull(), F.struct((x - F.col("__at.x")).alias("x"), (z - F.col("__at.z")).alias("z")))
     faced = last_before(stood.withColumn("__to", heading), key, order, F.col("__to"), "__from", width)
     turn = relations.turn(F.col("__from.x"), F.col("__from.z"), F.col("__to.x"), F.col("__to.z"))
-    return faced.select(*actions.columns, F.when(F.col("__from").isNotNull() & F.col("__to").isNotNull(), turn).alias("turn"))
+    known = F.col("__from.x").isNotNull() & F.col("__from.z").isNotNull() & F.col("__to").isNotNull()
+    return faced.select(*actions.columns, F.when(known, turn).alias("turn"))
 
 
 def _angle(kind: Column, share: Column, side: Column) -> Column:

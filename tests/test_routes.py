@@ -64,3 +64,33 @@ def test_drawn_routes_ask_for_their_turns(spark, turns, reface, named):
             assert len({p.label for p in r.places}) == len(r.places)
             assert all(math.hypot(p.x - q.x, p.z - q.z) >= p.radius + q.radius for i, p in enumerate(r.places) for q in r.places[:i])
     assert {"Turn Left", "Turn Right"} <= seen and ("Turn Back" in seen) == reface
+
+
+def test_turns_along_one_line_and_after_nulls(spark):
+    import duckdb
+    from orrery.plans import placing
+
+    import __spark_entry__  # noqa: F401  every query is registered
+    from orrery.plans.base import SQL
+
+    rng = random.Random(8)
+    rows, n = [], 0
+    for user in range(60):
+        # whole steps along one line: their unit vectors round, the steps do not
+        a, b = rng.randint(1, 30), rng.randint(1, 9)
+        z = rng.randint(0, 9)
+        for k in range(9):
+            rows.append((z + b * k + 97 * n, user, rng.choice(["view", "buy"]), None if user == 7 and k == 4 else float(a * k), "2024-01-01"))
+            n += 1
+    import tempfile
+
+    import pandas as pd
+
+    folder = tempfile.mkdtemp(prefix="orrery-test-")
+    events = pd.DataFrame(rows, columns=["event_id", "user_id", "event_type", "value", "ts"])
+    events.to_parquet(f"{folder}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet'")
+    want = sorted(con.execute(SQL["action_turns"]).fetchall(), key=repr)
+    got = sorted([(r.user_id, r.event_id, r.turn) for r in placing.action_turns(spark, folder).collect()], key=repr)
+    assert got == want
