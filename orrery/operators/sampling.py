@@ -193,8 +193,10 @@ def contiguous_shards(rows: DataFrame, order: Sequence[str], world: int, cells:
     """Shard of each row in order of ``order`` (the first column a number); the last one takes the remainder.
 
     Approximate quantiles of the first column cut the order into cells; cells are counted, and rows ranked inside.
+    The quantiles depend on the order in which parts are merged: they are written, so that both uses see the same cells.
     """
     cuts = rows.agg(F.array_distinct(F.percentile_approx(order[0], [k / cells for k in range(1, cells)])).alias("__cuts"), F.count("*").alias("__n"))
+    cuts = kept(cuts, "cuts")
     placed = rows.crossJoin(cuts)  # one row
     placed = placed.withColumn("__cell", F.size(F.filter("__cuts", lambda c: c < F.col(order[0]))))
     counts = placed.groupBy("__cell").agg(F.count("*").alias("__c"))

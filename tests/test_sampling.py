@@ -75,3 +75,13 @@ def test_farthest_points(spark, n):
 def test_farthest_points_of_nothing(spark):
     df = spark.createDataFrame([], "g string, id long, x double, y double, z double")
     assert sampling.farthest_points(df, ["g"], 3).count() == 0
+
+
+def test_shards_share_one_set_of_cuts(spark, monkeypatch):
+    """Both uses of the cuts see the same ones, however the quantiles come out when they are made again."""
+    made = []
+    monkeypatch.setattr(sampling, "kept", lambda df, name, keep=sampling.kept: made.append(name) or keep(df, name))
+    rows = spark.range(3_000).select(((F.col("id") * 7919) % 3_000).alias("id")).repartition(5)
+    plain = sampling.contiguous_shards(rows, ["id"], 7)
+    assert made == ["cuts"] and "percentile" not in plain._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.id, r.shard) for r in plain.collect()) == [(i, min(i // (3_000 // 7), 6)) for i in range(3_000)]
