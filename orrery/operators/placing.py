@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orrery.functions import boxes as box_functions
+from orrery.functions import geometry
 from orrery.operators import cells, joins
 from orrery.operators.rounds import Drawn, in_rounds
 from orrery.operators.sampling import draw, uniform
@@ -129,7 +130,7 @@ def box_sets(scenes: DataFrame, count: int, seed: int = 10, least: float = 0.05,
         lead = F.get(order, F.lit(0)) if count == 2 else F.get(order, F.lit(1)) - F.get(order, F.lit(0))
         return rows.withColumn("reason", F.when(meet, "overlap").when((lead <= least) if count == 2 else (lead < least), "margin"))
 
-    done = in_rounds(base, ["scene_id"], drawn, judge, None, tries, each)
+    done = in_rounds(base, ["scene_id"], drawn, judge, None, tries, each, alone=True)
     nearest = F.array_position("distances", F.array_min("distances")).cast("int")
     answer = F.round(F.get("distances", F.lit(0)), 2).cast("string") if count == 2 else F.get(F.array(*[F.lit(chr(65 + k)) for k in range(count - 1)]), nearest - 1)
     return Drawn(done.accepted.select("scene_id", F.transform("s", lambda x: x["b"]).alias("boxes"), "distances", answer.alias("answer"), "attempt"), done.census, done.open.select("scene_id", "reason"))
@@ -210,18 +211,21 @@ def sightlines(scenes: DataFrame, seed: int = 9, rays: int = 60, side: float = 0
     def judge(rows: DataFrame, _: DataFrame | None) -> DataFrame:
         bare = F.when(F.col("__high") - F.col("__low") < 0.05, "room").when((F.col("mode") == "blocked") & (F.col("__most") <= 0.01), "small")
         rows = rows.withColumn("__bare", bare)
+        # each draw has one box, which its own rays meet: no grid, no joins of rays
         scene = F.concat_ws("/", "scene_id", "attempt")
-        live = rows.where("__bare IS NULL")
-        views = live.select(scene.alias("scene_id"), scene.alias("view"), *[F.col(f"p{a}").alias(a) for a in AXES])
-        targets = live.select(scene.alias("scene_id"), scene.alias("view"), scene.alias("target"), *[F.col(f"q{a}").alias(a) for a in AXES], *[F.lit(side).alias(f"d{a}") for a in AXES])
-        boxes = live.select(scene.alias("scene_id"), F.lit("between").alias("target"), *[(F.col(f"o{a}") + k * F.col("s") / 2).alias(e + a) for e, k in (("l", -1), ("h", 1)) for a in AXES])
-        shares = seen_shares(views, targets, boxes, rays, seed).select(F.col("view").alias("__view"), "fraction")
+        ends = [n + a for n in "pqo" for a in AXES]
+        rays_ = rows.where("__bare IS NULL").select(scene.alias("__view"), *ends, "s", F.explode(F.sequence(F.lit(0), F.lit(rays - 1))).alias("__ray"))
+        to = [F.col("q" + a) + (uniform(F.col("__view"), F.col("__view"), F.col("__ray"), F.lit(a), seed=seed) - 0.5) * F.lit(side) for a in AXES]
+        rays_ = rays_.select("__view", "__ray", *ends, "s", *[t.alias("t" + a) for t, a in zip(to, AXES, strict=True)])
+        wall = [[F.col("o" + a) + k * F.col("s") / 2 for a in AXES] for k in (-1, 1)]
+        cut = geometry.segment_hits_box(*[[F.col(n + a) for a in AXES] for n in "pt"], *wall)
+        shares = rays_.groupBy("__view").agg((F.count_if(~cut) / F.lit(rays)).alias("fraction"))
         both = rows.join(shares, scene == F.col("__view"), "left").drop("__view")
         f = F.col("fraction")
         fits = F.when(F.col("mode") == "blocked", f < 0.05).when(F.col("mode") == "clear", f >= 0.95).otherwise((f >= 0.10) & (f <= 0.80))
         return both.withColumn("reason", F.coalesce("__bare", F.when(~fits, "share")))
 
-    done = in_rounds(base, ["scene_id"], drawn, judge, None, tries, each)
+    done = in_rounds(base, ["scene_id"], drawn, judge, None, tries, each, alone=True)
     columns = ["scene_id", *[p + a for p in "pqo" for a in AXES], "d", "s", "along", "off", "mode", F.when(F.col("mode") == "blocked", "no").otherwise("yes").alias("answer"), "fraction", "attempt"]
     return Drawn(done.accepted.select(*columns), done.census, done.open.select("scene_id", "mode", "reason"))
 

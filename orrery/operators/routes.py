@@ -123,5 +123,5 @@ def drawn_routes(scenes: DataFrame, turns: int, reface: bool = False, objects: D
                 meet = meet | (F.sqrt((at(i)["x"] - at(j)["x"]) ** 2 + (at(i)["z"] - at(j)["z"]) ** 2) < at(i)["radius"] + at(j)["radius"])
         return rows.withColumn("reason", F.when(F.size("named") < count, "objects").when(near, "origin").when(meet, "meet"))
 
-    done = in_rounds(base, ["scene_id"], made, judge, None, tries, each)
+    done = in_rounds(base, ["scene_id"], made, judge, None, tries, each, alone=True)
     return Drawn(done.accepted.select("scene_id", "turns", "places", "attempt"), done.census, done.open.select("scene_id", "reason"))
