@@ -10,28 +10,69 @@ from pyspark.sql.window import Window
 
 from orrery.operators import cells
 from orrery.operators.placing import between, log_between
+from orrery.operators.rounds import kept
 
 SIDES = ("lx", "lz", "hx", "hz")
 
 
+def _merged(rows: DataFrame, by: list[str], near: str, far: str) -> DataFrame:
+    """Intervals of each group, those that overlap or touch as one."""
+    order = Window.partitionBy(*by).orderBy(near, far)
+    before = F.max(far).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    marked = rows.withColumn("__new", F.when(before.isNull() | (F.col(near) > before), 1).otherwise(0))
+    numbered = marked.withColumn("__island", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy(*by, "__island").agg(F.min(near).alias(near), F.max(far).alias(far)).drop("__island")
+
+
+def _passing(r: DataFrame, near: str, far: str, most: int) -> DataFrame:
+    """(scene_id, __lo, __wide, strip, near, far): what the strips that rectangles pass right through have of them, joined.
+
+    A run of strips is a few aligned runs of 2^h strips. From the longest on these are joined and handed to both halves,
+    so rectangles that overlap are one long before they reach a strip, and the work grows as the rectangles do.
+    """
+    runs = r.where("__last > __first").select("scene_id", "__lo", "__wide", near, far, "__first", "__last", F.explode(F.sequence(F.lit(0), F.lit(most))).alias("__h"))
+    size = lambda h: F.pow(F.lit(2.0), h)
+    low = lambda h: F.ceil(F.col("__first") / size(h))  # noqa: E731  __first to __last, the latter not included
+    high = lambda h: F.floor(F.col("__last") / size(h)) - 1
+    h, up = F.col("__h"), F.col("__h") + 1
+    ends = F.when(low(h) <= high(h), F.array_distinct(F.array(low(h), high(h)))).otherwise(F.array().cast("array<bigint>"))
+    own = F.filter(ends, lambda n: ~((F.floor(n / 2) >= low(up)) & (F.floor(n / 2) <= high(up))) | (h == most))
+    runs = kept(runs.select("scene_id", "__lo", "__wide", near, far, "__h", F.explode(own).alias("strip")), "runs")
+    by, carried = ["scene_id", "__lo", "__wide", "strip"], None
+    for level in range(most, -1, -1):
+        here = runs.where(F.col("__h") == level).select(*by, near, far)
+        if carried is not None:
+            halves = F.explode(F.array(F.col("strip") * 2, F.col("strip") * 2 + 1)).alias("strip")
+            here = here.unionByName(carried.select("scene_id", "__lo", "__wide", halves, near, far))
+        carried = _merged(here, by, near, far)
+    return carried
+
+
 def _swept(rects: DataFrame, a: str, b: str, strips: int) -> DataFrame:
     """(scene_id, area, edges): the union's area and the length of its edges along ``a``.
 
     A scene's span along ``a`` is cut into strips, so that a scene with many rectangles is many tasks' work; a strip
     is cut into slabs at the sides that lie in it. Within a slab the rectangles are intervals along ``b``, joined in
-    order.
+    order; rectangles that pass a strip from side to side come joined before (``_passing``).
     """
     low, high, near, far = "l" + a, "h" + a, "l" + b, "h" + b
     span = rects.groupBy("scene_id").agg(F.min(low).alias("__lo"), F.max(high).alias("__hi"), F.count("*").alias("__n"))
-    r = rects.join(span, "scene_id").withColumn("__wide", (F.col("__hi") - F.col("__lo")) / F.least(F.greatest(F.ceil(F.col("__n") / 8), F.lit(1)), F.lit(strips)))
+    largest = span.agg(F.max("__n")).first()[0] or 1
+    most = min(int(math.log2(strips)), max(math.ceil(math.log2(largest / 8)), 0))
+    count = F.pow(F.lit(2.0), F.least(F.ceil(F.log2(F.greatest(F.col("__n") / 8, F.lit(1.0)))), F.lit(most)))
+    r = rects.join(span, "scene_id").withColumn("__wide", (F.col("__hi") - F.col("__lo")) / count)
     strip = lambda c: F.floor((F.col(c) - F.col("__lo")) / F.col("__wide"))
-    r = r.select("scene_id", *SIDES, "__lo", "__wide", F.explode(F.sequence(strip(low), strip(high))).alias("strip"))
+    r = r.withColumns({"__first": strip(low) + 1, "__last": strip(high)}).select("scene_id", *SIDES, "__lo", "__wide", "__first", "__last")
+    cut = r.select("scene_id", "__lo", "__wide", low, high, near, far, F.explode(F.array_distinct(F.array(F.col("__first") - 1, F.col("__last")))).alias("strip"))
     begin, end = F.col("__lo") + F.col("strip") * F.col("__wide"), F.col("__lo") + (F.col("strip") + 1) * F.col("__wide")
-    r = r.withColumns({"__from": F.greatest(F.col(low), begin), "__to": F.least(F.col(high), end)}).where("__from < __to")
+    cut = cut.withColumns({"__from": F.greatest(F.col(low), begin), "__to": F.least(F.col(high), end)}).where("__from < __to")
+    through = _passing(r, near, far, most).withColumns({"__from": begin, "__to": end})
+    columns = ["scene_id", "strip", "__from", "__to", near, far]
+    r = cut.select(*columns).unionByName(through.select(*columns))
     cuts = r.select("scene_id", "strip", F.explode(F.array("__from", "__to")).alias("at")).distinct()
     order = Window.partitionBy("scene_id", "strip").orderBy("at")
     slabs = cuts.withColumn("next", F.lead("at").over(order)).where("next IS NOT NULL")
-    both = r.select("scene_id", "strip", "__from", "__to", near, far).join(slabs, ["scene_id", "strip"]).where((F.col("__from") <= F.col("at")) & (F.col("__to") >= F.col("next")))
+    both = r.join(slabs, ["scene_id", "strip"]).where((F.col("__from") <= F.col("at")) & (F.col("__to") >= F.col("next")))
     slab = Window.partitionBy("scene_id", "strip", "at").orderBy(near, far).rowsBetween(Window.unboundedPreceding, -1)
     joined = both.withColumn("__before", F.max(far).over(slab))
     fresh = F.col("__before").isNull() | (F.col(near) > F.col("__before"))
@@ -49,6 +90,7 @@ def unions(rects: DataFrame, strips: int = 4096) -> DataFrame:
     """
     sound = cells.finite([F.col(c).cast("double") for c in SIDES]) & (F.col("lx") < F.col("hx")) & (F.col("lz") < F.col("hz"))
     r = rects.where(F.col("scene_id").isNotNull() & sound).select("scene_id", *[F.col(c).cast("double").alias(c) for c in SIDES]).distinct()
+    r = kept(r, "rectangles")
     x, z = _swept(r, "x", "z", strips), _swept(r, "z", "x", strips).select("scene_id", F.col("edges").alias("__more"))
     out = rects.where(F.col("scene_id").isNotNull()).select("scene_id").distinct().join(x.join(z, "scene_id"), "scene_id", "left")
     return out.select("scene_id", F.coalesce("area", F.lit(0.0)).alias("area"), F.coalesce(F.col("edges") + F.col("__more"), F.lit(0.0)).alias("outline"))

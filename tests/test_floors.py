@@ -51,3 +51,29 @@ def test_two_part_floors(spark):
         straight += [(k, -a.dx / 2, -a.dz / 2, a.dx / 2, a.dz / 2), (k, dx - b.dx / 2, dz - b.dz / 2, dx + b.dx / 2, dz + b.dz / 2)]
     for r in floors.unions(spark.createDataFrame(straight, RECT)).collect():
         assert r.area == pytest.approx(by[r.scene_id][0].area, rel=1e-6)
+
+
+def test_rectangles_that_pass_strips_are_joined_first(spark):
+    """A sweep makes rows in proportion to the rectangles, where most lie over each other."""
+    rng = np.random.default_rng(3)
+
+    def made(n):
+        low = rng.normal(0.0, 0.12, (n, 2))
+        rects = np.c_[low, low + np.abs(rng.normal(0.0, 0.12, (n, 2))) / 2 + 0.01]
+        df = spark.createDataFrame([("s", *map(float, r)) for r in rects], RECT)
+        swept = floors._swept(df, "x", "z", 4096)
+        swept.collect()
+        return sum(rows_of(swept._jdf.queryExecution().executedPlan()))
+
+    def rows_of(plan):
+        node = plan.executedPlan() if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec" else plan
+        name = node.getClass().getSimpleName()
+        if name.endswith("QueryStageExec"):
+            node = node.plan()
+        metrics = node.metrics()
+        mine = metrics.apply("numOutputRows").value() if metrics.contains("numOutputRows") else 0
+        children = node.children()
+        return [mine, *[n for i in range(children.size()) for n in rows_of(children.apply(i))]]
+
+    small, large = made(1_000), made(4_000)
+    assert large < 6 * small
