@@ -100,3 +100,19 @@ def test_null_paths_and_floors(spark):
     assert got[2] is None and len(got[1]) == 3 and "Turn Left, Turn Back" not in got[1]
     floors = spark.createDataFrame([("a", 0.0, 0.0, 9.0, 9.0), ("b", None, 0.0, 1.0, 1.0), ("c", float("nan"), 0.0, 1.0, 1.0)], "scene_id string, lx double, lz double, hx double, hz double")
     assert {r.scene_id for r in curriculum.placements(floors, 3).collect()} == {"a"}
+
+
+def test_equal_answers_are_scored_once(spark, tmp_path):
+    """Texts are taken apart once a distinct answer, not once a row."""
+    import duckdb
+    from orrery.plans import scores
+    from orrery.plans.base import SQL
+
+    rows = spark.range(4_000).select((F.col("id") % 7 + 1).cast("int").alias("l_linenumber"))
+    rows.write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = scores.benchmark(spark, str(tmp_path))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 2
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    assert sorted((r.kind, r["mean"], r.n) for r in got.collect()) == sorted(con.execute(SQL["benchmark_score"]).fetchall())
