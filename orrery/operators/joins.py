@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -138,9 +140,57 @@ def nearest(left: DataFrame, right: DataFrame, by: Sequence[str], time: str, val
 def inside_boxes(points: DataFrame, objects: DataFrame, scene: str, box: str, xyz: Sequence[str], inflation: float = 0.0) -> DataFrame:
     """Points with every oriented box of their scene that holds them.
 
-    An equi-join on the scene; a point meets the boxes of its scene only.
+    An equi-join on the scene; a point meets the boxes of its scene only. A box is turned once, not once a point.
     """
-    return points.join(objects, scene).where(boxes.holds(F.col(box), *[F.col(c) for c in xyz], inflation=inflation))
+    o = objects.withColumn("__turned", F.array(*boxes.turned(F.col(box), inflation)))
+    return points.join(o, scene).where(boxes.holds_turned(F.col("__turned"), *[F.col(c) for c in xyz])).drop("__turned")
+
+
+#: Distinct points of a chunk; boxes of a block; blocks that a scene's boxes are dealt into while they hold fewer than CHUNK.
+CHUNK, BLOCK, BLOCKS = 65536, 4096, 16
+
+
+def held_counts(points: DataFrame, objects: DataFrame, scene: str, key: str, box: str, xyz: Sequence[str], inflation: float = 0.0) -> DataFrame:
+    """(key, n): how many points of their scene oriented boxes hold; those that hold none are left out.
+
+    Equal points are counted first. A scene's points are cut into chunks of neighbouring cells, and by a hash where one
+    cell has more than a chunk; its boxes are dealt into blocks. Each block meets each chunk in a task, where boxes go
+    down a tree of the chunk's points (``boxes.held``), so that no pairs are made and no scene is one task's.
+    """
+    p = points.where(F.forall(F.array(*xyz), lambda v: v.isNotNull()) & F.col(scene).isNotNull())
+    p = p.groupBy(F.col(scene).alias("__scene"), *[F.col(c).cast("double").alias(f"__{a}") for c, a in zip(xyz, "xyz", strict=True)]).agg(F.count("*").alias("__w"))
+    o = objects.select(F.col(scene).alias("__scene"), F.col(key).alias("__key"), F.array(*boxes.turned(F.col(box), inflation)).alias("__box"))
+    o = o.where(F.forall("__box", lambda v: v.isNotNull()) & F.col("__scene").isNotNull())
+    # where a point lies among 16 x 16 x 16 cells of its scene; those that are not finite in one more
+    whole = [F.when(cells.finite([F.col(f"__{a}") for a in "xyz"]), F.col(f"__{a}")) for a in "xyz"]
+    span = p.groupBy("__scene").agg(*[f(c).alias(f"__{n}{a}") for c, a in zip(whole, "xyz", strict=True) for f, n in ((F.min, "lo"), (F.max, "hi"))])
+    share = lambda a: (F.col(f"__{a}") / 2 - F.col(f"__lo{a}") / 2) / F.nullif(F.col(f"__hi{a}") / 2 - F.col(f"__lo{a}") / 2, F.lit(0.0))
+    at = [F.least(F.floor(F.coalesce(share(a), F.lit(0.0)) * 16), F.lit(15)) for a in "xyz"]
+    curve = sum((F.shiftleft(F.shiftright(n, b).bitwiseAND(1), 3 * b + i) for i, n in enumerate(at) for b in range(4)), F.lit(0).cast("bigint"))
+    p = p.join(span, "__scene").withColumn("__cell", F.when(cells.finite([F.col(f"__{a}") for a in "xyz"]), curve).otherwise(-1)).select("__scene", "__x", "__y", "__z", "__w", "__cell")
+    before = F.sum("__n").over(Window.partitionBy("__scene").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1))  # 4,097 rows at most
+    held = p.groupBy("__scene", "__cell").agg(F.count("*").alias("__n"))
+    held = held.select("__scene", "__cell", F.floor(F.coalesce(before, F.lit(0)) / CHUNK).alias("__first"), F.ceil(F.col("__n") / CHUNK).alias("__parts"))
+    chunks = held.select("__scene", F.explode(F.sequence(F.col("__first"), F.col("__first") + F.col("__parts") - 1)).alias("__chunk")).distinct()
+    dealt = o.groupBy("__scene").agg(F.count("*").alias("__n"))
+    dealt = dealt.select("__scene", F.greatest(F.least(F.ceil(F.col("__n") / BLOCK), F.lit(BLOCKS)), F.ceil(F.col("__n") / CHUNK)).alias("__blocks"))
+    n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = ["__scene", "__chunk", "__block"]
+    left = p.join(held, ["__scene", "__cell"]).join(dealt, "__scene")
+    left = left.withColumn("__chunk", F.col("__first") + F.pmod(F.xxhash64("__x", "__y", "__z"), F.col("__parts")))
+    left = left.select("__scene", "__chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__blocks") - 1)).alias("__block"), "__x", "__y", "__z", "__w")
+    right = o.join(dealt, "__scene").withColumn("__block", F.pmod(F.xxhash64("__key"), F.col("__blocks"))).join(chunks, "__scene").select(*by, "__key", "__box")
+
+    def met(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"__key": b["__key"][:0], "__n": np.zeros(0, np.int64)})
+        found = boxes.held(a[["__x", "__y", "__z"]].to_numpy(), a["__w"].to_numpy(), np.stack(b["__box"].to_numpy()))
+        return pd.DataFrame({"__key": b["__key"], "__n": found})[found > 0]
+
+    # dealt by number: groups are few and small in bytes, and would be coalesced into one task
+    both = left.repartition(n, *by).groupBy(*by).cogroup(right.repartition(n, *by).groupBy(*by))
+    counts = both.applyInPandas(met, f"`__key` {o.schema['__key'].dataType.simpleString()}, `__n` bigint")
+    return counts.groupBy(F.col("__key").alias(key)).agg(F.sum("__n").alias("n"))
 
 
 def visible(points: DataFrame, cameras: DataFrame, scene: str) -> DataFrame:
