@@ -29,6 +29,11 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _dealt(rows: DataFrame, key: Sequence[str]) -> DataFrame:
+    """``rows`` over all cores: they are few in bytes, so would be coalesced into a task or two, but each is drawn for often."""
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, *key)
+
+
 @dataclass(frozen=True)
 class Drawn:
     """``accepted``: the row of each key that was drawn and found sound. ``census``: (round, reason, n), how many draws
@@ -63,6 +68,7 @@ def in_rounds(
     Draws and rounds of the census are the same.
     """
     key = list(key)
+    base = kept(_dealt(base, key), "base")
     same = lambda a, b: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in key]
     if alone:
         accepted, parts, open_ = _alone(base, key, same, draw, judge, tries, each)
@@ -80,7 +86,7 @@ def in_rounds(
         parts.append(kept(ended.groupBy(*key, "reason").agg(F.count("*").alias("n")).withColumn("round", F.lit(turn)), "ended"))
         won = picks.where("reason IS NULL").drop("reason")
         accepted = won if accepted is None else accepted.unionByName(won)
-        open_ = kept(open_.alias("o").join(won.alias("w"), same("o", "w"), "left_anti"), "open")
+        open_ = kept(_dealt(open_.alias("o").join(won.alias("w"), same("o", "w"), "left_anti"), key), "open")
         if open_.isEmpty():
             break
     return _drawn(key, same, accepted, parts, open_)
@@ -102,10 +108,10 @@ def _alone(base, key, same, draw, judge, tries: int, each: int) -> tuple[DataFra
         turn = F.floor(F.col("attempt") / each).cast("int").alias("round")
         counts = both.select(*[F.col(f"j.{k}").alias(k) for k in key], F.coalesce("reason", F.lit("accepted")).alias("reason"), turn)
         parts.append(kept(counts.groupBy(*key, "reason", "round").agg(F.count("*").alias("n")).select(*key, "reason", "n", "round"), "ended"))
-        picks = open_.alias("o").join(first.alias("s"), same("o", "s")).select("o.*", F.col("__first").alias("attempt"))
+        picks = _dealt(open_.alias("o").join(first.alias("s"), same("o", "s")).select("o.*", F.col("__first").alias("attempt")), key)
         won = kept(judge(draw(picks), None).drop("reason"), "picks")
         accepted = won if accepted is None else accepted.unionByName(won)
-        open_ = kept(open_.alias("o").join(won.alias("w"), same("o", "w"), "left_anti"), "open")
+        open_ = kept(_dealt(open_.alias("o").join(won.alias("w"), same("o", "w"), "left_anti"), key), "open")
         if open_.isEmpty():
             break
         low, few = low + few, min(2 * few, each)

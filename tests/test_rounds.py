@@ -31,3 +31,17 @@ def test_sightlines_write_no_draw_that_is_not_picked(spark, monkeypatch):
     done = placing.sightlines(scenes, rays=20, tries=20, each=10)
     assert "drawn" not in written and all(wide == 3 for wide, _ in written["judged"])
     assert sum(n for _, n in written["picks"]) == done.accepted.count()
+
+
+@pytest.mark.parametrize("alone", [False, True])
+def test_draws_are_dealt_over_all_cores(spark, alone):
+    base = spark.range(400).repartition(1).withColumnRenamed("id", "k")
+    parts = []
+
+    def draw(rows):
+        parts.append(rows.rdd.getNumPartitions())
+        return rows.withColumn("u", uniform(F.col("k"), F.col("attempt"), seed=2))
+
+    judge = lambda rows, _: rows.withColumn("reason", F.when(F.col("u") < 0.9, "low"))
+    rounds.in_rounds(base, ["k"], draw, judge, None, 12, 6, alone=alone)
+    assert len(parts) >= 2 and min(parts) >= spark.sparkContext.defaultParallelism > 1
