@@ -37,12 +37,16 @@ def label(hx: Column, hz: Column, tx: Column, tz: Column, kind: str, least: floa
     return F.concat(F.when(dot > 0, "front-").otherwise("back-"), side)
 
 
-def turn(hx: Column, hz: Column, tx: Column, tz: Column) -> Column:
-    """The turn from a heading to a target. The side is read off the vectors as they are: of unit vectors that point one
-    way the cross product is seldom exactly zero."""
+def turn(hx: Column, hz: Column, tx: Column, tz: Column, unit: bool = False) -> Column:
+    """The turn from a heading to a target. The side is read off the vectors as they are, or with ``unit`` off their unit
+    vectors: where both point one way, that cross product is seldom exactly zero."""
     a, b = F.sqrt(hx * hx + hz * hz), F.sqrt(tx * tx + tz * tz)
-    side = F.when(hx * tz - hz * tx > 0, "Turn Left").otherwise("Turn Right")
-    return F.when((a < 1e-3) | (b < 1e-3), "Turn Right").when((hx * tx + hz * tz) / F.nullif(a * b, F.lit(0.0)) < BACK, "Turn Back").otherwise(side)
+    if unit:
+        dot, cross, _ = dot_cross(hx, hz, tx, tz)
+    else:
+        dot, cross = (hx * tx + hz * tz) / F.nullif(a * b, F.lit(0.0)), hx * tz - hz * tx
+    side = F.when(cross > 0, "Turn Left").otherwise("Turn Right")
+    return F.when((a < 1e-3) | (b < 1e-3), "Turn Right").when(dot < BACK, "Turn Back").otherwise(side)
 
 
 def hour(dot: Column, cross: Column) -> Column:

@@ -94,3 +94,35 @@ def test_turns_along_one_line_and_after_nulls(spark):
     want = sorted(con.execute(SQL["action_turns"]).fetchall(), key=repr)
     got = sorted([(r.user_id, r.event_id, r.turn) for r in placing.action_turns(spark, folder).collect()], key=repr)
     assert got == want
+
+
+def turn_labels_and_sql(spark, folder, rows):
+    import duckdb
+    import pandas as pd
+
+    import __spark_entry__  # noqa: F401  every query is registered
+    from orrery.plans.base import SQL
+    from orrery.plans.spatial import turn_labels
+
+    events = pd.DataFrame(rows, columns=["event_id", "user_id", "value"]).astype({"event_id": "Int64", "user_id": "Int64", "value": "Float64"})
+    events.assign(event_type="view", ts=pd.Timestamp("2024-01-01")).to_parquet(f"{folder}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet'")
+    want = sorted(con.execute(SQL["turn_labels"]).fetchall(), key=repr)
+    return sorted([(r.user_id, r.turns, r.n) for r in turn_labels(spark, str(folder)).collect()], key=repr), want
+
+
+def test_turn_labels_along_one_line_go_by_unit_vectors(spark, tmp_path):
+    # steps (a, b) and (m * a, m * b): their cross product is zero, that of their unit vectors is so for some only
+    rows = [(97 * (40 * user + k) + z, user, x) for user, (a, b, m) in enumerate((a, b, m) for a in (1, 2, 3, 7, 11) for b in (1, 2, 5, 9) for m in (2, 3, 7)) for k, (z, x) in enumerate([(0, 0.0), (b, float(a)), (b + m * b, float(a + m * a))])]
+    got, want = turn_labels_and_sql(spark, tmp_path, rows)
+    assert len({turns for _, turns, _ in want}) == 2  # left and right
+    assert got == want
+
+
+def test_turn_labels_take_events_without_id_last(spark, tmp_path):
+    path = [(1, 0.0), (4, 5.0), (6, 1.0), (None, 9.0), (98, 2.0), (110, None), (120, 4.0), (140, 8.0)]
+    rows = [(None if i is None else i + 970 * user, user or None, x) for user in range(3) for i, x in path]
+    got, want = turn_labels_and_sql(spark, tmp_path, rows)
+    assert len(want) == 3
+    assert got == want
